@@ -16,6 +16,13 @@ def as_of():
     return F.lit(AS_OF).cast("date")
 
 
+def rounded(c):
+    """Four decimals. The offset keeps exact decimal ties off the rounding edge, so the
+    result does not hang on the last bit of a sum; `rnd(...)` in the SQL does the same."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 10000 + 0.50037) / 10000
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -309,8 +316,20 @@ CTES: dict[str, str] = {
 _NEEDS = {"inv": ["hdr"], "hist": ["items", "hdr"], "stats": ["hist"], "syn": ["mat"]}
 
 
-def sql(body: str, *names: str, recursive: bool = False) -> str:
-    """`body` behind the WITH clauses it names (and those these need)."""
+def _expand_rounding(text: str) -> str:
+    """Replace each `rnd(expression)` by its arithmetic."""
+    while (start := text.find("rnd(")) >= 0:
+        depth, end = 1, start + 4
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        inner = text[start + 4 : end - 1]
+        text = f"{text[:start]}(floor(({inner}) * 10000 + 0.50037::DOUBLE) / 10000){text[end:]}"
+    return text
+
+
+def sql(body: str, *names: str, extra: str = "", recursive: bool = False) -> str:
+    """`body` behind the WITH clauses it names (and those these need), then `extra` ones."""
     ordered: list[str] = []
 
     def add(name: str) -> None:
@@ -321,8 +340,8 @@ def sql(body: str, *names: str, recursive: bool = False) -> str:
 
     for name in names:
         add(name)
-    clauses = ",\n".join(f"{name} AS ({CTES[name]})" for name in ordered)
+    clauses = [f"{name} AS ({CTES[name]})" for name in ordered] + ([extra] if extra else [])
     if not clauses:
-        return body
+        return _expand_rounding(body)
     word = "WITH RECURSIVE" if recursive else "WITH"
-    return f"{word} {clauses}\n{body}"
+    return _expand_rounding(f"{word} {', '.join(clauses)}\n{body}")
