@@ -1,4 +1,7 @@
 """Every registered query, gathered from the query modules."""
 
-from tallyweave.plans import price_queries  # noqa: F401
+from tallyweave.plans import (  # noqa: F401
+    audit_queries,
+    price_queries,
+)
 from tallyweave.plans.registry import REGISTRY  # noqa: F401
