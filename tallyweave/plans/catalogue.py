@@ -2,6 +2,7 @@
 
 from tallyweave.plans import (  # noqa: F401
     audit_queries,
+    view_queries,
     price_queries,
 )
 from tallyweave.plans.registry import REGISTRY  # noqa: F401

@@ -29,7 +29,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0):
             return tuple(cell(x) for x in v)
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if hasattr(v, "isoformat"):
             return v.isoformat()[:10] if len(v.isoformat()) < 11 or v.isoformat().endswith(
