@@ -5,5 +5,6 @@ from tallyweave.plans import (  # noqa: F401
     stock_queries,
     view_queries,
     price_queries,
+    search_queries,
 )
 from tallyweave.plans.registry import REGISTRY  # noqa: F401
