@@ -19,18 +19,26 @@ def block_map(
     schema: str,
     left_rows: int = 1_000,
     right_rows: int = 50_000,
+    split_first: str = "right",
 ) -> DataFrame:
     """Run `compare` on every pair of a left block and a right block.
 
     The block counts follow from the row counts, so a task never sees more than
     about `left_rows` x `right_rows` rows, whatever the tables hold. Only what
     `compare` returns leaves the task; no pair rows are made. Keys must be unique.
+    With less than three blocks per core, the `split_first` side is cut finer.
     """
-    slots = left.sparkSession.sparkContext.defaultParallelism
+    session = left.sparkSession
+    wanted = 3 * session.sparkContext.defaultParallelism
     n_left = max(1, math.ceil(left.count() / left_rows))
     n_right = max(1, math.ceil(right.count() / right_rows))
-    if n_left * n_right < slots:
-        n_right = max(n_right, min(slots // n_left, 64))
+    if n_left * n_right < wanted:
+        if split_first == "right":
+            n_right = math.ceil(wanted / n_left)
+        else:
+            n_left = math.ceil(wanted / n_right)
+    # A given number keeps adaptive execution from merging small but slow blocks.
+    tasks = min(n_left * n_right, max(wanted, int(session.conf.get("spark.sql.shuffle.partitions"))))
 
     def blocks(key: str, count: int):
         return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
@@ -43,7 +51,8 @@ def block_map(
         "_lb", every(n_left)
     )
     return (
-        left_cells.groupBy("_lb", "_rb")
-        .cogroup(right_cells.groupBy("_lb", "_rb"))
+        left_cells.repartition(tasks, "_lb", "_rb")
+        .groupBy("_lb", "_rb")
+        .cogroup(right_cells.repartition(tasks, "_lb", "_rb").groupBy("_lb", "_rb"))
         .applyInArrow(compare, schema)
     )

@@ -2,6 +2,7 @@
 
 from tallyweave.plans import (  # noqa: F401
     audit_queries,
+    catalog_queries,
     stock_queries,
     view_queries,
     price_queries,
