@@ -5,6 +5,7 @@ from tallyweave.plans import (  # noqa: F401
     catalog_queries,
     stock_queries,
     view_queries,
+    extract_queries,
     price_queries,
     search_queries,
 )
