@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyweave.functions.binding import let
+
 
 def parse_number(c: Column) -> Column:
     """Number from text in either locale; NULL when nothing numeric is left.
 
     When the last comma comes after the last dot, the comma is the decimal mark.
     """
-    packed = F.regexp_replace(c, " ", "")
-    last_comma = F.locate(",", F.reverse(packed))
-    last_dot = F.locate(".", F.reverse(packed))
-    comma_decimal = (last_comma > 0) & ((last_dot == 0) | (last_comma < last_dot))
-    plain = F.when(
-        comma_decimal, F.translate(F.regexp_replace(packed, r"\.", ""), ",", ".")
-    ).otherwise(F.regexp_replace(packed, ",", ""))
-    return F.regexp_replace(plain, r"[^\d.\-]", "").try_cast("double")
+
+    def plain(packed: Column) -> Column:
+        last_comma = F.locate(",", F.reverse(packed))
+        last_dot = F.locate(".", F.reverse(packed))
+        comma_decimal = (last_comma > 0) & ((last_dot == 0) | (last_comma < last_dot))
+        return F.when(
+            comma_decimal, F.translate(F.translate(packed, ".", ""), ",", ".")
+        ).otherwise(F.translate(packed, ",", ""))
+
+    digits = F.regexp_replace(let(F.translate(c, " ", ""), plain), r"[^\d.\-]", "")
+    return digits.try_cast("double")
 
 
 def coerce_number(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyweave.functions.binding import let
+
 # The whitespace class (Unicode spaces and the ASCII separators).
 WS = (
     r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -106,9 +108,8 @@ def is_bank_line(c: Column) -> Column:
 
 
 def is_summary_line(c: Column) -> Column:
-    stripped = strip(c)
     pattern = "(?i)(" + "|".join(SUMMARY_FORMATS) + ")"
-    return F.coalesce((F.length(stripped) < 3) | stripped.rlike(pattern), F.lit(True))
+    return F.coalesce(let(strip(c), lambda s: (F.length(s) < 3) | s.rlike(pattern)), F.lit(True))
 
 
 def is_item_line(c: Column) -> Column:
@@ -209,20 +210,27 @@ def cells(line: Column) -> Column:
     0, the last one ends with the line, any other ends on its last character.
     """
     cell = r"[^ \t]+(?:[ \t][^ \t]+)*"
-    texts = F.regexp_extract_all(line, F.lit(f"({cell})"), F.lit(1))
-    gaps = F.split(line, cell)
-
-    def one(t: Column, i: Column) -> Column:
-        start = F.length(F.array_join(F.slice(gaps, F.lit(1), i + 1), "")) + F.length(
-            F.array_join(F.slice(texts, F.lit(1), i), "")
-        )
-        is_last = (i == F.size(texts) - 1) & (F.length(F.element_at(gaps, -1)) < 2)
-        return F.struct(
-            F.regexp_replace(t, r"\t", " ").alias("text"),
-            F.when(i == 0, F.lit(0)).otherwise(start).alias("start_pos"),
-            F.when(is_last, F.length(line))
-            .otherwise(start + F.length(t) - 1)
-            .alias("end_pos"),
-        )
+    parts = F.struct(
+        F.regexp_extract_all(line, F.lit(f"({cell})"), F.lit(1)).alias("texts"),
+        F.split(line, cell).alias("gaps"),
+    )
 
-    return F.transform(texts, one)
+    def placed(p: Column) -> Column:
+        count = F.size(p["texts"])
+
+        def one(t: Column, i: Column) -> Column:
+            start = F.length(F.array_join(F.slice(p["gaps"], F.lit(1), i + 1), "")) + F.length(
+                F.array_join(F.slice(p["texts"], F.lit(1), i), "")
+            )
+            is_last = (i == count - 1) & (F.length(F.element_at(p["gaps"], -1)) < 2)
+            return F.struct(
+                F.regexp_replace(t, r"\t", " ").alias("text"),
+                F.when(i == 0, F.lit(0)).otherwise(start).alias("start_pos"),
+                F.when(is_last, F.length(line))
+                .otherwise(start + F.length(t) - 1)
+                .alias("end_pos"),
+            )
+
+        return F.transform(p["texts"], one)
+
+    return let(parts, placed)

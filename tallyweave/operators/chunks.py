@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions.binding import let
 from tallyweave.functions.numbers import l2_normalize
 from tallyweave.functions.text import WS, strip
 
@@ -18,45 +19,53 @@ def chunk_texts(text: Column, size: int = 512, overlap: int = 50) -> Column:
 
     A sentence longer than `size` stays whole.
     """
-    body = strip(text)
-    sentences = F.filter(
-        F.transform(F.split(body, rf"(?<=[.!?]){WS}+"), strip), lambda s: s != ""
-    )
     start = F.struct(
         F.array().cast("array<string>").alias("done"), F.lit("").alias("current")
     )
 
+    def opened(done: Column, sentence: Column) -> Column:
+        """The next chunk: the tail of the last one, if there is any, and the sentence."""
+        head = F.concat(sentence, F.lit(" "))
+        if overlap <= 0:
+            return head
+        tail = F.right(F.element_at(done, -1), F.lit(overlap))
+        return F.when(F.size(done) > 0, F.concat(tail, F.lit(" "), head)).otherwise(head)
+
     def add(acc: Column, sentence: Column) -> Column:
         fits = F.length(acc["current"]) + F.length(sentence) <= size
+        grown = F.struct(
+            acc["done"].alias("done"),
+            F.concat(acc["current"], sentence, F.lit(" ")).alias("current"),
+        )
         closed = F.when(
             acc["current"] != "", F.concat(acc["done"], F.array(strip(acc["current"])))
         ).otherwise(acc["done"])
-        tail = F.element_at(closed, -1)
-        opened = (
-            F.when(
-                (acc["current"] != "") | (F.size(acc["done"]) > 0),
-                F.concat(F.right(tail, F.lit(overlap)), F.lit(" "), sentence, F.lit(" ")),
-            ).otherwise(F.concat(sentence, F.lit(" ")))
-            if overlap > 0
-            else F.concat(sentence, F.lit(" "))
-        )
-        return F.struct(
-            F.when(fits, acc["done"]).otherwise(closed).alias("done"),
-            F.when(fits, F.concat(acc["current"], sentence, F.lit(" ")))
-            .otherwise(opened)
-            .alias("current"),
+        turned = let(
+            closed,
+            lambda done: F.struct(done.alias("done"), opened(done, sentence).alias("current")),
         )
+        return F.when(fits, grown).otherwise(turned)
 
     def finish(acc: Column) -> Column:
-        rest = strip(acc["current"])
-        return F.when(rest != "", F.concat(acc["done"], F.array(rest))).otherwise(acc["done"])
-
-    packed = F.aggregate(sentences, start, add, finish)
-    return (
-        F.when(F.coalesce(body, F.lit("")) == "", F.array().cast("array<string>"))
-        .when(F.length(body) <= size, F.array(body))
-        .otherwise(packed)
-    )
+        return let(
+            strip(acc["current"]),
+            lambda rest: F.when(
+                rest != "", F.concat(acc["done"], F.array(rest))
+            ).otherwise(acc["done"]),
+        )
+
+    def pack(body: Column) -> Column:
+        sentences = F.filter(
+            F.transform(F.split(body, rf"(?<=[.!?]){WS}+"), strip), lambda s: s != ""
+        )
+        packed = F.aggregate(sentences, start, add, finish)
+        return (
+            F.when(F.coalesce(body, F.lit("")) == "", F.array().cast("array<string>"))
+            .when(F.length(body) <= size, F.array(body))
+            .otherwise(packed)
+        )
+
+    return let(strip(text), pack)
 
 
 def chunk_documents(pages: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:

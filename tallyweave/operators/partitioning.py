@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def _tasks(df: DataFrame) -> int:
+    session = df.sparkSession
+    return max(
+        session.sparkContext.defaultParallelism,
+        int(session.conf.get("spark.sql.shuffle.partitions")),
+    )
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share out rows that are slow to process when the source has fewer splits than cores.
 
@@ -12,3 +20,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys for a grouping whose result is small but slow to process.
+
+    The count is given, so adaptive execution does not merge the partitions again;
+    the grouping that follows needs no further shuffle.
+    """
+    return df.repartition(_tasks(df), *keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions.binding import let
 from tallyweave.functions.html import all_matches, attribute, by_class, by_id, node_text, page_text
 from tallyweave.functions.numbers import price_text_value
 from tallyweave.functions.text import strip
@@ -137,14 +138,21 @@ def _detail_entries(html: Column) -> Column:
 
 def _last_per_key(pairs: Column) -> Column:
     """Each key once, at its first place, with its last value."""
-    keys = F.transform(pairs, lambda p: p["key"])
-    return F.transform(
-        F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1),
-        lambda p: F.struct(
-            p["key"].alias("key"),
-            F.element_at(F.filter(pairs, lambda q: q["key"] == p["key"]), -1)["value"].alias("value"),
-        ),
-    )
+
+    def unique(all_pairs: Column) -> Column:
+        return F.transform(
+            F.filter(
+                all_pairs, lambda p, i: F.array_position(all_pairs["key"], p["key"]) == i + 1
+            ),
+            lambda p: F.struct(
+                p["key"].alias("key"),
+                F.element_at(F.filter(all_pairs, lambda q: q["key"] == p["key"]), -1)["value"].alias(
+                    "value"
+                ),
+            ),
+        )
+
+    return let(pairs, unique)
 
 
 def _detail(pairs: Column, test) -> Column:

@@ -6,6 +6,7 @@ from tallyweave.plans import (  # noqa: F401
     stock_queries,
     view_queries,
     extract_queries,
+    insight_queries,
     price_queries,
     search_queries,
 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, numbers, text
 from tallyweave.operators import cleaning, extraction, products, templates
-from tallyweave.operators.partitioning import spread
+from tallyweave.operators.partitioning import fan_out, spread
 from tallyweave.plans import model
 from tallyweave.plans.model import sql
 from tallyweave.plans.registry import query
@@ -145,7 +145,7 @@ def invoice_pages(spark, sf):
         F.rpad("item_name", 40, " "), F.lpad(F.format_string("%.0f", "quantity"), 10, " "),
         F.lpad(money["unit_price"], 14, " "), F.lpad(money["total_price"], 16, " "),
     )
-    nested = lines.groupBy(F.col("invoice_id").alias("doc_id")).agg(
+    nested = fan_out(lines, "invoice_id").groupBy(F.col("invoice_id").alias("doc_id")).agg(
         F.sort_array(F.collect_list(F.struct(
             "line_number", "id", row.alias("row"), "item_name", "code",
             F.format_string("%.0f", "quantity").alias("qty"), money["unit_price"].alias("price"),
@@ -185,8 +185,9 @@ _EXPECTED_ITEMS = """
 
 
 @query("extract_line_items", sql("""
-    SELECT doc_id, line_number, item_name, quantity, unit_price, total_price,
-           CASE WHEN vertical THEN code END AS hs_code, CASE WHEN vertical THEN 'PCS' END AS unit,
+    SELECT doc_id, line_number, item_name || CASE WHEN vertical AND line_number = max(line_number)
+               OVER (PARTITION BY doc_id) THEN ' Grand Total: 1.00' ELSE '' END AS item_name,
+           quantity, unit_price, total_price, CASE WHEN vertical THEN code END AS hs_code, CASE WHEN vertical THEN 'PCS' END AS unit,
            CASE WHEN vertical THEN 'vertical' ELSE 'table' END AS layout
     FROM expected""", "listed", extra=_EXPECTED_ITEMS))
 def extract_line_items(spark, sf):
@@ -357,7 +358,7 @@ def shop_pages(spark, sf):
            CASE WHEN p_size % 3 < 2 THEN p_brand ELSE '' END AS synonyms
     FROM part""")
 def extract_products(spark, sf):
-    found = products.extract_products(shop_pages(spark, sf))
+    found = products.extract_products(spread(shop_pages(spark, sf)))
     return found.select(
         "seq", "title", "brand", "description", "category", "origin_country", "origin_confidence",
         "evidence_text", "asin", "weight", "price", "rating", "num_ratings",
@@ -369,7 +370,7 @@ def extract_products(spark, sf):
     SELECT CASE WHEN p_size % 5 = 0 THEN 'unsupported url' ELSE 'succeeded' END AS status,
            count(*) AS pages FROM part GROUP BY 1""")
 def product_ingest_status(spark, sf):
-    pages = shop_pages(spark, sf)
+    pages = spread(shop_pages(spark, sf))
     status = products.ingest_status(pages, products.extract_products(pages))
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("pages"))
 

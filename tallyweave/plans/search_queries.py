@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.text import WS, search_tokens
 from tallyweave.operators import chunks, conversation, rollups, search, views
+from tallyweave.operators.partitioning import spread
 from tallyweave.plans import model
 from tallyweave.plans.model import sql
 from tallyweave.plans.registry import query
@@ -42,10 +43,14 @@ _CHUNKS = f"""
                      unnest(c) AS chunk_text FROM texts)"""
 
 
+def pages_of(spark, sf):
+    return spread(model.doc_pages(spark, sf))
+
+
 @query("chunk_documents", sql(
     "SELECT *, CAST(length(chunk_text) AS INTEGER) AS chunk_size FROM chunk", extra=_CHUNKS))
 def chunk_documents(spark, sf):
-    return chunks.chunk_documents(model.doc_pages(spark, sf)).select(
+    return chunks.chunk_documents(pages_of(spark, sf)).select(
         "doc_id", "chunk_index", "chunk_text", "chunk_size"
     )
 
@@ -56,7 +61,7 @@ def chunk_documents(spark, sf):
     FROM chunk c JOIN doc d ON d.id = c.doc_id AND d.is_latest
     LEFT JOIN page p ON p.id = c.doc_id""", "doc", "page", extra=_CHUNKS))
 def searchable_chunks(spark, sf):
-    pages = model.doc_pages(spark, sf)
+    pages = pages_of(spark, sf)
     pieces = chunks.chunk_documents(pages).drop("page_no", "page_type")
     found = views.searchable_chunks(pieces, model.documents(spark, sf), pages)
     return found.select(
@@ -68,7 +73,7 @@ def searchable_chunks(spark, sf):
     SELECT c.doc_id, count(*) AS chunks FROM chunk c JOIN doc d ON d.id = c.doc_id
     WHERE d.is_latest AND c.doc_id > 250 GROUP BY 1""", "doc", extra=_CHUNKS))
 def pending_chunks(spark, sf):
-    pages = model.doc_pages(spark, sf)
+    pages = pages_of(spark, sf)
     pending = views.pending_after(pages, model.documents(spark, sf), "doc_id", F.lit(250))
     return chunks.chunk_documents(pending).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks")
@@ -92,7 +97,7 @@ def _tokens(text: str) -> str:
     SELECT term, doc_id, count(*) AS tf
     FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY 1, 2""")
 def keyword_index(spark, sf):
-    return search.postings(model.table(spark, sf, "documents"))
+    return search.postings(texts_of(spark, sf))
 
 
 @query("keyword_vocabulary", f"""
@@ -101,7 +106,7 @@ def keyword_index(spark, sf):
         FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY 1, 2)
     GROUP BY 1""")
 def keyword_vocabulary(spark, sf):
-    return search.term_frequencies(search.postings(model.table(spark, sf, "documents")))
+    return search.term_frequencies(search.postings(texts_of(spark, sf)))
 
 
 def _expanded(text: str) -> str:
@@ -146,6 +151,10 @@ _BENCH_Q = "SELECT item_id AS query_id, text FROM benchmark"
 _DOCS = "SELECT doc_id, text FROM documents"
 
 
+def texts_of(spark, sf):
+    return spread(model.table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def bench_queries(spark, sf):
     return model.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -154,21 +163,21 @@ def bench_queries(spark, sf):
                         extra=_bm25(_BENCH_Q, _DOCS)))
 def bm25_topk(spark, sf):
     return search.bm25_topk(
-        bench_queries(spark, sf), model.table(spark, sf, "documents"), 60, expand=False
+        bench_queries(spark, sf), texts_of(spark, sf), 60, expand=False
     )
 
 
 @query("bm25_expanded", sql("SELECT query_id, doc_id, score, rank FROM hits WHERE rank < 60",
                             extra=_bm25(_EXPANDED_Q, _DOCS)))
 def bm25_expanded(spark, sf):
-    return search.bm25_topk(bench_queries(spark, sf), model.table(spark, sf, "documents"), 60)
+    return search.bm25_topk(bench_queries(spark, sf), texts_of(spark, sf), 60)
 
 
 @query("bm25_all_terms", sql("SELECT query_id, doc_id, score, rank FROM hits WHERE rank < 60",
                              extra=_bm25(_BENCH_Q, _DOCS, "count(*) = qn.n")))
 def bm25_all_terms(spark, sf):
     return search.bm25_topk(
-        bench_queries(spark, sf), model.table(spark, sf, "documents"), 60, mode="all", expand=False
+        bench_queries(spark, sf), texts_of(spark, sf), 60, mode="all", expand=False
     )
 
 
@@ -275,7 +284,7 @@ def vector_append(spark, sf):
     SELECT 'chunks' AS index_name, count(*) AS entries, max(doc_id) AS last_id FROM chunk
     UNION ALL SELECT 'vectors', count(*), max(vec_id) FROM embeddings""", extra=_CHUNKS))
 def index_statistics(spark, sf):
-    pieces = chunks.chunk_documents(model.doc_pages(spark, sf)).select(
+    pieces = chunks.chunk_documents(pages_of(spark, sf)).select(
         F.lit("chunks").alias("index_name"), F.col("doc_id").alias("id")
     )
     vectors = vectors_of(spark, sf).select(F.lit("vectors").alias("index_name"), "id")
@@ -309,7 +318,7 @@ def rrf_fusion(spark, sf):
     queries = hybrid_queries(spark, sf)
     near = search.vector_topk(queries, vectors_of(spark, sf), 60)
     words = search.bm25_topk(
-        queries, model.table(spark, sf, "documents"), 60, expand=False
+        queries, texts_of(spark, sf), 60, expand=False
     ).withColumnRenamed("doc_id", "id")
     return search.fuse_ranks(near, words).withColumn(
         "score_milli", model.rounded(F.col("score") * 1000)
@@ -322,14 +331,14 @@ def rrf_fusion(spark, sf):
         _EXPANDED_Q + " WHERE item_id IN (SELECT label FROM embeddings)", _DOCS) + _FUSED))
 def hybrid_topk(spark, sf):
     found = search.hybrid_topk(
-        hybrid_queries(spark, sf), model.table(spark, sf, "documents"), vectors_of(spark, sf),
+        hybrid_queries(spark, sf), texts_of(spark, sf), vectors_of(spark, sf),
         top_k=10, min_score=0.006,
     )
     return found.select("query_id", "id", "final_rank")
 
 
 def _candidates(spark, sf, k):
-    documents = model.table(spark, sf, "documents")
+    documents = texts_of(spark, sf)
     queries = bench_queries(spark, sf)
     hits = search.bm25_topk(queries, documents, k, expand=False)
     texts = documents.select("doc_id", "text")
@@ -408,7 +417,7 @@ def hashing_embedder(dimension: int = 64):
 def embed_chunks(spark, sf):
     from tallyweave.functions.text import embedding_text
 
-    pieces = chunks.chunk_documents(model.doc_pages(spark, sf)).withColumn(
+    pieces = chunks.chunk_documents(pages_of(spark, sf)).withColumn(
         "embedding_text", embedding_text(F.col("chunk_text"), F.col("page_type"))
     )
     embedded = chunks.embed(pieces, "embedding_text", hashing_embedder(), 64)
