@@ -4,6 +4,7 @@ from tallyweave.plans import (  # noqa: F401
     audit_queries,
     catalog_queries,
     stock_queries,
+    stream_queries,
     view_queries,
     extract_queries,
     insight_queries,

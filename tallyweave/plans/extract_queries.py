@@ -136,10 +136,8 @@ def decode_props(spark, sf):
 
 def invoice_pages(spark, sf):
     """Invoices written out as page text: a table, or numbered blocks for odd numbers."""
-    part_of = model.table(spark, sf, "lineitem").select(
-        model.line_key().alias("id"), (F.lit(10000000) + F.col("l_partkey")).alias("code")
-    )
-    lines = model.invoice_items_listed(spark, sf).join(part_of, "id")
+    part_no = F.element_at(F.split("id", "-"), 3).cast("long")
+    lines = model.invoice_items_listed(spark, sf).withColumn("code", F.lit(10000000) + part_no)
     money = {c: F.format_number(c, 2) for c in ("unit_price", "total_price")}
     row = F.concat(
         F.rpad("item_name", 40, " "), F.lpad(F.format_string("%.0f", "quantity"), 10, " "),
