@@ -13,6 +13,12 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The same whitespace as single characters.
+WS_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
 # Words that mark a line of bank details.
 BANK_WORDS = [
     "iban", "swift", "bic", "beneficiary", "bank", "account", "acct", "branch",
@@ -68,7 +74,7 @@ UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
 
 def strip(c: Column) -> Column:
     """Remove Unicode whitespace at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -100,11 +106,16 @@ def safe_string(c: Column, max_length: int = 1000) -> Column:
     ).otherwise(flat)
 
 
+def contains_any(c: Column, words: list[str]) -> Column:
+    hit = F.contains(c, F.lit(words[0]))
+    for word in words[1:]:
+        hit = hit | F.contains(c, F.lit(word))
+    return hit
+
+
 def is_bank_line(c: Column) -> Column:
-    words = "|".join(BANK_WORDS)
-    return F.coalesce(
-        c.rlike(f"(?i)({words})") | c.rlike(IBAN_FORMAT) | c.rlike(SWIFT_FORMAT), F.lit(False)
-    )
+    words = let(F.lower(c), lambda lower: contains_any(lower, BANK_WORDS))
+    return F.coalesce(words | c.rlike(IBAN_FORMAT) | c.rlike(SWIFT_FORMAT), F.lit(False))
 
 
 def is_summary_line(c: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.numbers import line_total, line_total_ok, relative_deviation
 from tallyweave.functions.text import normalized_name, strip
 from tallyweave.operators.contains import contains_pairs
-from tallyweave.operators.history import STATS_KEYS, top_stats
+from tallyweave.operators.history import STATS_KEYS
 
 ISSUE_COLUMNS = [
     "invoice_id", "item_id", "line_number", "code", "severity", "category", "field", "message",
@@ -16,39 +18,42 @@ ISSUE_COLUMNS = [
 ]
 
 
-def _issue(
-    condition: Column,
-    code: str,
-    severity: Column | str,
-    category: str,
-    field: Column | str,
-    message: Column | str,
-    expected: Column | None = None,
-    actual: Column | None = None,
-) -> Column:
-    """One issue struct, or NULL where the rule holds."""
-
-    def text(c: Column | str | None) -> Column:
-        return F.lit(c).cast("string") if c is None or isinstance(c, str) else c.cast("string")
-
-    return F.when(
-        condition,
-        F.struct(
-            F.lit(code).alias("code"),
-            text(severity).alias("severity"),
-            F.lit(category).alias("category"),
-            text(field).alias("field"),
-            text(message).alias("message"),
-            text(expected).alias("expected"),
-            text(actual).alias("actual"),
-        ),
-    )
+@dataclass(frozen=True)
+class Rule:
+    """One audit rule: when it fires and what the issue says."""
+
+    condition: Column
+    code: str
+    severity: Column | str
+    category: str
+    field: Column | str
+    message: Column | str
+    expected: Column | None = None
+    actual: Column | None = None
+
+
+def _text(value: Column | str | None) -> Column:
+    return F.lit(value).cast("string") if value is None or isinstance(value, str) else value.cast("string")
+
+
+def _issues(df: DataFrame, keys: list[Column], rules: list[Rule]) -> DataFrame:
+    """One row per rule that fires, in a single pass over `df`.
+
+    Only the number of the rule is exploded. The texts are worked out behind that,
+    so a plan that needs the codes alone never formats a message.
+    """
+    numbers = F.array(*[F.when(r.condition, F.lit(i)) for i, r in enumerate(rules)])
+    fired = df.withColumn("_rule", F.explode(F.array_compact(numbers)))
 
+    def of(name: str) -> Column:
+        out = None
+        for i, rule in enumerate(rules):
+            test, value = F.col("_rule") == i, _text(getattr(rule, name))
+            out = F.when(test, value) if out is None else out.when(test, value)
+        return out.alias(name)
 
-def _explode(df: DataFrame, keys: list[Column], issues: list[Column]) -> DataFrame:
-    """One row per non-NULL issue, in a single pass over `df`."""
-    found = df.select(*keys, F.explode(F.array_compact(F.array(*issues))).alias("_issue"))
-    return found.select(*[c for c in found.columns if c != "_issue"], "_issue.*")
+    texts = ["code", "severity", "category", "field", "message", "expected", "actual"]
+    return fired.select(*keys, *[of(name) for name in texts])
 
 
 def _line_field(column: str) -> Column:
@@ -70,27 +75,27 @@ def line_issues(lines: DataFrame, max_unit_price: float = 1_000_000) -> DataFram
     qty, price, total = F.col("quantity"), F.col("unit_price"), F.col("total_price")
     expected = line_total(qty, price)
     issues = [
-        _issue(
+        Rule(
             ~line_total_ok(qty, price, total), "LINE_TOTAL_MISMATCH", "error", "math_error",
             _line_field("total_price"),
             _line_message(F.concat(F.lit(" total mismatch: "), total, F.lit(" != "), expected)),
             expected, total,
         ),
-        _issue(qty < 0, "NEGATIVE_QUANTITY", "warning", "value_error",
+        Rule(qty < 0, "NEGATIVE_QUANTITY", "warning", "value_error",
                _line_field("quantity"), _line_message(": Negative quantity")),
-        _issue(price < 0, "NEGATIVE_PRICE", "warning", "value_error",
+        Rule(price < 0, "NEGATIVE_PRICE", "warning", "value_error",
                _line_field("unit_price"), _line_message(": Negative unit price")),
-        _issue(qty == 0, "ZERO_QUANTITY", "warning", "value_error",
+        Rule(qty == 0, "ZERO_QUANTITY", "warning", "value_error",
                _line_field("quantity"), _line_message(": Zero quantity")),
-        _issue(price > max_unit_price, "HIGH_UNIT_PRICE", "warning", "value_warning",
+        Rule(price > max_unit_price, "HIGH_UNIT_PRICE", "warning", "value_warning",
                _line_field("unit_price"),
                _line_message(F.concat(F.lit(": Unusually high unit price: "), price))),
-        _issue(F.coalesce(F.length(strip(F.col("item_name"))) < 3, F.lit(True)),
+        Rule(F.coalesce(F.length(strip(F.col("item_name"))) < 3, F.lit(True)),
                "MISSING_DESCRIPTION", "warning", "missing_field",
                _line_field("item_name"), _line_message(": Missing or too short description")),
     ]
     keys = [F.col("invoice_id"), F.col("id").alias("item_id"), F.col("line_number")]
-    return _explode(lines, keys, issues)
+    return _issues(lines, keys, issues)
 
 
 def duplicate_issues(lines: DataFrame) -> DataFrame:
@@ -119,10 +124,10 @@ def duplicate_issues(lines: DataFrame) -> DataFrame:
         F.col("line_number"),
     )
     field = F.concat(F.lit("items["), F.col("line_number"), F.lit("]"))
-    return _explode(
+    return _issues(
         later,
         [F.col("invoice_id"), F.col("item_id"), F.col("line_number")],
-        [_issue(F.lit(True), "POSSIBLE_DUPLICATE", "warning", "duplicate", field, message)],
+        [Rule(F.lit(True), "POSSIBLE_DUPLICATE", "warning", "duplicate", field, message)],
     )
 
 
@@ -146,34 +151,34 @@ def header_issues(invoices: DataFrame, lines: DataFrame, as_of: Column) -> DataF
     tax_diff = F.abs(total - (F.col("subtotal") + F.col("tax_amount")))
     date, due = F.col("invoice_date"), F.col("due_date")
 
-    def missing(condition: Column, field: str, label: str) -> Column:
-        return _issue(condition, "MISSING_REQUIRED_FIELD", "error", "missing_field", field,
+    def missing(condition: Column, field: str, label: str) -> Rule:
+        return Rule(condition, "MISSING_REQUIRED_FIELD", "error", "missing_field", field,
                       f"Missing required field: {label}")
 
     issues = [
         missing(_blank(F.col("invoice_no")), "invoice_no", "Invoice number"),
         missing(_blank(F.col("seller_name")), "seller_name", "Seller name"),
         missing(date.isNull(), "invoice_date", "Invoice date"),
-        _issue(F.col("_line_count").isNull(), "NO_LINE_ITEMS", "error", "missing_field", "items",
+        Rule(F.col("_line_count").isNull(), "NO_LINE_ITEMS", "error", "missing_field", "items",
                "No line items found"),
-        _issue(
+        Rule(
             _nonzero(total) & (diff > 0.02), "TOTAL_MISMATCH",
             F.when(diff > 1.0, "error").otherwise("warning"), "total_mismatch", "total_amount",
             F.concat(F.lit("Invoice total mismatch: declared "), total, F.lit(" != calculated "),
                      F.format_string("%.2f", calculated)),
             F.round(calculated, 2), total,
         ),
-        _issue(
+        Rule(
             _nonzero(F.col("tax_amount")) & _nonzero(F.col("subtotal")) & _nonzero(total)
             & (tax_diff > 0.02),
             "TAX_CALCULATION_ERROR", "warning", "tax_calculation", "tax_amount",
             "Total doesn't match subtotal + tax",
         ),
-        _issue(date > as_of, "FUTURE_DATE", "warning", "date_error", "invoice_date",
+        Rule(date > as_of, "FUTURE_DATE", "warning", "date_error", "invoice_date",
                F.concat(F.lit("Invoice date is in the future: "), date)),
-        _issue(date < F.date_sub(as_of, 365), "OLD_DATE", "warning", "date_warning",
+        Rule(date < F.date_sub(as_of, 365), "OLD_DATE", "warning", "date_warning",
                "invoice_date", F.concat(F.lit("Invoice date is over 1 year old: "), date)),
-        _issue(due < date, "DUE_BEFORE_INVOICE", "error", "date_error", "due_date",
+        Rule(due < date, "DUE_BEFORE_INVOICE", "error", "date_error", "due_date",
                "Due date is before invoice date"),
     ]
     keys = [
@@ -181,7 +186,7 @@ def header_issues(invoices: DataFrame, lines: DataFrame, as_of: Column) -> DataF
         F.lit(None).cast("string").alias("item_id"),
         F.lit(None).cast("int").alias("line_number"),
     ]
-    return _explode(df, keys, issues)
+    return _issues(df, keys, issues)
 
 
 def arithmetic_checks(invoices: DataFrame, lines: DataFrame) -> DataFrame:
@@ -346,10 +351,10 @@ def price_anomaly_issues(
         "line_number", "item_name", "unit_price", F.round(F.col("deviation") * 100, 1),
         "direction", "avg_price", "min_price", "max_price", "occurrence_count",
     )
-    return _explode(
+    return _issues(
         found,
         [F.col("invoice_id"), F.col("item_id"), F.col("line_number")],
-        [_issue(F.lit(True), "PRICE_ANOMALY", "warning", "price_anomaly",
+        [Rule(F.lit(True), "PRICE_ANOMALY", "warning", "price_anomaly",
                 _line_field("unit_price"), message, F.round("avg_price", 2),
                 F.round("unit_price", 2))],
     )
@@ -417,10 +422,10 @@ def repeat_purchase_issues(
         F.array_join(F.col("prior_dates").cast("array<string>"), ", "),
     )
     field = F.concat(F.lit("items["), F.col("line_number"), F.lit("]"))
-    return _explode(
+    return _issues(
         found,
         [F.col("invoice_id"), F.col("item_id"), F.col("line_number")],
-        [_issue(F.lit(True), "CROSS_INVOICE_DUPLICATE", "warning", "cross_invoice_duplicate",
+        [Rule(F.lit(True), "CROSS_INVOICE_DUPLICATE", "warning", "cross_invoice_duplicate",
                 field, message)],
     )
 

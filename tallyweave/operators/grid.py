@@ -20,18 +20,21 @@ def block_map(
     left_rows: int = 1_000,
     right_rows: int = 50_000,
     split_first: str = "right",
+    left_count: int | None = None,
+    right_count: int | None = None,
 ) -> DataFrame:
     """Run `compare` on every pair of a left block and a right block.
 
     The block counts follow from the row counts, so a task never sees more than
     about `left_rows` x `right_rows` rows, whatever the tables hold. Only what
-    `compare` returns leaves the task; no pair rows are made. Keys must be unique.
+    `compare` returns leaves the task; no pair rows are made. Rows of one key stay
+    together; where a key has several rows, give the number of keys as the count.
     With less than three blocks per core, the `split_first` side is cut finer.
     """
     session = left.sparkSession
     wanted = 3 * session.sparkContext.defaultParallelism
-    n_left = max(1, math.ceil(left.count() / left_rows))
-    n_right = max(1, math.ceil(right.count() / right_rows))
+    n_left = max(1, math.ceil((left.count() if left_count is None else left_count) / left_rows))
+    n_right = max(1, math.ceil((right.count() if right_count is None else right_count) / right_rows))
     if n_left * n_right < wanted:
         if split_first == "right":
             n_right = math.ceil(wanted / n_left)

@@ -97,17 +97,6 @@ def filter_stats(
     return price_stats(history.filter(_all(conditions)))
 
 
-def top_stats(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """The most frequent statistics row per key, as a struct column `stat`.
-
-    Ties go to the smallest remaining grouping keys.
-    """
-    rest = [k for k in STATS_KEYS if k not in keys]
-    order = F.struct(-F.col("occurrence_count"), *[F.col(k) for k in rest])
-    stat = F.struct("occurrence_count", "min_price", "max_price", "avg_price")
-    return stats.groupBy(*keys).agg(F.min_by(stat, order).alias("stat"))
-
-
 def link_material(history: DataFrame, links: DataFrame) -> DataFrame:
     """Set the material on every row whose name is linked.
 

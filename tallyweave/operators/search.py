@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyweave.functions.text import expand_query, search_tokens
 from tallyweave.operators.grid import block_map
@@ -18,6 +20,9 @@ B = 0.75
 LEAST_IDF = 1e-6
 
 SCORE_DIGITS = 6
+QUERY_BLOCK = 200
+DOCUMENT_BLOCK = 20_000
+DENSE_CELLS = 4_000_000
 
 
 def _terms(df: DataFrame, keep: list[str], tokens: Column, stems: DataFrame | None) -> DataFrame:
@@ -39,29 +44,81 @@ def term_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25_scores(
+def _keyword_block(k: int, match_all: bool, schema: pa.Schema):
+    """Scores of a block of queries against a block of documents, as matrix products."""
+
+    def compare(queries: pa.Table, documents: pa.Table) -> pa.Table:
+        vocabulary = pc.unique(queries.column("term"))
+        at = pc.index_in(documents.column("term"), value_set=vocabulary)
+        documents = documents.append_column("at", at).filter(pc.is_valid(at))
+        if not queries.num_rows or not documents.num_rows:
+            return schema.empty_table()
+        query_ids, query_rows = _codes(queries.column("query_id"))
+        doc_ids, doc_rows = _codes(documents.column("doc_id"))
+        query_terms = pc.index_in(queries.column("term"), value_set=vocabulary).to_numpy()
+        asked = np.zeros((len(query_ids), len(vocabulary)))
+        asked[query_rows, query_terms] = queries.column("repeats").to_numpy()
+        order = np.argsort(doc_rows, kind="stable")
+        doc_rows = doc_rows[order]
+        doc_terms = documents.column("at").to_numpy()[order]
+        weights = documents.column("weight").to_numpy()[order]
+        kept: list[list[tuple]] = [[] for _ in query_ids]
+        height = max(1, DENSE_CELLS // len(vocabulary))
+        for first in range(0, len(doc_ids), height):
+            low, high = np.searchsorted(doc_rows, [first, first + height])
+            held = np.zeros((min(height, len(doc_ids) - first), len(vocabulary)))
+            held[doc_rows[low:high] - first, doc_terms[low:high]] = weights[low:high]
+            scores = np.round(asked @ held.T, SCORE_DIGITS)
+            matched = (asked > 0).astype(np.float32) @ (held > 0).astype(np.float32).T
+            least = (asked > 0).sum(axis=1) if match_all else np.ones(len(query_ids))
+            for q in range(len(query_ids)):
+                hits = np.flatnonzero(matched[q] >= least[q])
+                if len(hits) > k:
+                    floor = np.partition(scores[q, hits], len(hits) - k)[len(hits) - k]
+                    hits = hits[scores[q, hits] >= floor]
+                kept[q] += [(-scores[q, d], doc_ids[first + d]) for d in hits.tolist()]
+        rows = [
+            (query_ids[q], doc, -score)
+            for q, found in enumerate(kept)
+            for score, doc in sorted(found)[:k]
+        ]
+        columns = [list(c) for c in zip(*rows)] if rows else [[], [], []]
+        return pa.table(columns, schema=schema)
+
+    return compare
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[list, np.ndarray]:
+    """Distinct values and the position of each row's value among them."""
+    encoded = column.combine_chunks().dictionary_encode()
+    return encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+
+
+def bm25_topk(
     queries: DataFrame,
     documents: DataFrame,
+    k: int = 60,
     mode: str = "any",
     expand: bool = True,
     stems: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, doc_id, score) of all documents that match.
+    """The k best documents (doc_id, text) of every query (query_id, text).
 
-    Occurrences are cut down to the words of the queries before they are counted,
-    and counted per document before any shuffle, so the exchange carries one row
-    per document and query word. A word found in most documents spreads over many
-    documents in the join; its postings are never gathered.
+    Occurrences are cut down to the words of the queries and counted per document
+    first, so one row per document and query word is shuffled. Blocks of queries
+    then meet blocks of documents, and a block only returns its k best rows: a word
+    that most documents hold makes no row per query and document.
     """
     text = expand_query(F.col("text")) if expand else F.col("text")
     wanted = (
         _terms(queries, ["query_id"], search_tokens(text), stems)
         .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("_weight"))
+        .agg(F.count(F.lit(1)).cast("double").alias("repeats"))
     )
     vocabulary = wanted.select("term").distinct()
-    tokens = documents.select("doc_id", search_tokens(F.col("text")).alias("_tokens"))
-    sized = tokens.withColumn("_length", F.size("_tokens"))
+    sized = documents.select("doc_id", search_tokens(F.col("text")).alias("_tokens")).withColumn(
+        "_length", F.size("_tokens")
+    )
     corpus = sized.agg(
         F.count(F.lit(1)).alias("_n"), F.avg(F.col("_length").cast("double")).alias("_mean_length")
     )
@@ -71,23 +128,28 @@ def bm25_scores(
         .groupBy("doc_id", "_length", "term")
         .agg(F.count(F.lit(1)).alias("_tf"))
     )
-    frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     # `corpus` is a single row.
-    weighted = wanted.join(frequency, "term").crossJoin(F.broadcast(corpus))
+    frequency = (
+        counted.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(corpus))
+    )
     idf = F.greatest(
         F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF)
     )
     norm = K1 * (1 - B + B * F.col("_length") / F.col("_mean_length"))
-    part = F.col("_weight") * idf * (F.col("_tf") * (K1 + 1)) / (F.col("_tf") + norm)
-    scored = (
-        counted.join(weighted, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("_matched"))
+    weighted = counted.join(frequency, "term").select(
+        "doc_id", "term", (idf * (F.col("_tf") * (K1 + 1)) / (F.col("_tf") + norm)).alias("weight")
+    )
+    schema = (
+        f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(documents.dtypes)['doc_id']}, "
+        "score double"
+    )
+    arrow = to_arrow_schema(queries.sparkSession.createDataFrame([], schema).schema)
+    best = block_map(
+        wanted, weighted, "query_id", "doc_id", _keyword_block(k, mode == "all", arrow), schema,
+        left_rows=QUERY_BLOCK, right_rows=DOCUMENT_BLOCK,
+        left_count=queries.count(), right_count=documents.count(),
     )
-    if mode == "all":
-        sizes = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("_terms"))
-        scored = scored.join(sizes, "query_id").filter("_matched = _terms").drop("_terms")
-    return scored.withColumn("score", F.round("score", SCORE_DIGITS)).drop("_matched")
+    return top_ranked(best, k, "doc_id")
 
 
 def top_ranked(scores: DataFrame, k: int, id_col: str) -> DataFrame:
@@ -101,10 +163,6 @@ def top_ranked(scores: DataFrame, k: int, id_col: str) -> DataFrame:
     )
 
 
-def bm25_topk(queries: DataFrame, documents: DataFrame, k: int = 60, **options) -> DataFrame:
-    return top_ranked(bm25_scores(queries, documents, **options), k, "doc_id")
-
-
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
     column = table.column(name).combine_chunks()
     rows = len(column)
@@ -149,8 +207,6 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 60) -> DataFram
     `queries`: query_id, embedding. `vectors`: id, embedding. Blocks of queries
     meet blocks of vectors as matrix products; each block sends its k best only.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     types = dict(queries.dtypes) | dict(vectors.dtypes)
     schema = f"query_id {types['query_id']}, id {types['id']}, score double"
     arrow = to_arrow_schema(queries.sparkSession.createDataFrame([], schema).schema)
