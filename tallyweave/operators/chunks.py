@@ -75,8 +75,10 @@ def chunk_documents(pages: DataFrame, size: int = 512, overlap: int = 50) -> Dat
         F.col("id").alias("page_id"),
         "page_no",
         "page_type",
-        F.posexplode(chunk_texts(F.col("text"), size, overlap)).alias("chunk_index", "chunk_text"),
-    ).withColumn("chunk_size", F.length("chunk_text"))
+        F.posexplode_outer(chunk_texts(F.col("text"), size, overlap)).alias(
+            "chunk_index", "chunk_text"
+        ),
+    ).filter(F.col("chunk_text").isNotNull()).withColumn("chunk_size", F.length("chunk_text"))
 
 
 Embedder = Callable[[list[str]], np.ndarray]

@@ -26,7 +26,11 @@ DENSE_CELLS = 4_000_000
 
 
 def _terms(df: DataFrame, keep: list[str], tokens: Column, stems: DataFrame | None) -> DataFrame:
-    exploded = df.select(*keep, F.explode(tokens).alias("term"))
+    # An outer explode keeps the optimizer from testing the token list for emptiness
+    # first, which would split the text twice.
+    exploded = df.select(*keep, F.explode_outer(tokens).alias("term")).filter(
+        F.col("term").isNotNull()
+    )
     if stems is None:
         return exploded
     return exploded.join(stems, "term", "left").select(
@@ -128,9 +132,12 @@ def bm25_topk(
         .groupBy("doc_id", "_length", "term")
         .agg(F.count(F.lit(1)).alias("_tf"))
     )
-    # `corpus` is a single row.
+    # `corpus` is a single row. Counting over `_tf` keeps both uses of `counted` alike,
+    # so that its shuffle is done once.
     frequency = (
-        counted.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(corpus))
+        counted.groupBy("term")
+        .agg(F.count_if(F.col("_tf") > 0).alias("_df"))
+        .crossJoin(F.broadcast(corpus))
     )
     idf = F.greatest(
         F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF)
