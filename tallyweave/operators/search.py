@@ -44,6 +44,13 @@ def postings(documents: DataFrame, text_col: str = "text", stems: DataFrame | No
     return occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """Distinct search words of a text column."""
+    return texts.select(F.explode_outer(search_tokens(F.col(text_col))).alias("term")).filter(
+        F.col("term").isNotNull()
+    ).distinct()
+
+
 def term_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.text import WS, search_tokens
 from tallyweave.operators import chunks, conversation, rollups, search, views
 from tallyweave.operators.partitioning import spread
+from tallyweave.operators.stemming import stem_table
 from tallyweave.plans import model
 from tallyweave.plans.model import sql
 from tallyweave.plans.registry import query
@@ -173,6 +174,13 @@ def bm25_expanded(spark, sf):
     return search.bm25_topk(bench_queries(spark, sf), texts_of(spark, sf), 60)
 
 
+@query("bm25_stemmed", None)
+def bm25_stemmed(spark, sf):
+    documents, queries = texts_of(spark, sf), bench_queries(spark, sf)
+    words = search.vocabulary(documents.select("text").unionByName(queries.select("text")))
+    return search.bm25_topk(queries, documents, 60, stems=stem_table(words))
+
+
 @query("bm25_all_terms", sql("SELECT query_id, doc_id, score, rank FROM hits WHERE rank < 60",
                              extra=_bm25(_BENCH_Q, _DOCS, "count(*) = qn.n")))
 def bm25_all_terms(spark, sf):
