@@ -252,17 +252,22 @@ def stock_ledger(
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in movements.schema.fields]
     schema = ", ".join(fields) + ", " + _FOLDED
     keys = [F.col(c) for c in order]
-    sizes = movements.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
-    # At most (all rows / hot_rows) items can be hot.
-    hot = [r["item_id"] for r in sizes.filter(F.col("_n") > hot_rows).select("item_id").collect()]
-    plain = ready if not hot else ready.filter(~F.col("item_id").isin(hot))
+    hot = cut_lineage(
+        movements.groupBy("item_id")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_rows)
+        .select("item_id")
+    )
+    no_hot_items = hot.isEmpty()
+    plain = ready if no_hot_items else ready.join(hot, "item_id", "left_anti")
     folded = (
-        plain.repartition("item_id")
+        plain.select(*ready.columns)
+        .repartition("item_id")
         .sortWithinPartitions("item_id", *keys)
         .mapInArrow(lambda batches: fold_partition(batches, keep), schema)
     )
-    if not hot:
+    if no_hot_items:
         return folded
     partitions = int(movements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = _fold_hot(ready.filter(F.col("item_id").isin(hot)), keep, keys, schema, partitions)
-    return folded.unionByName(rest)
+    split = ready.join(hot, "item_id", "left_semi").select(*ready.columns)
+    return folded.unionByName(_fold_hot(split, keep, keys, schema, partitions))

@@ -224,6 +224,44 @@ def keyword_item_hits(spark, sf):
     )
 
 
+@query("keyword_chunk_hits", sql("""
+    SELECT h.query_id, h.doc_id AS chunk_id, h.score, h.rank, d.text AS chunk_text, p.page_no,
+           p.page_type
+    FROM hits h JOIN d ON d.doc_id = h.doc_id LEFT JOIN page p ON p.id = h.doc_id
+    WHERE h.rank < 20""", "page", extra=_bm25(
+        _BENCH_Q, "SELECT doc_id || ':' || chunk_index AS doc_id, chunk_text AS text FROM chunk"
+    )).replace("q AS (", _CHUNKS.strip() + ",\n    q AS (", 1).replace(
+        "p.id = h.doc_id", "p.id = split_part(h.doc_id, ':', 1)::BIGINT"))
+def keyword_chunk_hits(spark, sf):
+    pages = pages_of(spark, sf)
+    pieces = chunks.chunk_documents(pages).select(
+        F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), "page_id", "chunk_text"
+    )
+    texts = pieces.select(F.col("chunk_id").alias("doc_id"), F.col("chunk_text").alias("text"))
+    hits = search.bm25_topk(bench_queries(spark, sf), texts, 20, expand=False)
+    found = views.hits_with_chunks(hits.withColumnRenamed("doc_id", "chunk_id"), pieces, pages)
+    return found.drop("page_id")
+
+
+@query("vectors_with_entity", """
+    SELECT vec_id AS id FROM embeddings WHERE vec_id IN (
+        SELECT doc_id FROM documents WHERE lang <> 'de')""")
+def vectors_with_entity(spark, sf):
+    entities = views.latest(model.documents(spark, sf))
+    return views.drop_orphan_vectors(vectors_of(spark, sf), entities).select("id")
+
+
+@query("session_facts", """
+    SELECT user_id AS session_id, event_id::VARCHAR AS key, event_type AS fact_type, value
+    FROM events WHERE event_type = 'purchase'""")
+def session_facts(spark, sf):
+    facts = model.table(spark, sf, "events").select(
+        F.col("user_id").alias("session_id"), F.col("event_id").cast("string").alias("key"),
+        F.col("event_type").alias("fact_type"), "value", F.col("ts").alias("updated_at"),
+    )
+    return conversation.session_facts(facts, fact_type="purchase").drop("updated_at")
+
+
 def label_queries(spark, sf):
     """One query vector per label: the mean of its vectors."""
     vectors = model.table(spark, sf, "embeddings")

@@ -17,6 +17,15 @@ def _stream(spark, sf, name):
     return jobs.read_stream(spark, sf, schema, f"{name}.parquet")
 
 
+def _append(stream):
+    """One state partition per core is enough for tables that are drained in one go."""
+    return jobs.drain_append(stream, stream.sparkSession.sparkContext.defaultParallelism)
+
+
+def _update(stream, keys):
+    return jobs.drain_update(stream, keys, stream.sparkSession.sparkContext.defaultParallelism)
+
+
 def _lines(spark, sf):
     line = _stream(spark, sf, "lineitem")
     part = model.table(spark, sf, "part")
@@ -44,7 +53,7 @@ def _history(spark, sf):
     SELECT item_name_normalized, hs_code, seller_name, invoice_id, invoice_date, quantity,
            rnd(unit_price) AS unit_price, currency FROM hist""", "hist"))
 def stream_price_history(spark, sf):
-    return jobs.drain_append(_history(spark, sf)).withColumn(
+    return _append(_history(spark, sf)).withColumn(
         "unit_price", model.rounded("unit_price")
     )
 
@@ -52,7 +61,7 @@ def stream_price_history(spark, sf):
 @query("stream_price_stats", sql(_STATS_SELECT, "stats"))
 def stream_price_stats(spark, sf):
     stats = jobs.stats_stream(_history(spark, sf))
-    return _rounded_stats(jobs.drain_update(stats, jobs.STATS_STREAM_KEYS))
+    return _rounded_stats(_update(stats, jobs.STATS_STREAM_KEYS))
 
 
 @query("stream_session_activity", """
@@ -61,7 +70,7 @@ def stream_session_activity(spark, sf):
     messages = _stream(spark, sf, "events").select(
         F.col("user_id").alias("session_id"), F.col("ts").alias("created_at")
     )
-    return jobs.drain_update(jobs.activity_stream(messages), ["session_id"])
+    return _update(jobs.activity_stream(messages), ["session_id"])
 
 
 @query("stream_chunks", sql("SELECT doc_id, chunk_index, chunk_text FROM chunk", extra=_CHUNKS))
@@ -70,7 +79,7 @@ def stream_chunks(spark, sf):
         F.col("doc_id").alias("id"), "doc_id", F.lit(1).alias("page_no"),
         F.col("source").alias("page_type"), "text",
     )
-    return jobs.drain_append(jobs.index_pages(pages)).select(
+    return _append(jobs.index_pages(pages)).select(
         "doc_id", "chunk_index", "chunk_text"
     )
 
@@ -117,7 +126,7 @@ _EVENT_FOLD = """
     SELECT item_id, id, movement_type, quantity, accepted, rnd(held / 1000000) AS quantity_on_hand,
            rnd(mean) AS avg_cost FROM fold""", extra=_EVENT_FOLD, recursive=True))
 def stream_stock_ledger(spark, sf):
-    ledger = jobs.drain_append(jobs.ledger_stream(_movements(spark, sf)))
+    ledger = _append(jobs.ledger_stream(_movements(spark, sf)))
     return ledger.select(
         "item_id", "id", "movement_type", "quantity", "accepted",
         model.rounded("quantity_on_hand").alias("quantity_on_hand"),
@@ -130,7 +139,7 @@ def stream_stock_ledger(spark, sf):
     extra=_EVENT_FOLD, recursive=True))
 def stream_low_stock(spark, sf):
     ledger = jobs.ledger_stream(_movements(spark, sf))
-    return jobs.drain_append(jobs.low_stock_stream(ledger)).select("item_id", "id")
+    return _append(jobs.low_stock_stream(ledger)).select("item_id", "id")
 
 
 @query("stream_repeat_purchases", """
@@ -145,7 +154,7 @@ def stream_repeat_purchases(spark, sf):
             F.col("user_id").cast("string").alias("seller"), F.col("ts").cast("timestamp").alias("at"),
         )
 
-    found = jobs.drain_append(jobs.repeat_purchase_stream(side(), side(), window_days=3))
+    found = _append(jobs.repeat_purchase_stream(side(), side(), window_days=3))
     return found.select(
         "id", "name", "seller", F.col("line_day").cast("date").alias("line_day"),
         F.col("prior_day").cast("date").alias("prior_day"),

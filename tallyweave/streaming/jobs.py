@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,19 +73,33 @@ def upsert_to(stream: DataFrame, path: str, checkpoint: str):
     )
 
 
-def drain_append(stream: DataFrame) -> DataFrame:
+@contextmanager
+def state_tasks(spark: SparkSession, count: int | None) -> Iterator[None]:
+    """State partitions of the queries started inside; a query keeps its number for good."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(count or before))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain_append(stream: DataFrame, tasks: int | None = None) -> DataFrame:
     """Run an append stream over what is there and return the written table."""
     spark = stream.sparkSession
     folder = work_folder(spark)
-    append_to(stream, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    with state_tasks(spark, tasks):
+        append_to(stream, f"{folder}/rows", f"{folder}/state").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def drain_update(stream: DataFrame, keys: list[str]) -> DataFrame:
+def drain_update(stream: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """Run an update stream over what is there and return the newest row per key."""
     spark = stream.sparkSession
     folder = work_folder(spark)
-    upsert_to(stream, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    with state_tasks(spark, tasks):
+        upsert_to(stream, f"{folder}/rows", f"{folder}/state").awaitTermination()
     rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
     values = [c for c in stream.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch")).alias("_r"))
