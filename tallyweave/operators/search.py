@@ -85,8 +85,8 @@ def _keyword_block(k: int, match_all: bool, schema: pa.Schema):
             for q in range(len(query_ids)):
                 hits = np.flatnonzero(matched[q] >= least[q])
                 if len(hits) > k:
-                    floor = np.partition(scores[q, hits], len(hits) - k)[len(hits) - k]
-                    hits = hits[scores[q, hits] >= floor]
+                    # Documents are numbered in id order, so a stable sort breaks ties by id.
+                    hits = hits[np.argsort(-scores[q, hits], kind="stable")[:k]]
                 kept[q] += [(-scores[q, d], doc_ids[first + d]) for d in hits.tolist()]
         rows = [
             (query_ids[q], doc, -score)
@@ -100,9 +100,12 @@ def _keyword_block(k: int, match_all: bool, schema: pa.Schema):
 
 
 def _codes(column: pa.ChunkedArray) -> tuple[list, np.ndarray]:
-    """Distinct values and the position of each row's value among them."""
+    """Distinct values in order and the position of each row's value among them."""
     encoded = column.combine_chunks().dictionary_encode()
-    return encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+    order = pc.sort_indices(encoded.dictionary).to_numpy()
+    position = np.empty(len(order), dtype=np.int64)
+    position[order] = np.arange(len(order))
+    return encoded.dictionary.take(pa.array(order)).to_pylist(), position[encoded.indices.to_numpy()]
 
 
 def bm25_topk(
