@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import line_dedup, url_filters
+from tallyweave.llm import (
+    embedding_dedup,
+    language_id,
+    line_dedup,
+    packing,
+    quality_rules,
+    toxicity,
+    url_filters,
+)
 from tallyweave.llm.common import read
 
 
@@ -15,13 +23,38 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, url_filters.default_rules()).drop("url")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_query(read(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_query(read(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_query(read(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_query(read(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_query(read(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_language_id": op7_language_id,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
