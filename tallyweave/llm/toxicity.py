@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyweave.llm.common import owners, slices, stash, word_lists
+from tallyweave.llm.common import owners, ranges, slices, stash, word_lists
 from tallyweave.llm.language_id import held_out
 
 #: Labelled documents of each label that the model is fitted on, at most: those with the
@@ -20,7 +20,9 @@ from tallyweave.llm.language_id import held_out
 SAMPLE = 6000
 #: Words that the model weighs, at most: those whose presence tells the labels apart best.
 VOCABULARY = 2048
-_MIN_DOCS = 3
+#: Lengths of word beginnings that count as features beside the words themselves.
+PREFIXES = (4, 5, 6, 7)
+_MIN_SENTENCES = 3
 _ENDS = r"[.!?\n]+"
 
 
@@ -47,24 +49,36 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -20.0
 
+    def __post_init__(self) -> None:
+        self.table = {w: k for k, w in enumerate(self.weights)}
+        self.values = np.array(list(self.weights.values()), float)
 
-def _word_values(words: pa.Array, table: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the words that `table` knows, and their entries."""
+
+def _features(word: str) -> list[str]:
+    """A word's features: itself, and its beginnings of PREFIXES letters, marked by ``^``."""
+    plain = _plain(word)
+    return [plain, *("^" + plain[:n] for n in PREFIXES if len(plain) >= n)] if plain else []
+
+
+def _coded(words: pa.Array, table: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the word, and number in `table`, of every feature that `table` knows."""
     coded = words.dictionary_encode()
-    entries = [table.get(_plain(w)) for w in coded.dictionary.to_pylist()]
-    known = np.fromiter((e is not None for e in entries), bool, len(entries))
-    values = np.fromiter((0 if e is None else e for e in entries), float, len(entries))
-    codes = np.asarray(coded.indices)
-    at = np.flatnonzero(known[codes]) if len(codes) else np.empty(0, np.int64)
-    return at, values[codes[at]] if len(at) else np.empty(0)
+    found = [[table[f] for f in _features(w) if f in table] for w in coded.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter((k for row in found for k in row), np.int64, int(sizes.sum()))
+    codes = np.asarray(coded.indices).astype(np.int64)
+    if not len(codes):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    counts = sizes[codes]
+    return np.repeat(np.arange(len(codes)), counts), flat[ranges((np.cumsum(sizes) - sizes)[codes], counts)]
 
 
 def sentence_scores(texts: pa.Array, model: Model) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All sentences, where each text's begin, and each sentence's probability."""
     sentences, begins = _sentences(texts)
     words, word_begins = word_lists(sentences)
-    at, values = _word_values(words, model.weights)
-    z = model.bias + np.bincount(owners(word_begins)[at], values, len(sentences))
+    at, which = _coded(words, model.table)
+    z = model.bias + np.bincount(owners(word_begins)[at], model.values[which], len(sentences))
     return sentences, begins, 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
@@ -88,29 +102,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
 
 
 def _vocabulary(sample: DataFrame, size: int) -> list[str]:
-    """Words that documents of one label hold markedly more often than the others'."""
+    """Words that sentences of one label hold markedly more often than the others'.
+
+    Distinct sentences are counted, so that copies of a document are no added evidence; a
+    sentence that stands in a clean document is clean.
+    """
+    found = sample.select("y", F.explode(F.split(F.coalesce("text", F.lit("")), _ENDS, -1)).alias("text")).where(
+        F.length(F.trim("text")) > 0).groupBy("text").agg(F.min("y").alias("y"))
+    found = stash(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            words, begins = word_lists(pc.replace_substring_regex(pc.fill_null(part.column("text"), ""), _ENDS, " "))
-            coded = words.dictionary_encode()
-            plain = pa.array([_plain(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
-            names = plain.dictionary
-            if not len(names):
+            words, begins = word_lists(part.column("text"))
+            names: dict[str, int] = {}
+            for word in words.dictionary_encode().dictionary.to_pylist():
+                for feature in _features(word):
+                    names.setdefault(feature, len(names))
+            if not names:
                 continue
-            codes = np.asarray(plain.indices)[np.asarray(coded.indices)].astype(np.int64)
-            pairs = np.unique(owners(begins) * len(names) + codes)
+            at, codes = _coded(words, names)
+            pairs = np.unique(owners(begins)[at] * len(names) + codes)
             y = np.asarray(part.column("y"))[pairs // len(names)]
             n = np.bincount(pairs % len(names), minlength=len(names))
             p = np.bincount(pairs % len(names), y, len(names))
-            yield pa.RecordBatch.from_arrays([names, pa.array(n), pa.array(p.astype(np.int64))], ["word", "n", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(n), pa.array(p.astype(np.int64))], ["word", "n", "p"])
 
-    totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    totals = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()}
     good, bad = totals.get(0, 0), totals.get(1, 0)
     if not good or not bad:
         return []
-    counts = sample.select("y", "text").mapInArrow(run, "word string, n long, p long").groupBy("word").agg(
-        F.sum("n").alias("n"), F.sum("p").alias("p")).where((F.col("n") >= _MIN_DOCS) & (F.col("word") != ""))
+    counts = found.select("y", "text").mapInArrow(run, "word string, n long, p long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("p").alias("p")).where(F.col("n") >= _MIN_SENTENCES)
     rate = F.col("n") / (good + bad)
     z = (F.col("p") / bad - (F.col("n") - F.col("p")) / good) / F.sqrt(
         rate * (1 - rate) * (1 / good + 1 / bad) + 1e-12)
@@ -126,20 +148,20 @@ def _bags(sample: DataFrame, words: list[str]) -> pa.Table:
         for part in slices(batches, "text"):
             sentences, begins = _sentences(part.column("text"))
             found, word_begins = word_lists(sentences)
-            at, values = _word_values(found, table)
+            at, which = _coded(found, table)
             sentence = owners(word_begins)[at]
             doc = np.searchsorted(begins, sentence, side="right") - 1
             edges = pa.array(np.searchsorted(doc, np.arange(len(begins))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
                 part.column("y"), part.column("share"), pa.array(np.diff(begins)),
                 pa.ListArray.from_arrays(edges, pa.array((sentence - begins[doc]).astype(np.int32))),
-                pa.ListArray.from_arrays(edges, pa.array(values.astype(np.int32)))],
+                pa.ListArray.from_arrays(edges, pa.array(which.astype(np.int32)))],
                 ["y", "share", "n", "sentence", "word"])
 
     return sample.mapInArrow(run, "y int, share double, n long, sentence array<int>, word array<int>").toArrow()
 
 
-def _fit(bags: pa.Table, n_words: int, rounds: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def _fit(bags: pa.Table, n_words: int, rounds: int = 300, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that make noisy-or over sentences follow the labels (Adam steps)."""
     bags = bags.combine_chunks()
     y, share = np.asarray(bags["y"]).astype(float), np.asarray(bags["share"])
@@ -163,7 +185,7 @@ def _fit(bags: pa.Table, n_words: int, rounds: int = 300, ridge: float = 1e-3) -
         clear = np.exp(-clean)
         pull = np.where(y > 0, -clear / np.maximum(1 - clear, 1e-9), 1.0) * scale
         slope = pull[owner] * p
-        gradient = np.append(np.bincount(word, slope[instance], n_words) + ridge * weights / n_words,
+        gradient = np.append(np.bincount(word, slope[instance], n_words) + ridge * weights,
                              slope.sum() + (pull * empty * p_empty).sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient * gradient
