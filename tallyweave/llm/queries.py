@@ -10,6 +10,7 @@ from tallyweave.llm import (
     embedding_dedup,
     language_id,
     line_dedup,
+    ngram_join,
     packing,
     quality_rules,
     toxicity,
@@ -27,6 +28,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_query(read(spark, sf_dir, "embeddings"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_query(read(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_query(read(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
