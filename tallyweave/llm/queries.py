@@ -13,6 +13,7 @@ from tallyweave.llm import (
     ngram_join,
     packing,
     quality_rules,
+    substring_dedup,
     toxicity,
     url_filters,
 )
@@ -48,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_query(read(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_query(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
 }
 
