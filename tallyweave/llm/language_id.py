@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave.llm.common import slices
 
@@ -157,24 +158,25 @@ class _Scorer:
 
 
 def predict_language(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE,
-                     text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score (replaced if there); only the text is looked at.
+                     text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with two columns `names` (replaced if there); only the text is looked at.
 
     The score is 1 less the out-of-place distance over the largest one possible. Texts that
     are null or hold no letter, and all texts if nothing was learned, get `und` and 0. Ties
     go to the first language by name. Whole texts are read; rows stay where they are.
     """
     scorer = _Scorer(profiles, size)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double")
+    kept = [c for c in docs.columns if c not in names]
+    plain = docs.select(*[F.col(f"`{c}`") for c in kept])
+    schema = StructType(list(plain.schema.fields)).add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            names, scores = scorer(part.column(text_col).to_pylist())
+            langs, scores = scorer(part.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
+                [*part.columns, pa.array(langs, pa.string()), pa.array(scores)], [*kept, *names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)
 
 
 def held_out(doc_id, parts: int, part: int):
@@ -194,9 +196,7 @@ def drop_foreign(docs: DataFrame, min_score: float = 0.1) -> DataFrame:
 
     Profiles are learned from all labelled rows of `docs` itself. Columns stay as they are.
     """
-    names = docs.columns
     profiles = language_profiles(docs.select("lang", "text"))
-    marked = docs.withColumn("_body", F.col("text"))
-    out = predict_language(marked, profiles, text_col="_body")
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(
-        *[F.col(f"`{c}`") for c in names])
+    out = predict_language(docs, profiles, names=("_found_lang", "_found_score"))
+    return out.where((F.col("_found_lang") != UNKNOWN) & (F.col("_found_score") >= min_score)).drop(
+        "_found_lang", "_found_score")

@@ -12,6 +12,7 @@ from tallyweave.llm import (
     line_dedup,
     ngram_join,
     packing,
+    piece_tokens,
     quality_rules,
     substring_dedup,
     toxicity,
@@ -57,6 +58,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens.token_query(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_piece_tokens": op10_piece_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {
