@@ -59,17 +59,17 @@ def drop_repeated_lines(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
     stays null with no lines; a text that loses every line becomes empty. All rows stay.
     """
     gone = repeated_lines(docs, width, id_col, text_col).select(
-        F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.col("dropped").alias("gone_at"))
+        "id", "text_hash", F.col("dropped").alias("at")).alias("gone")
     text = F.col(f"d.`{text_col}`")
     key = F.col(f"d.`{id_col}`")
     joined = docs.alias("d").join(
-        gone, key.eqNullSafe(F.col("gone_id")) & (text_key(text) == F.col("gone_hash")), "left")
-    removed = F.coalesce(F.size("gone_at"), F.lit(0))
-    removed = F.when(F.col("gone_at").isNull(), F.lit(0)).otherwise(removed).cast("long")
+        gone, key.eqNullSafe(F.col("gone.id")) & (text_key(text) == F.col("gone.text_hash")), "left")
+    removed = F.coalesce(F.size("gone.at"), F.lit(0))
+    removed = F.when(F.col("gone.at").isNull(), F.lit(0)).otherwise(removed).cast("long")
     kept = F.array_join(F.filter(
-        F.transform(_lines(text), lambda x, i: F.when(~F.array_contains(F.col("gone_at"), i), x)),
+        F.transform(_lines(text), lambda x, i: F.when(~F.array_contains(F.col("gone.at"), i), x)),
         lambda x: x.isNotNull()), "\n")
-    columns = [F.when(F.col("gone_at").isNull(), text).otherwise(kept).alias(c) if c == text_col
+    columns = [F.when(F.col("gone.at").isNull(), text).otherwise(kept).alias(c) if c == text_col
                else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*columns, F.when(text.isNull(), F.lit(0)).otherwise(
         F.size(_lines(text))).cast("long").alias("n_lines"), removed.alias("n_removed"))

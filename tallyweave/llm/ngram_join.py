@@ -451,4 +451,4 @@ def jaccard_query(docs: DataFrame) -> DataFrame:
 def keep_first_of_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` less the documents whose group has a smaller id; rows with a null id stay."""
     groups = jaccard_groups(docs, width, percent).where("id <> component_id").select(F.col("id").alias("gone")).distinct()
-    return docs.join(groups, docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.alias("d").join(groups.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")

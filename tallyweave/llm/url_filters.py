@@ -113,14 +113,14 @@ def judge_urls(pages: DataFrame, rules: Iterable[UrlRule], url: str = "url",
     made = ("host", "path", "rule", "pattern", "verdict")
     rest = [F.col(f"p.`{c}`") for c in pages.columns if c not in made]
     address = F.col(f"p.`{url}`")
-    joined = pages.alias("p").join(best, address == F.col("u"), "left")
+    joined = pages.alias("p").join(best.alias("b"), address == F.col("b.u"), "left")
     return joined.select(
         *rest,
         url_host(address).alias("host"),
         url_path(address).alias("path"),
-        F.when(F.col("hit.first") == 1, F.col("hit.name")).alias("rule"),
-        F.when(F.col("hit.first") == 0, F.col("hit.name")).alias("pattern"),
-        F.coalesce("hit.rule_verdict", F.lit(default)).alias("verdict"))
+        F.when(F.col("b.hit.first") == 1, F.col("b.hit.name")).alias("rule"),
+        F.when(F.col("b.hit.first") == 0, F.col("b.hit.name")).alias("pattern"),
+        F.coalesce("b.hit.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def oracle() -> str:
