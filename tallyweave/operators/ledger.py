@@ -1,11 +1,14 @@
 """Stock ledger: running quantity and weighted-average cost with rejected issues.
 
-Whether an issue is accepted depends on every movement before it, so the ledger is
-an ordered fold per item. Ordinary items are folded side by side, one task per range
-of items. An item with more than `hot_rows` movements is cut into range partitions
-that are folded in parallel: the effect of a stretch on the quantity is a step
-function of the quantity it starts with, its effect on the mean cost is linear, and
-both can be chained over the few stretch summaries before the rows are written.
+Whether an issue is accepted depends on every movement before it, so the ledger is an
+ordered fold per item. There is one path for every size: rows are cut into stretches of
+about equal size along item and order, and an item may span many stretches. A stretch
+needs two numbers to start from, quantity and mean cost. The quantities are guessed from
+the stretches' sums as if nothing were rejected, all stretches are folded in parallel with
+their guess, and those whose guess proves wrong are folded again from the right one. Each
+round settles at least the next stretch of every item, so there are at most as many rounds
+as an item has stretches, and one or two where rejects are rare. Given its start quantity,
+a stretch changes the mean cost linearly, so mean costs are chained without another round.
 
 Quantities are counted in millionths, so comparing them is exact.
 """
@@ -14,16 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyweave.session import cut_lineage
 
 UNIT = 1_000_000
-UNBOUNDED = np.int64(2**62)
 
 _FOLDED = "accepted boolean, applied_cost double, quantity_on_hand double, avg_cost double"
 _WORK = ["item_id", "movement_type", "_units", "unit_cost"]
@@ -70,38 +71,6 @@ def fold_partition(
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-class QuantitySteps:
-    """End quantity of a stretch as a step function of its start quantity.
-
-    For a start in [at[i], at[i+1]) the end is start + shift[i].
-    """
-
-    def __init__(self, at=(0,), shift=(0,)):
-        self.at = np.array(at, dtype=np.int64)
-        self.shift = np.array(shift, dtype=np.int64)
-
-    def apply(self, kind: str, units: int) -> None:
-        if kind == "in":
-            self.shift += units
-            return
-        if kind != "out":
-            return
-        upper = np.append(self.at[1:], UNBOUNDED)
-        enough = units - self.shift
-        whole = enough <= self.at
-        split = ~whole & (enough < upper)
-        at = np.concatenate([self.at, enough[split]])
-        shift = np.concatenate([np.where(whole, self.shift - units, self.shift),
-                                self.shift[split] - units])
-        order = np.argsort(at, kind="stable")
-        at, shift = at[order], shift[order]
-        fresh = np.append(True, shift[1:] != shift[:-1])
-        self.at, self.shift = at[fresh], shift[fresh]
-
-    def end(self, start: int) -> int:
-        return int(start + self.shift[np.searchsorted(self.at, start, side="right") - 1])
-
-
 def _first_and_last(batches, first_step, last_step, last_reset):
     """Feed the rows of the first item to one callback and later items to another."""
     first = last = None
@@ -119,27 +88,14 @@ def _first_and_last(batches, first_step, last_step, last_reset):
     return first, last
 
 
-def quantity_summary(part: int, batches) -> dict | None:
-    steps, tail = QuantitySteps(), [0]
-
-    def on_last(kind, units, cost):
-        tail[0] = step(kind, units, cost, tail[0], 0.0)[2]
+def summarise(part: int, batches, held: int) -> dict | None:
+    """A stretch whose first item starts with `held`: where it leads.
 
-    first, last = _first_and_last(
-        batches, lambda kind, units, cost: steps.apply(kind, units), on_last,
-        lambda: tail.__setitem__(0, 0),
-    )
-    if first is None:
-        return None
-    return {
-        "part": part, "first_item": first, "last_item": last, "at": steps.at.tolist(),
-        "shift": steps.shift.tolist(), "tail": tail[0],
-    }
-
-
-def mean_summary(part: int, batches, held_at_entry: int) -> dict | None:
-    """Mean cost after the first item's rows as scale * mean + offset, and the last item's mean."""
-    state = {"held": held_at_entry, "scale": 1.0, "offset": 0.0, "tail": (0, 0.0)}
+    `net` is the first item's sum without rejects, `held` its quantity afterwards, and its
+    mean cost afterwards is scale * mean + offset. `tail` and `tail_mean` are the state of
+    the last item if the stretch has several.
+    """
+    state = {"net": 0, "held": held, "scale": 1.0, "offset": 0.0, "tail": (0, 0.0)}
 
     def on_first(kind, units, cost):
         held = state["held"]
@@ -149,8 +105,11 @@ def mean_summary(part: int, batches, held_at_entry: int) -> dict | None:
             state["scale"] *= keep
             state["offset"] = state["offset"] * keep + add
             state["held"] = after
-        elif kind == "out" and held >= units:
-            state["held"] = held - units
+            state["net"] += units
+        elif kind == "out":
+            state["net"] -= units
+            if held >= units:
+                state["held"] = held - units
 
     def on_last(kind, units, cost):
         state["tail"] = step(kind, units, cost, *state["tail"])[2:]
@@ -160,114 +119,102 @@ def mean_summary(part: int, batches, held_at_entry: int) -> dict | None:
     )
     if first is None:
         return None
-    return {"part": part, "scale": state["scale"], "offset": state["offset"],
-            "tail_mean": state["tail"][1]}
+    tail, tail_mean = state.pop("tail")
+    return {"part": part, "first_item": first, "last_item": last, "tail": tail,
+            "tail_mean": tail_mean, **state}
 
 
-def _summarise(parts: DataFrame, schema: str, make) -> dict[int, dict]:
-    """One summary row per partition; their number is the number of partitions."""
+def _parts(batches: Iterator[pa.RecordBatch]):
+    """The number of the stretch that these batches are, and the batches."""
+    first = next(batches, None)
+    if first is None:
+        return None, iter(())
 
-    arrow = to_arrow_schema(parts.sparkSession.createDataFrame([], schema).schema)
+    def again():
+        yield first
+        yield from batches
 
-    def run(batches):
-        first = next(batches, None)
-        if first is None:
-            return
-        part = first.column("_part")[0].as_py()
+    return first.column("_part")[0].as_py(), again()
 
-        def again():
-            yield first
-            yield from batches
 
-        summary = make(part, again())
-        if summary is not None:
-            yield pa.RecordBatch.from_pylist([summary], schema=arrow)
+def _summaries(parts: DataFrame, starts: dict[int, int]) -> dict[int, dict]:
+    """One row of a few numbers per stretch; their number is fixed by the caller."""
+    item_type = dict(parts.dtypes)["item_id"]
+    schema = (f"part int, first_item {item_type}, last_item {item_type}, net bigint, held bigint, "
+              "scale double, offset double, tail bigint, tail_mean double")
+    arrow = to_arrow_schema(parts.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        part, rows = _parts(batches)
+        found = None if part is None else summarise(part, rows, starts.get(part, 0))
+        if found is not None:
+            yield pa.RecordBatch.from_pylist([found], schema=arrow)
 
     return {row["part"]: row.asDict() for row in parts.mapInArrow(run, schema).collect()}
 
 
-def _fold_hot(movements: DataFrame, keep: list[str], order: list[Column], schema: str,
-              partitions: int) -> DataFrame:
-    parts = cut_lineage(
-        movements.repartitionByRange(partitions, F.col("item_id"), *order)
-        .sortWithinPartitions("item_id", *order)
-        .withColumn("_part", F.spark_partition_id())
-    )
-    key_type = dict(movements.dtypes)["item_id"]
-    steps = _summarise(
-        parts,
-        f"part int, first_item {key_type}, last_item {key_type}, at array<bigint>, "
-        "shift array<bigint>, tail bigint",
-        quantity_summary,
-    )
-    held_at: dict[int, int] = {}
-    item, held = None, 0
-    for part in sorted(steps):
-        s = steps[part]
-        held_at[part] = held if s["first_item"] == item else 0
-        if s["first_item"] == s["last_item"]:
-            held = QuantitySteps(s["at"], s["shift"]).end(held_at[part])
-        else:
-            held = s["tail"]
-        item = s["last_item"]
-    means = _summarise(
-        parts,
-        "part int, scale double, offset double, tail_mean double",
-        lambda part, batches: mean_summary(part, batches, held_at[part]),
-    )
+def settled_starts(parts: DataFrame) -> dict[int, tuple]:
+    """(first item, quantity, mean cost) that every stretch starts with."""
+    found = _summaries(parts, {})
+    tried = dict.fromkeys(found, 0)
+    while True:
+        wrong: dict[int, int] = {}
+        starts: dict[int, int] = {}
+        item, held = None, 0
+        for part in sorted(found):
+            s = found[part]
+            starts[part] = held if s["first_item"] == item else 0
+            if s["first_item"] != s["last_item"]:
+                held = s["tail"]
+            elif tried[part] == starts[part]:
+                held = s["held"]
+            else:
+                wrong[part] = starts[part]
+                held = max(0, starts[part] + s["net"])
+            item = s["last_item"]
+        if not wrong:
+            break
+        found.update(_summaries(parts.filter(F.col("_part").isin(list(wrong))), wrong))
+        tried.update(wrong)
     entries: dict[int, tuple] = {}
     item, mean = None, 0.0
-    for part in sorted(steps):
-        s, m = steps[part], means[part]
+    for part in sorted(found):
+        s = found[part]
         at_start = mean if s["first_item"] == item else 0.0
-        entries[part] = (s["first_item"], held_at[part], at_start)
+        entries[part] = (s["first_item"], starts[part], at_start)
         single = s["first_item"] == s["last_item"]
-        mean = m["scale"] * at_start + m["offset"] if single else m["tail_mean"]
+        mean = s["scale"] * at_start + s["offset"] if single else s["tail_mean"]
         item = s["last_item"]
-
-    def run(batches):
-        first = next(batches, None)
-        if first is None:
-            return
-
-        def again():
-            yield first
-            yield from batches
-
-        yield from fold_partition(again(), keep, entries[first.column("_part")[0].as_py()])
-
-    return parts.mapInArrow(run, schema)
+    return entries
 
 
 def stock_ledger(
-    movements: DataFrame, order: list[str], hot_rows: int = 5_000_000
+    movements: DataFrame, order: list[str], stretches: int | None = None
 ) -> DataFrame:
     """Every movement with its verdict, booked cost, quantity and mean cost after it.
 
-    `movements`: item_id, movement_type (in, out), quantity, unit_cost and more
-    columns that are passed through. `order` must be unique within an item.
+    `movements`: item_id, movement_type (in, out), quantity, unit_cost and more columns
+    that are passed through. `order` must be unique within an item. Rows are cut into
+    `stretches` (the session's shuffle partitions if not given), written once to the
+    checkpoint folder and folded a stretch per task; the driver holds a few numbers for
+    each stretch. An item within one stretch has exactly the plain fold's numbers; where an
+    item goes on in the next, its mean cost there may differ in the last bits.
     """
     keep = list(movements.columns)
-    ready = movements.withColumn("_units", F.round(F.col("quantity") * UNIT).cast("long"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in movements.schema.fields]
-    schema = ", ".join(fields) + ", " + _FOLDED
+    count = stretches or int(movements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in order]
-    hot = cut_lineage(
-        movements.groupBy("item_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select("item_id")
-    )
-    no_hot_items = hot.isEmpty()
-    plain = ready if no_hot_items else ready.join(hot, "item_id", "left_anti")
-    folded = (
-        plain.select(*ready.columns)
-        .repartition("item_id")
+    parts = cut_lineage(
+        movements.withColumn("_units", F.round(F.col("quantity") * UNIT).cast("long"))
+        .repartitionByRange(count, F.col("item_id"), *keys)
         .sortWithinPartitions("item_id", *keys)
-        .mapInArrow(lambda batches: fold_partition(batches, keep), schema)
+        .withColumn("_part", F.spark_partition_id())
     )
-    if no_hot_items:
-        return folded
-    partitions = int(movements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = ready.join(hot, "item_id", "left_semi").select(*ready.columns)
-    return folded.unionByName(_fold_hot(split, keep, keys, schema, partitions))
+    entries = settled_starts(parts)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in movements.schema.fields]
+
+    def run(batches):
+        part, rows = _parts(batches)
+        if part is not None:
+            yield from fold_partition(rows, keep, entries[part])
+
+    return parts.mapInArrow(run, ", ".join(fields) + ", " + _FOLDED)

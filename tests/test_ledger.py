@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyweave.operators import inventory
-from tallyweave.operators.ledger import QuantitySteps, stock_ledger, step
+from tallyweave.operators.ledger import stock_ledger
 from tallyweave.plans import model
 
 SCHEMA = "item_id long, movement_type string, quantity double, unit_cost double, movement_date date, seq long"
@@ -42,18 +42,29 @@ def test_decimal_quantities_compare_exactly(spark):
     assert got[2].accepted and got[2].quantity_on_hand == 0.0
 
 
-def test_quantity_steps_equal_the_fold():
+def plain(rows):
+    """seq -> (accepted, quantity) of rows (seq, kind, quantity), in order."""
+    held, out = 0, {}
+    for seq, kind, quantity in rows:
+        accepted = kind == "in" or held >= quantity
+        held += (quantity if kind == "in" else -quantity) * accepted
+        out[seq] = (accepted, held)
+    return out
+
+
+def test_halving_issues_over_many_stretches(spark):
+    """Issues whose acceptance depends on every bit of the quantity before them."""
     rng = random.Random(5)
-    for _ in range(50):
-        moves = [(rng.choice(["in", "out", "out"]), rng.randint(1, 9)) for _ in range(40)]
-        steps = QuantitySteps()
-        for kind, units in moves:
-            steps.apply(kind, units)
-        for start in range(0, 60):
-            held = start
-            for kind, units in moves:
-                held = step(kind, units, 1.0, held, 0.0)[2]
-            assert steps.end(start) == held
+    moves = []
+    for _ in range(20):
+        moves.append(("in", float(rng.randint(1, 2**19))))
+        moves += [("out", float(2**k)) for k in range(18, -1, -1)]
+        rng.random() < 0.5 and moves.append(("out", float(2**20)))
+    rows = [(1, kind, q, 1.0, "2024-01-01", seq) for seq, (kind, q) in enumerate(moves)]
+    got = stock_ledger(movements(spark, rows), ["seq"], stretches=23).collect()
+    want = plain([(seq, kind, q) for seq, (kind, q) in enumerate(moves)])
+    assert {r.seq: (r.accepted, r.quantity_on_hand) for r in got} == want
+    assert 0 < sum(not a for a, _ in want.values()) < len(want)
 
 
 def test_split_items_equal_the_plain_fold(spark, sf):
@@ -63,8 +74,8 @@ def test_split_items_equal_the_plain_fold(spark, sf):
     )
     order = ["movement_date", "seq"]
     columns = ["id", "accepted", "quantity_on_hand", F.round("avg_cost", 6), F.round("applied_cost", 6)]
-    plain = stock_ledger(base, order).select(*columns)
-    split = stock_ledger(base, order, hot_rows=100).select(*columns)
+    plain = stock_ledger(base, order, stretches=1).select(*columns)
+    split = stock_ledger(base, order, stretches=40).select(*columns)
     assert plain.count() == base.count()
     assert plain.exceptAll(split).count() == 0
     assert split.exceptAll(plain).count() == 0
