@@ -97,9 +97,11 @@ def clean_item_name(c: Column) -> Column:
     return F.coalesce(collapse(F.regexp_replace(c, rf"^{WS}*\d+[.\-)]{WS}*", "")), F.lit(""))
 
 
-def safe_string(c: Column, max_length: int = 1000) -> Column:
-    """NULL becomes "", whitespace collapses, long text is cut and marked."""
+def safe_string(c: Column, max_length: int | None = None) -> Column:
+    """NULL becomes "", whitespace collapses; text beyond `max_length` is cut and marked."""
     flat = collapse(F.coalesce(c, F.lit("")))
+    if max_length is None:
+        return flat
     return F.when(
         F.length(flat) > max_length,
         F.concat(F.substring(flat, 1, max_length), F.lit("...")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,11 @@ def inventory_items(ledger: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def _money_sum(amount: Column) -> Column:
+    """Sum to the cent that does not hang on the order of the rows."""
+    return F.round(F.sum(amount.cast("decimal(28,8)")), 2)
+
+
 def low_stock(items: DataFrame, threshold: float = 10.0) -> DataFrame:
     return items.filter(F.col("quantity_on_hand") <= threshold)
 
@@ -71,7 +76,7 @@ def low_stock(items: DataFrame, threshold: float = 10.0) -> DataFrame:
 def inventory_kpis(items: DataFrame, threshold: float = 10.0) -> DataFrame:
     return items.agg(
         F.count(F.lit(1)).alias("items"),
-        F.sum(F.col("quantity_on_hand") * F.col("avg_cost")).alias("stock_value"),
+        _money_sum(F.col("quantity_on_hand") * F.col("avg_cost")).alias("stock_value"),
         F.count_if(F.col("quantity_on_hand") <= threshold).alias("low_stock"),
     )
 
@@ -112,6 +117,6 @@ def sales_totals(lines: DataFrame, reject: str = "line") -> DataFrame:
 def sales_kpis(sales: DataFrame) -> DataFrame:
     return sales.agg(
         F.count(F.lit(1)).alias("sales"),
-        F.sum("total_amount").alias("revenue"),
-        F.sum("total_profit").alias("profit"),
+        _money_sum(F.col("total_amount")).alias("revenue"),
+        _money_sum(F.col("total_profit")).alias("profit"),
     )

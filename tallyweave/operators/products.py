@@ -54,7 +54,6 @@ CATEGORY_CODES = {
     "Industrial": {"all": "aps", "Tools": "tools", "Safety": "industrial"},
 }
 DEFAULT_CATEGORY = "aps"
-MAX_TEXT = 1000
 
 
 def supports_url(url: Column) -> Column:
@@ -62,9 +61,9 @@ def supports_url(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(host, r"^www\.", "").isin(SHOP_HOSTS), F.lit(False))
 
 
-def is_challenge(html: Column, head: int = 5000) -> Column:
-    """A robot check instead of a page; its marks stand at the very top."""
-    top = F.lower(F.substring(html, 1, head))
+def is_challenge(html: Column) -> Column:
+    """A robot check instead of a page; its marks may stand anywhere in it."""
+    top = F.lower(html)
     hit = F.lit(False)
     for mark in CHALLENGE_MARKS:
         hit = hit | F.contains(top, F.lit(mark))
@@ -291,9 +290,9 @@ def extract_products(pages: DataFrame) -> DataFrame:
         lambda t: t != "",
     )
     description = F.coalesce(
-        _filled(F.substring(ld("$.description"), 1, MAX_TEXT)),
-        _filled(F.substring(F.array_join(F.slice(bullets, 1, 10), "; "), 1, MAX_TEXT)),
-        _filled(F.substring(node_text(by_id(html, "productDescription")), 1, MAX_TEXT)),
+        _filled(ld("$.description")),
+        _filled(F.array_join(bullets, "; ")),
+        _filled(node_text(by_id(html, "productDescription"))),
     )
     crumbs = all_matches(
         F.coalesce(by_id(html, "wayfinding-breadcrumbs_feature_div", "</div>"), F.lit("")),
@@ -368,12 +367,14 @@ _RESPONSE = (
 )
 
 
-def parse_search_responses(responses: DataFrame, limit: int = 20) -> DataFrame:
-    """Product rows of search responses (response JSON text), `limit` entries per response."""
+def parse_search_responses(responses: DataFrame, limit: int | None = None) -> DataFrame:
+    """Product rows of search responses (response JSON text): all entries, or the first `limit`."""
     results = F.from_json("response", _RESPONSE)["organic_results"]
+    if limit is not None:
+        results = F.slice(results, 1, limit)
     keep = [c for c in responses.columns if c != "response"]
     rows = responses.select(
-        *keep, F.posexplode(F.slice(results, 1, limit)).alias("position", "_r")
+        *keep, F.posexplode(results).alias("position", "_r")
     ).filter(F.coalesce(F.col("_r.asin") != "", F.lit(False)))
     price = F.col("_r.price")
     is_object = F.coalesce(strip(price).startswith("{"), F.lit(False))

@@ -106,7 +106,7 @@ def drop_orphan_vectors(vectors: DataFrame, entities: DataFrame, key: str = "id"
 
 
 def nest_children(
-    children: DataFrame, parent_key: str, position: Column, fields: list[str], page_size: int = 1000
+    children: DataFrame, parent_key: str, position: Column, fields: list[str], page_size: int
 ) -> DataFrame:
     """Children of each parent as ordered arrays of at most `page_size` positions.
 

@@ -173,8 +173,8 @@ def audit_strict_rules(spark, sf):
 
 
 @query("audit_checks", sql("""
-    SELECT check_type, passed, count(*) AS checks, rnd(sum(expected) / 1000) AS expected,
-           rnd(sum(actual) / 1000) AS actual
+    SELECT check_type, passed, count(*) AS checks, sum(expected::DECIMAL(28, 2))::DOUBLE AS expected,
+           sum(actual::DECIMAL(28, 2))::DOUBLE AS actual
     FROM (
         SELECT 'line_total' AS check_type, round(quantity * unit_price, 2) AS expected,
                total_price AS actual,
@@ -194,8 +194,8 @@ def audit_checks(spark, sf):
     )
     return checks.groupBy("check_type", "passed").agg(
         F.count(F.lit(1)).alias("checks"),
-        model.rounded(F.sum("expected") / 1000).alias("expected"),
-        model.rounded(F.sum("actual") / 1000).alias("actual"),
+        F.sum(F.col("expected").cast("decimal(28,2)")).cast("double").alias("expected"),
+        F.sum(F.col("actual").cast("decimal(28,2)")).cast("double").alias("actual"),
     )
 
 

@@ -183,9 +183,7 @@ _EXPECTED_ITEMS = """
 
 
 @query("extract_line_items", sql("""
-    SELECT doc_id, line_number, item_name || CASE WHEN vertical AND line_number = max(line_number)
-               OVER (PARTITION BY doc_id) THEN ' Grand Total: 1.00' ELSE '' END AS item_name,
-           quantity, unit_price, total_price, CASE WHEN vertical THEN code END AS hs_code, CASE WHEN vertical THEN 'PCS' END AS unit,
+    SELECT doc_id, line_number, item_name, quantity, unit_price, total_price, CASE WHEN vertical THEN code END AS hs_code, CASE WHEN vertical THEN 'PCS' END AS unit,
            CASE WHEN vertical THEN 'vertical' ELSE 'table' END AS layout
     FROM expected""", "listed", extra=_EXPECTED_ITEMS))
 def extract_line_items(spark, sf):
@@ -230,7 +228,7 @@ def template_items(spark, sf):
 @query("best_parse", """
     WITH a AS (SELECT l_orderkey AS doc_id, 'p' || l_linenumber AS parser,
                       l_linenumber * 10 AS priority, l_discount * 8 AS confidence,
-                      l_quantity AS items FROM lineitem WHERE l_returnflag <> 'A'),
+                      l_quantity AS items FROM lineitem),
     u AS (SELECT doc_id, parser, priority, max(confidence) AS confidence FROM a GROUP BY 1, 2, 3)
     SELECT doc_id, parser, floor(confidence * 10000 + 0.50037) / 10000 AS confidence,
            confidence < 0.5 AS below_threshold
@@ -239,7 +237,6 @@ def template_items(spark, sf):
 def best_parse(spark, sf):
     attempts = (
         model.table(spark, sf, "lineitem")
-        .filter("l_returnflag <> 'A'")
         .groupBy(
             F.col("l_orderkey").alias("doc_id"),
             F.concat(F.lit("p"), "l_linenumber").alias("parser"),
@@ -405,7 +402,7 @@ def search_responses(spark, sf):
         FROM lineitem JOIN part ON l_partkey = p_partkey)
     WHERE asin IS NOT NULL""")
 def parsed_responses(spark, sf):
-    found = products.parse_search_responses(search_responses(spark, sf), limit=1000)
+    found = products.parse_search_responses(search_responses(spark, sf))
     return found.select("response_id", "asin", "title", "price_value", "reviews", "product_url")
 
 

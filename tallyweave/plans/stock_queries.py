@@ -89,12 +89,12 @@ def low_stock(spark, sf):
 
 
 @query("inventory_kpis", sql("""
-    SELECT count(*) AS items, rnd(sum(held * mean) / 1000000) AS stock_value,
+    SELECT count(*) AS items, round(sum((held * mean)::DECIMAL(28, 8)), 2)::DOUBLE AS stock_value,
            count(*) FILTER (held <= 10) AS low_stock
     FROM state""", "mov", extra=_FOLD + _STATE, recursive=True))
 def inventory_kpis(spark, sf):
     kpis = inventory.inventory_kpis(inventory.inventory_items(_ledger(spark, sf), ORDER))
-    return kpis.withColumn("stock_value", model.rounded(F.col("stock_value") / 1000000))
+    return kpis.withColumn("stock_value", F.col("stock_value").cast("double"))
 
 
 def _sale_lines(spark, sf):
@@ -153,13 +153,13 @@ def sales_totals_whole(spark, sf):
 
 
 @query("sales_kpis", sql("""
-    SELECT count(*) AS sales, rnd(sum(subtotal + tax_amount) / 1000000) AS revenue,
-           rnd(sum(subtotal + tax_amount - total_cost) / 1000000) AS profit
+    SELECT count(*) AS sales, round(sum((subtotal + tax_amount)::DECIMAL(28, 8)), 2)::DOUBLE AS revenue,
+           round(sum((subtotal + tax_amount - total_cost)::DECIMAL(28, 8)), 2)::DOUBLE AS profit
     FROM sales WHERE line_count > 0""", "mov", extra=_FOLD + _SALES, recursive=True))
 def sales_kpis(spark, sf):
     kpis = inventory.sales_kpis(inventory.sales_totals(_sale_lines(spark, sf)))
     return kpis.withColumns(
-        {c: model.rounded(F.col(c) / 1000000) for c in ("revenue", "profit")}
+        {c: F.col(c).cast("double") for c in ("revenue", "profit")}
     )
 
 

@@ -86,7 +86,7 @@ def unmatched_items(spark, sf):
 def nested_invoice_lines(spark, sf):
     nested = views.nest_children(
         model.invoice_items(spark, sf), "invoice_id", F.col("line_number"),
-        ["line_number", "id", "item_name", "quantity", "total_price"],
+        ["line_number", "id", "item_name", "quantity", "total_price"], page_size=1000,
     )
     return nested.select(
         "invoice_id", "page", F.size("children").cast("long").alias("line_count"),
@@ -101,7 +101,7 @@ def nested_invoice_lines(spark, sf):
 def nested_session_messages(spark, sf):
     nested = views.nest_children(
         model.chat_messages(spark, sf), "session_id", F.col("turn") + 1,
-        ["turn", "role", "token_count"],
+        ["turn", "role", "token_count"], page_size=1000,
     )
     outline = F.transform("children", lambda m: F.concat_ws(":", m["role"], m["token_count"]))
     return nested.select(
@@ -239,13 +239,13 @@ def invoice_totals(spark, sf):
 
 @query("company_counts", sql("""
     SELECT company_key, count(*) AS invoices, count(*) FILTER (is_latest) AS current_invoices,
-           rnd(sum(total_amount) / 1000) AS total_thousands
+           sum(total_amount::DECIMAL(28, 2))::DOUBLE AS total_amount
     FROM inv GROUP BY 1""", "inv"))
 def company_counts(spark, sf):
     return model.invoices(spark, sf).groupBy("company_key").agg(
         F.count(F.lit(1)).alias("invoices"),
         F.count_if("is_latest").alias("current_invoices"),
-        model.rounded(F.sum("total_amount") / 1000).alias("total_thousands"),
+        F.sum(F.col("total_amount").cast("decimal(28,2)")).cast("double").alias("total_amount"),
     )
 
 

@@ -85,7 +85,7 @@ def test_names(spark):
     assert values(spark, ["1. Pipe  x", "2) y", " 3-z", "4 w", None], text.clean_item_name) == [
         "Pipe x", "y", "z", "4 w", "",
     ]
-    assert values(spark, ["x" * 1001], text.safe_string) == ["x" * 1000 + "..."]
+    assert values(spark, ["x" * 1001], lambda c: text.safe_string(c, 1000)) == ["x" * 1000 + "..."]
 
 
 def test_codes_and_currency(spark):
