@@ -17,44 +17,45 @@ WINDOW = 1024
 #: Pieces packed by one task; more pieces mean more shards.
 SHARD_PIECES = 20_000
 END_ID = 0
-#: Distinct words whose ids a worker remembers; the memory is emptied beyond that.
-CACHE_WORDS = 200_000
 #: White space of any script: a blank beside one of these is no safe place to cut.
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _UNSAFE = f"[{_SPACE}] | [{_SPACE}]"
+#: Fixed value: the pattern by which the vocabulary splits texts before its merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Ids of whole texts, working each distinct word out once.
+    """Ids of whole texts, working each distinct word out once per slice.
 
     The byte-level vocabulary splits texts by a pattern in which a single blank between two
     other characters always opens a new part. So ids of the parts between such blanks,
-    joined, are the ids of the text. Texts with a blank beside other white space, or that
-    hold a special token, are encoded whole.
+    joined, are the ids of the text; and the distinct parts can be encoded in one go, since
+    the bytes of the ids tell where each part ends. The vocabulary file is read as ranks,
+    which give the same ids faster. Texts with a blank beside other white space, or that
+    hold a special token, are encoded whole by the file's own library.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        cache = self.cache
-        missing = [w for w in words if w not in cache]
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            missing = words
-        for start in range(0, len(missing), 10_000):
-            part = missing[start:start + 10_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[word] = np.array(got.ids, np.uint32).tobytes()
-        found = [cache[w] for w in words]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        return found
+        shown = _byte_names()
+        ranks = {bytes(shown[c] for c in piece): k for piece, k in self.tokenizer.get_vocab(False).items()
+                 if piece not in self.special}
+        self.ranks = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for piece, k in ranks.items():
+            self.sizes[k] = len(piece)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a blank and the word, for all words, and how many each has."""
+        ids = self.ranks.encode_to_numpy(" " + " ".join(words.to_pylist())) if len(words) else np.empty(0, np.uint32)
+        ends = np.cumsum(np.asarray(pc.binary_length(words)).astype(np.int64) + 1)
+        starts = np.cumsum(self.sizes[ids]) - self.sizes[ids]
+        return ids, np.diff(np.concatenate(([0], np.searchsorted(starts, ends))))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each begins (n + 1)."""
@@ -63,28 +64,45 @@ class WordEncoder:
         for token in self.special:
             whole |= np.asarray(pc.match_substring(texts, token))
         lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
-        parts = lists.flatten()
         counts = np.asarray(pc.list_value_length(lists)).astype(np.int64)
         opens = np.cumsum(counts) - counts
-        coded = parts.dictionary_encode()
+        coded = lists.flatten().dictionary_encode()
         codes = np.asarray(coded.indices).astype(np.int64)
-        plain = coded.dictionary.to_pylist()
+        plain = coded.dictionary
+        odd = np.asarray(pc.or_(pc.equal(plain, ""), pc.match_substring_regex(plain, f"^[{_SPACE}]|[{_SPACE}]$")))
+        inner = np.asarray(codes)
+        flat, sizes = self._words(plain.filter(pa.array(~odd)))
+        place = np.cumsum(~odd) - 1
+        alone: list[np.ndarray] = []
+
+        def put(ids: list[int]) -> int:
+            alone.append(np.array(ids, np.uint32))
+            return len(sizes) + len(alone) - 1
+
+        for k in np.flatnonzero(odd):
+            place[k] = put(self.ranks.encode_ordinary(" " + plain[k].as_py()))
+        spot = place[inner] if len(inner) else inner
         heads, head_of = np.unique(codes[opens], return_inverse=True)
-        found = self._words([" " + w for w in plain] + [plain[k] for k in heads])
-        wholes = np.flatnonzero(whole)
-        for got in self.tokenizer.encode_batch_fast(
-                texts.take(pa.array(wholes)).to_pylist(), add_special_tokens=False):
-            found.append(np.array(got.ids, np.uint32).tobytes())
-        codes[opens] = len(plain) + head_of
-        codes[opens[wholes]] = len(plain) + len(heads) + np.arange(len(wholes))
-        sizes = np.fromiter((len(b) >> 2 for b in found), np.int64, len(found))
-        flat = np.frombuffer(b"".join(found), np.uint32)
+        first = np.array([put(self.ranks.encode_ordinary(plain[k].as_py())) for k in heads.tolist()], np.int64)
+        spot[opens] = first[head_of]
+        for k in np.flatnonzero(whole):
+            spot[opens[k]] = put(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids)
+        sizes = np.concatenate((sizes, np.array([len(x) for x in alone], np.int64)))
+        flat = np.concatenate([flat, *alone])
         at = np.cumsum(sizes) - sizes
-        ids = flat[ranges(at[codes], sizes[codes])]
-        per_text = np.add.reduceat(sizes[codes], opens) if len(opens) else np.empty(0, np.int64)
+        ids = flat[ranges(at[spot], sizes[spot])]
+        per_text = np.add.reduceat(sizes[spot], opens) if len(opens) else np.empty(0, np.int64)
         return ids, np.concatenate(([0], np.cumsum(per_text)))
 
 
+def _byte_names() -> dict[str, int]:
+    """The characters that byte-level vocabularies show bytes as: printable ones as they
+    are, the others by the characters from 256 on, in order."""
+    shown = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 def _encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
