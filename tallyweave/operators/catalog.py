@@ -97,6 +97,11 @@ def match_catalog(
     )
 
 
+def exact_candidates(materials: DataFrame) -> DataFrame:
+    """The candidates that score 1.0: every material under its own name."""
+    return by_name(materials, "name").withColumns({"score": F.lit(1.0), "rank": F.lit(1)})
+
+
 def auto_match(items: DataFrame, candidates: DataFrame) -> DataFrame:
     """Line items with the material to link: the best candidate when it scores 1.0."""
     best = candidates.filter("rank = 1 AND score = 1.0").select(

@@ -80,7 +80,8 @@ def catalog_fuzzy_match(spark, sf):
     FROM keyed v LEFT JOIN mat m ON m.normalized_name = v.mk GROUP BY 1""",
     "mat", "syn", extra=_VARIED))
 def auto_match(spark, sf):
-    linked = catalog.auto_match(varied_items(spark, sf), _candidates(spark, sf))
+    exact = catalog.exact_candidates(model.materials(spark, sf))
+    linked = catalog.auto_match(varied_items(spark, sf), exact)
     return rollups.match_coverage(
         linked.withColumnRenamed("linked_material_id", "matched_material_id")
     )

@@ -9,6 +9,7 @@ from tallyweave.plans import (  # noqa: F401
     extract_queries,
     insight_queries,
     price_queries,
+    reply_queries,
     search_queries,
 )
 from tallyweave.plans.registry import REGISTRY  # noqa: F401

@@ -551,7 +551,6 @@ def extract_facts(spark, sf):
     )
     replies = (
         model.chat_messages(spark, sf)
-        .filter(~F.contains(F.upper("content"), F.lit("NONE")))
         .withColumn("response", listed)
     )
     return conversation.extract_facts(replies).select("session_id", "value", "key")
