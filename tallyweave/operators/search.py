@@ -191,6 +191,16 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
+def _best(row: np.ndarray, ids: np.ndarray, k: int) -> list[int]:
+    """Positions of the k greatest scores, best first; ties go to the smaller id."""
+    if len(row) > k:
+        floor = np.partition(row, len(row) - k)[len(row) - k]
+        picked = np.flatnonzero(row >= floor)
+    else:
+        picked = np.arange(len(row))
+    return sorted(picked.tolist(), key=lambda i: (-row[i], ids[i]))[:k]
+
+
 def _block_topk(k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def compare(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         if not queries.num_rows or not vectors.num_rows:
@@ -202,14 +212,8 @@ def _block_topk(k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.
             SCORE_DIGITS,
         )
         out_query, out_id, out_score = [], [], []
-        for at, query_id in enumerate(query_ids):
-            row = scores[at]
-            if len(row) > k:
-                floor = np.partition(row, len(row) - k)[len(row) - k]
-                picked = np.flatnonzero(row >= floor)
-            else:
-                picked = np.arange(len(row))
-            best = sorted(picked.tolist(), key=lambda i: (-row[i], ids[i]))[:k]
+        for row, query_id in zip(scores, query_ids, strict=True):
+            best = _best(row, ids, k)
             out_query += [query_id] * len(best)
             out_id += [ids[i] for i in best]
             out_score += [float(row[i]) for i in best]
@@ -218,17 +222,52 @@ def _block_topk(k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.
     return compare
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 60) -> DataFrame:
+def _scan_topk(queries: pa.Table, k: int, schema: pa.Schema):
+    """Best vectors of each query within one task, batch by batch, where the vectors lie."""
+    query_ids = queries.column("query_id").to_pylist()
+    matrix = _unit(_matrix(queries, "embedding"))
+
+    def run(batches):
+        best_ids: list[np.ndarray] = [np.empty(0, dtype=object)] * len(query_ids)
+        best_scores: list[np.ndarray] = [np.empty(0)] * len(query_ids)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.array(batch.column("id").to_pylist(), dtype=object)
+            scores = np.round(matrix @ _unit(_matrix(pa.Table.from_batches([batch]), "embedding")).T, SCORE_DIGITS)
+            for q, row in enumerate(scores):
+                all_scores = np.concatenate((best_scores[q], row))
+                all_ids = np.concatenate((best_ids[q], ids))
+                kept = _best(all_scores, all_ids, k)
+                best_scores[q], best_ids[q] = all_scores[kept], all_ids[kept]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v for v, s in zip(query_ids, best_scores, strict=True) for _ in s], schema.types[0]),
+             pa.array([v for found in best_ids for v in found], schema.types[1]),
+             pa.array([float(v) for found in best_scores for v in found], schema.types[2])], schema=schema)
+
+    return run
+
+
+def vector_topk(
+    queries: DataFrame, vectors: DataFrame, k: int = 60, sent_bytes: int = 16 << 20
+) -> DataFrame:
     """Exact inner-product search: the k nearest vectors of every query.
 
-    `queries`: query_id, embedding. `vectors`: id, embedding. Blocks of queries
-    meet blocks of vectors as matrix products; each block sends its k best only.
+    `queries`: query_id, embedding. `vectors`: id, embedding. Query vectors of up to
+    `sent_bytes` go to every task, and the vectors are scanned where they lie; a task keeps
+    k rows per query. More queries meet the vectors in bounded blocks of both. Either way
+    the result is the same.
     """
     types = dict(queries.dtypes) | dict(vectors.dtypes)
     schema = f"query_id {types['query_id']}, id {types['id']}, score double"
     arrow = to_arrow_schema(queries.sparkSession.createDataFrame([], schema).schema)
+    asked = queries.select("query_id", "embedding")
+    size = asked.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
+    if 0 < size <= sent_bytes:
+        found = _scan_topk(asked.toArrow(), k, arrow)
+        return top_ranked(vectors.select("id", "embedding").mapInArrow(found, schema), k, "id")
     candidates = block_map(
-        queries.select("query_id", "embedding"), vectors.select("id", "embedding"),
+        asked, vectors.select("id", "embedding"),
         "query_id", "id", _block_topk(k, arrow), schema,
     )
     return top_ranked(candidates, k, "id")

@@ -338,8 +338,10 @@ def index_statistics(spark, sf):
 
 
 def hybrid_queries(spark, sf):
+    """Every benchmark text, with the vector of the same number as its embedding."""
     texts = model.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return label_queries(spark, sf).join(texts, "query_id")
+    vectors = model.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return texts.join(vectors, "query_id")
 
 
 _FUSED = """,
@@ -353,13 +355,15 @@ _FUSED = """,
     final AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
                   vector_rank NULLS LAST, keyword_rank NULLS LAST, id) - 1 AS INTEGER)
                   AS final_rank FROM fused)"""
-_HYBRID_Q = ("SELECT item_id AS query_id, text FROM benchmark "
-             "WHERE item_id IN (SELECT label FROM embeddings)")
+_PAIRED = _NEAREST[:_NEAREST.index("    qv AS")] + """
+    qq AS (SELECT item_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS e
+           FROM benchmark JOIN embeddings ON vec_id = item_id),""" + _NEAREST[_NEAREST.index("\n    vv AS"):]
+_HYBRID_Q = "SELECT item_id AS query_id, text FROM benchmark"
 
 
 @query("rrf_fusion", sql("""
     SELECT query_id, id, rnd(score * 1000) AS score_milli, vector_rank, keyword_rank, final_rank
-    FROM final""", extra=_NEAREST + "," + _bm25(_HYBRID_Q, _DOCS) + _FUSED))
+    FROM final""", extra=_PAIRED + "," + _bm25(_HYBRID_Q, _DOCS) + _FUSED))
 def rrf_fusion(spark, sf):
     queries = hybrid_queries(spark, sf)
     near = search.vector_topk(queries, vectors_of(spark, sf), 60)
@@ -373,8 +377,7 @@ def rrf_fusion(spark, sf):
 
 @query("hybrid_topk", sql("""
     SELECT query_id, id, final_rank FROM final WHERE final_rank < 10 AND score >= 0.006""",
-    extra=_NEAREST + "," + _bm25(
-        _EXPANDED_Q + " WHERE item_id IN (SELECT label FROM embeddings)", _DOCS) + _FUSED))
+    extra=_PAIRED + "," + _bm25(_EXPANDED_Q, _DOCS) + _FUSED))
 def hybrid_topk(spark, sf):
     found = search.hybrid_topk(
         hybrid_queries(spark, sf), texts_of(spark, sf), vectors_of(spark, sf),

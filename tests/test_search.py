@@ -95,6 +95,8 @@ def test_vector_search_equals_brute_force(spark):
     vdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<float>")
     qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<float>")
     rows = search.vector_topk(qdf, vdf, 10).collect()
+    blocks = search.vector_topk(qdf, vdf, 10, sent_bytes=0).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, blocks))
     norms = np.linalg.norm(vectors.astype(float), axis=1)
     unit = vectors.astype(float) / np.where(norms > 0, norms, 1)[:, None]
     for q, query in enumerate(queries.astype(float)):
