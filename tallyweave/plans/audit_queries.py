@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyweave.operators import audit, history
 from tallyweave.plans import model
 from tallyweave.plans.model import AS_OF, sql
-from tallyweave.plans.price_queries import history_of
+from tallyweave.plans.price_queries import PICK_EXACT, history_of
 from tallyweave.plans.registry import query
 
 _HEADER_RULES = f"""
@@ -250,7 +250,47 @@ def latest_audit(spark, sf):
     return audit.latest_audit(audit_runs(spark, sf))
 
 
-@query("price_anomaly_issues", None)
+_ANOMALIES = PICK_EXACT + """,
+    anomalies AS (
+        SELECT i.*, p.occurrence_count, p.min_price, p.max_price, p.avg_price,
+               abs(i.unit_price - p.avg_price) / p.avg_price AS deviation,
+               CASE WHEN i.unit_price > p.avg_price THEN 'above' ELSE 'below' END AS direction
+        FROM items i JOIN picked p ON p.name = lower(trim(i.item_name)) AND p.seller = i.seller_name
+        WHERE i.unit_price > 0 AND p.occurrence_count >= 2 AND p.avg_price > 0
+          AND abs(i.unit_price - p.avg_price) / p.avg_price > 0.20)"""
+
+
+@query("price_anomaly_issues", sql("""
+    SELECT invoice_id, id AS item_id, line_number, 'PRICE_ANOMALY' AS code, 'warning' AS severity,
+           printf('Line %d ''%s'': unit price # is #%% %s historical average # (range #–#, %d records)',
+                  line_number, item_name, direction, occurrence_count) AS message
+    FROM anomalies""", "items", "stats", extra=_ANOMALIES))
 def price_anomaly_issues(spark, sf):
+    """Messages without their decimals, which `price_anomaly` compares as numbers: a printed
+    half cent hangs on the last bit of a price."""
     stats = history.price_stats(history_of(spark, sf))
-    return audit.price_anomaly_issues(model.invoice_items(spark, sf), stats)
+    found = audit.price_anomaly_issues(model.invoice_items(spark, sf), stats)
+    return found.select(
+        "invoice_id", "item_id", "line_number", "code", "severity",
+        F.regexp_replace("message", r"\d+\.\d+", "#").alias("message"),
+    )
+
+
+_FULL = ("""
+    listed AS (SELECT * FROM items),""" + _ALL_ISSUES.replace("unit_price > 1500", "unit_price > 1000000")
+         + "," + _ANOMALIES + """,
+    every_issue AS (SELECT * FROM all_issues
+                    UNION ALL SELECT invoice_id, 'PRICE_ANOMALY', 'warning' FROM anomalies)""")
+
+
+@query("full_audit", sql("""
+    SELECT invoice_id, code, severity, count(*) AS issues FROM every_issue GROUP BY 1, 2, 3""",
+    "inv", "items", "hist", "stats", extra=_FULL))
+def full_audit(spark, sf):
+    """Every rule over every invoice as one issue table, counted by invoice and rule."""
+    past = history_of(spark, sf)
+    issues = audit.audit_issues(
+        model.invoices(spark, sf), model.invoice_items(spark, sf), model.as_of(), past,
+        history.price_stats(past),
+    )
+    return issues.groupBy("invoice_id", "code", "severity").agg(F.count(F.lit(1)).alias("issues"))
