@@ -112,28 +112,40 @@ def _sent_tokens(docs: DataFrame, width: int, percent: int, buckets: int, id_typ
             runs = [x for pair in zip(first, extra, strict=True) for x in pair]
             tokens = np.concatenate(runs) if runs else np.empty(0, np.uint64)
             owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-            order, edge = _by_bucket(_bucket(tokens, buckets), buckets)
-            short, owner = (tokens[order] >> np.uint64(32)).astype(np.uint32), owner[order]
+            place = _bucket(tokens, buckets) << 32 | (tokens >> np.uint64(32)).astype(np.int64)
+            often = _repeated(place)[0] > 1 if len(place) else np.empty(0, bool)
+            # What the slice itself repeats is counted here, and sent once for the others.
+            own_hits = np.bincount(owner[often & (owner % 2 == 0)] // 2, minlength=len(sets))
+            again = np.unique(place[often])
+            place = np.concatenate((place[~often], again))
+            owner = np.concatenate((owner[~often], np.full(len(again), len(runs))))
+            order, edge = _by_bucket(place >> 32, buckets)
+            short, owner = (place[order] & 0xFFFFFFFF).astype(np.uint32), owner[order]
             used = np.flatnonzero(np.diff(edge))
             cells = [(short[edge[b]:edge[b + 1]].tobytes(),
-                      np.bincount(owner[edge[b]:edge[b + 1]], minlength=len(runs)).astype(np.uint16).tobytes())
+                      _size_cell(np.bincount(owner[edge[b]:edge[b + 1]], minlength=len(runs) + 1)))
                      for b in used.tolist()]
-            if len(tokens) and max((edge[1:] - edge[:-1]).max(), 0) > 65535:  # a giant text may fill a cell
-                cells = [(c[0], b"L" + np.bincount(owner[edge[b]:edge[b + 1]], minlength=len(runs)).astype(
-                    np.uint32).tobytes()) for c, b in zip(cells, used.tolist(), strict=True)]
             none = pa.nulls(len(used), ids_type)
             blank = pa.nulls(len(used), pa.binary())
             yield _rows(names, used, np.full(len(used), name), pa.array([c[0] for c in cells], pa.binary()),
                         pa.array([c[1] for c in cells], pa.binary()), none, blank, blank)
             h1, h2 = _set_keys(sets)
             n = np.array([len(s) for s in sets], np.int64)
-            yield _rows(names, [buckets + name % buckets], [name], pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+            yield _rows(names, [buckets + name % buckets], [name], pa.nulls(1, pa.binary()),
+                        pa.array([own_hits.astype(np.uint32).tobytes()], pa.binary()),
                         pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), part.column("id")),
                         pa.array([n.tobytes()], pa.binary()), pa.array([np.stack((h1, h2)).tobytes()], pa.binary()))
 
     return docs.mapInArrow(run, _SENT.format(id=f"array<{id_type}>"))
 
 
+def _size_cell(sizes: np.ndarray) -> bytes:
+    """Sizes in two bytes each, or in four with a mark in front where a giant text needs them."""
+    if sizes.max(initial=0) > 65535:
+        return b"L" + sizes.astype(np.uint32).tobytes()
+    return sizes.astype(np.uint16).tobytes()
+
+
 def _cell_sizes(raw: bytes) -> np.ndarray:
     wide = len(raw) % 2 == 1
     return np.frombuffer(raw, np.uint32, offset=1) if wide else np.frombuffer(raw, np.uint16)
@@ -144,15 +156,18 @@ def _answered(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     names = table["tokens"].to_pylist()
     if names[0] is None:
-        return table.select(["slice", "ids", "n", "keys"]).append_column("hits", pa.nulls(len(table), pa.binary()))
-    counts, _ = _repeated(np.concatenate([np.frombuffer(t, np.uint32) for t in names]))
+        return table.select(["slice", "ids", "n", "keys"]).append_column("hits", table["sizes"])
+    sizes = [_cell_sizes(raw).astype(np.int64) for raw in table["sizes"].to_pylist()]
+    # The last size of a row counts shingles that its slice found more than once.
+    weights = np.concatenate([np.repeat(np.arange(len(s)) == len(s) - 1, s) + 1 for s in sizes])
+    _, inverse = np.unique(np.concatenate([np.frombuffer(t, np.uint32) for t in names]), return_inverse=True)
+    repeated = np.bincount(inverse, weights)[inverse] > 1
     hits, at = [], 0
-    for raw in table["sizes"].to_pylist():
-        sizes = _cell_sizes(raw).astype(np.int64)
-        total = int(sizes.sum())
-        owner = np.repeat(np.arange(len(sizes)) // 2, sizes)
-        judged = np.repeat(np.arange(len(sizes)) % 2 == 0, sizes) & (counts[at:at + total] > 1)
-        hits.append(np.bincount(owner[judged], minlength=len(sizes) // 2).astype(np.uint32).tobytes())
+    for s in sizes:
+        total = int(s.sum())
+        run = np.repeat(np.arange(len(s)), s)
+        judged = repeated[at:at + total] & (run % 2 == 0) & (run < len(s) - 1)
+        hits.append(np.bincount(run[judged] // 2, minlength=len(s) // 2).astype(np.uint32).tobytes())
         at += total
     blank = pa.nulls(len(table), pa.binary())
     return pa.table({"slice": table["slice"], "ids": pa.nulls(len(table), table.schema.field("ids").type), "n": blank,
@@ -215,37 +230,55 @@ def _frequency_class(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 128, counts, np.minimum(255, 72 + 8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
+def _stars(keys: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key with its least ref, and the distinct pairs (ref, least ref of a shared key)."""
+    order = np.lexsort((refs, keys))
+    keys, refs = keys[order], refs[order]
+    if not len(keys):
+        return keys, refs, np.empty((2, 0), np.int64)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    least = np.repeat(refs[first], np.diff(np.concatenate((first, [len(keys)]))))
+    pairs = np.unique(np.stack((refs, least))[:, refs != least], axis=1)
+    return keys[first], refs[first], pairs
+
+
 def candidate_edges(packs: DataFrame, width: int, percent: int, total: int) -> DataFrame:
     """(a, b): classes that share one of their u + 1 rarest shingles, as stars per shingle."""
     buckets = max(1, total // BUCKET_TOKENS)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, _, sets in _packs(batches, width):
-            tokens = np.concatenate(sets)
+            tokens, often = np.unique(np.concatenate(sets), return_counts=True)
             order, edge = _by_bucket(_bucket(tokens, buckets), buckets)
             short = (tokens[order] >> np.uint64(32)).astype(np.uint32)
+            often = np.minimum(often, 255).astype(np.uint8)[order]
             used = np.flatnonzero(np.diff(edge))
-            yield _rows(["bucket", "slice", "tokens"], used, np.full(len(used), row.column("slice")[0].as_py()),
-                        pa.array([short[edge[b]:edge[b + 1]].tobytes() for b in used.tolist()], pa.binary()))
+            yield _rows(["bucket", "slice", "tokens", "often"], used,
+                        np.full(len(used), row.column("slice")[0].as_py()),
+                        pa.array([short[edge[b]:edge[b + 1]].tobytes() for b in used.tolist()], pa.binary()),
+                        pa.array([often[edge[b]:edge[b + 1]].tobytes() for b in used.tolist()], pa.binary()))
 
     def counted(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(t, np.uint32) for t in table["tokens"].to_pylist()]
-        classes = _frequency_class(_repeated(np.concatenate(parts))[0])
+        often = np.frombuffer(b"".join(table["often"].to_pylist()), np.uint8)
+        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        classes = _frequency_class(np.bincount(inverse, often)[inverse])
         edges = np.cumsum([0] + [len(p) for p in parts])
         return pa.table({"slice": table["slice"], "bucket": table["bucket"], "counts": pa.array(
             [classes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
 
-    counts = packs.mapInArrow(sent, "bucket long, slice long, tokens binary").groupBy("bucket").applyInArrow(
+    counts = packs.mapInArrow(sent, "bucket long, slice long, tokens binary, often binary").groupBy("bucket").applyInArrow(
         counted, "slice long, bucket long, counts binary").groupBy("slice").agg(
         F.array_sort(F.collect_list(F.struct("bucket", "counts"))).alias("found")).select(
         F.col("slice").alias("of"), F.col("found.counts").alias("counts"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, ids, sets in _packs(batches, width):
-            tokens = np.concatenate(sets)
+            tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
             order, _ = _by_bucket(_bucket(tokens, buckets), buckets)
             rank = np.empty(len(tokens), np.uint8)
             rank[order] = np.frombuffer(b"".join(row.column("counts")[0].as_py()), np.uint8)
+            rank = rank[inverse]
             keys, refs, at = [], [], 0
             for number, s in zip(ids.tolist(), sets, strict=True):
                 own = rank[at:at + len(s)]
@@ -255,25 +288,25 @@ def candidate_edges(packs: DataFrame, width: int, percent: int, total: int) -> D
                 chosen = chosen[own[chosen] > 1]
                 keys.append(s[chosen])
                 refs.append(np.full(len(chosen), number))
-            keys, refs = np.concatenate(keys), np.concatenate(refs)
+            # A slice sends a shingle once, for its least class; the others hang on that one.
+            keys, refs, local = _stars(np.concatenate(keys), np.concatenate(refs))
             order, edge = _by_bucket(_bucket(keys, buckets), buckets)
-            used = np.flatnonzero(np.diff(edge))
-            yield _rows(["bucket", "keys", "refs"], used,
-                        pa.array([keys[order[edge[b]:edge[b + 1]]].tobytes() for b in used.tolist()], pa.binary()),
-                        pa.array([refs[order[edge[b]:edge[b + 1]]].tobytes() for b in used.tolist()], pa.binary()))
+            used = np.flatnonzero(np.diff(edge)).tolist()
+            cells = [order[edge[b]:edge[b + 1]] for b in used]
+            yield _rows(["bucket", "keys", "refs", "pairs"], pa.array([*used, buckets + int(ids[0]) % buckets], pa.int64()),
+                        pa.array([*(keys[c].tobytes() for c in cells), b""], pa.binary()),
+                        pa.array([*(refs[c].tobytes() for c in cells), b""], pa.binary()),
+                        pa.array([*(b"" for _ in cells), local.tobytes()], pa.binary()))
 
     def stars(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()])
-        refs = np.concatenate([np.frombuffer(r, np.int64) for r in table["refs"].to_pylist()])
-        order = np.lexsort((refs, keys))
-        keys, refs = keys[order], refs[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        least = np.repeat(refs[first], np.diff(np.concatenate((first, [len(keys)]))))
-        pairs = np.unique(np.stack((refs, least))[:, refs != least], axis=1)
+        _, _, pairs = _stars(np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64),
+                             np.frombuffer(b"".join(table["refs"].to_pylist()), np.int64))
+        local = [np.frombuffer(p, np.int64).reshape(2, -1) for p in table["pairs"].to_pylist()]
+        pairs = np.concatenate([pairs, *local], axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     return packs.join(counts, F.col("slice") == F.col("of")).select("classes", "texts", "counts").mapInArrow(
-        prefixes, "bucket long, keys binary, refs binary").groupBy("bucket").applyInArrow(stars, "a long, b long")
+        prefixes, "bucket long, keys binary, refs binary, pairs binary").groupBy("bucket").applyInArrow(stars, "a long, b long")
 
 
 # ---- steps 3 and 4: signature trees -----------------------------------------------------------
