@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import stash
-from tallyweave.llm.components import components
+from tallyweave.llm.components import components, forest
 
 #: Vectors of one block on average; a tile compares two blocks.
 BLOCK = 2048
@@ -60,18 +60,6 @@ def codes_product(codes_a, codes_b, scale_a, scale_b, x, y) -> np.ndarray:
     return np.einsum("ij,ij->i", codes_a[x].astype(np.int64), codes_b[y].astype(np.int64)) * scale_a[x] * scale_b[y]
 
 
-def _forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The smallest node that each of n nodes reaches over the links x-y."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, x, before[y])
-        np.minimum.at(label, y, before[x])
-        label = np.minimum(label, label[label])
-        if (label == before).all():
-            return label
-
-
 def embedding_classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Distinct usable vectors: (class_id, vector, rep, copies). rep is the least id."""
     good = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(
@@ -105,7 +93,7 @@ def link_tiles(classes: DataFrame, threshold: float, block: int = BLOCK) -> Data
             both = x < y
             x, y = x[both], y[both]
         n = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids))
-        label = _forest(len(ids), x, y)
+        label = forest(len(ids), x, y)
         linked, moved = np.flatnonzero(n), np.flatnonzero(label != np.arange(len(ids)))
         return pa.table({
             "a": pa.array(np.concatenate((ids[linked], ids[moved]))),
