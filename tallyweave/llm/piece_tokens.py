@@ -28,13 +28,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from tallyweave.llm.common import flat_array, mix, ranges, slices, stash
 
 CHUNK = 65_536
 #: Longer words leave the side-by-side lattice for the scan by chunks of this many characters.
-LONG_WORD = 256
+LONG_WORD = 64
+#: Bytes of text worked on at once; the lattice takes some hundred bytes for each.
+SLICE = 1 << 20
 BLANK = "▁"
 _MEMO_BITS = 20
 _UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -68,6 +70,8 @@ class Pieces:
         self.splits: dict[int, tuple[int, int] | None | bool] = {}
         self.spines: dict[tuple[int, bool], tuple[list[int], list[float]]] = {}
         self.agreed: dict[tuple[int, int], bool] = {}
+        self.known_use = np.full(self.unknown + 1, -1, np.int8)
+        self.known_use[self.unknown] = 1
         self._hash_pieces()
 
     # -- which neighbours agree --
@@ -130,6 +134,11 @@ class Pieces:
     def usable(self, piece: int) -> bool:
         return self.split(piece) is not False
 
+    def usable_all(self, pieces: np.ndarray) -> np.ndarray:
+        for piece in np.unique(pieces[self.known_use[pieces] < 0]).tolist():
+            self.known_use[piece] = self.usable(piece)
+        return self.known_use[pieces] == 1
+
     # -- pieces by hash, for many words at once --
 
     def _hash_pieces(self) -> None:
@@ -166,13 +175,13 @@ class Pieces:
         return found
 
     def agree_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a * (self.unknown + 1) + b
+        keys = a.astype(np.int64) * (self.unknown + 1) + b
         slot = (mix(keys.view(np.uint64)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
         known = self.memo_key[slot] == keys
         if not known.all():
             new = np.unique(keys[~known])
-            values = np.fromiter((self.usable(int(k % (self.unknown + 1))) and self.agree(*map(int, divmod(k, self.unknown + 1)))
-                                  if k % (self.unknown + 1) != self.unknown else True for k in new), bool, len(new))
+            values = self.usable_all(new % (self.unknown + 1))
+            values &= np.fromiter((self.agree(*divmod(k, self.unknown + 1)) for k in new.tolist()), bool, len(new))
             out = self.memo_value[slot]
             out[~known] = values[np.searchsorted(new, keys[~known])]
             at = (mix(new.view(np.uint64)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
@@ -195,15 +204,15 @@ class Pieces:
         n, top = len(points), int(sizes.max(initial=0))
         room = np.repeat(base + sizes, sizes) - np.arange(n)  # characters to the end of the word
         at = np.minimum(np.searchsorted(self.char_point, points), len(self.char_point) - 1)
-        pieces = [np.where(self.char_point[at] == points, self.char_id[at], self.unknown)]
+        pieces = [np.where(self.char_point[at] == points, self.char_id[at], self.unknown).astype(np.int32)]
         hashes = mix(points.astype(np.uint64) + np.uint64(1))
         for size in range(2, min(self.longest, top) + 1):
             fits = np.flatnonzero(room >= size)
             hashes[fits] = mix(hashes[fits] + points[fits + size - 1].astype(np.uint64) + np.uint64(1))
-            found = np.full(n, -1, np.int64)
+            found = np.full(n, -1, np.int32)
             found[fits] = self.lookup(hashes[fits])
             pieces.append(found)
-        last = np.full(n + 1, -1, np.int64)  # last piece of the path to behind each character
+        last = np.full(n + 1, -1, np.int32)  # last piece of the path to behind each character
         live = np.arange(len(words))
         for end in range(1, top + 1):
             live = live[sizes[live] >= end]
@@ -215,7 +224,7 @@ class Pieces:
                     open_ = open_[last[tail[open_] - size] >= 0]
                     good = self.agree_all(last[tail[open_] - size], piece[open_])
                 else:
-                    good = np.fromiter((k == self.unknown or self.usable(int(k)) for k in piece[open_]), bool, len(open_))
+                    good = self.usable_all(piece[open_])
                 chosen = open_[good]
                 last[tail[chosen]] = piece[chosen]
         length = np.array([len(t) for t in self.text] + [1], np.int64)
@@ -384,34 +393,57 @@ def decode_ids(pieces: Pieces, ids) -> str:
 
 # ---- Spark ------------------------------------------------------------------------------------
 
-def encode(docs: DataFrame, model: str, chunk: int = CHUNK, text_col: str = "text") -> DataFrame:
-    """`docs` with a column ids (array<int>, replaced if there).
+def id_lists(pieces: Pieces, texts: pa.Array, ids: np.ndarray, begins: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+
+
+def encode(docs: DataFrame, model: str, chunk: int = CHUNK, text_col: str = "text", finish=id_lists,
+           made: str = "ids array<int>") -> DataFrame:
+    """`docs` with a column ids (array<int>, replaced if there), or what `finish` makes.
+
+    `finish` gets the vocabulary, texts, ids and where each text's begin, and returns arrays
+    for the columns of the schema `made`, so that digests need not carry the ids along.
 
     The ids are those of the vocabulary file's own library for the whole text; a null or empty
     text has none. Documents over `chunk` characters are cut into chunks that are rows of
     their own: dealt over the cluster, scanned, combined per document from their small
     matrices, and traced apart. Rows that repeat are encoded each.
     """
-    kept = [c for c in docs.columns if c != "ids"]
+    new = _parse_schema(made)
+    kept = [c for c in docs.columns if c not in new.names]
     plain = docs.select(*[F.col(f"`{c}`") for c in kept])
     size = F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0))
-    schema = StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([*plain.schema.fields, *new.fields])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, SLICE):
             ids, begins = encode_texts(pieces, part.column(text_col))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids.astype(np.int32)))],
-                [*kept, "ids"])
+                [*part.columns, *finish(pieces, part.column(text_col), ids, begins)], [*kept, *new.names])
 
     small = plain.where(size <= chunk).mapInArrow(short, schema)
     giant = stash(plain.where(size > chunk).select(
         F.monotonically_increasing_id().alias("row_no"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc")))
     texts = giant.select("row_no", F.col("doc").getField(text_col).alias("text"))
     ids = encode_chunks(texts, model, chunk)
-    return small.unionByName(giant.join(ids, "row_no").select(
-        *[F.col("doc").getField(c).alias(c) for c in kept], "ids"))
+    whole = giant.join(ids, "row_no").select("doc", "ids")
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(model)
+        for batch in batches:
+            columns = dict(zip(kept, batch.column("doc").flatten(), strict=True))
+            lists = batch.column("ids")
+            begins = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists)), dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [*columns.values(), *finish(pieces, columns[text_col], np.asarray(lists.flatten()), begins)],
+                [*kept, *new.names])
+
+    return small.unionByName(whole.mapInArrow(end, schema))
+
+
+def _parse_schema(made: str) -> StructType:
+    return StructType.fromDDL(made)
 
 
 def encode_chunks(texts: DataFrame, model: str, chunk: int) -> DataFrame:
@@ -554,21 +586,15 @@ def model_path() -> str:
 def token_query(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives
     the text back, for every document. A null text counts as an empty one."""
-    path = model_path()
-    encoded = encode(docs.select("doc_id", "text"), path, chunk)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path)
-        for batch in batches:
-            lists = batch.column("ids")
-            ids = np.asarray(lists.flatten()).astype("<u4")
-            ends = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists)))))
-            texts = batch.column("text").to_pylist()
-            spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)),
-                 pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in spans], pa.int64()),
-                 pa.array([decode_ids(pieces, ids[a:b].tolist()) == (t or "") for (a, b), t in zip(spans, texts, strict=True)])],
-                ["doc_id", "n_ids", "ids_crc32", "round_trip"])
-
-    return encoded.mapInArrow(digest, f"doc_id {dict(docs.dtypes)['doc_id']}, n_ids long, ids_crc32 long, round_trip boolean")
+    out = encode(docs.select("doc_id", "text"), model_path(), chunk, finish=_digests,
+                 made="n_ids long, ids_crc32 long, round_trip boolean")
+    return out.drop("text")
+
+
+def _digests(pieces: Pieces, texts: pa.Array, ids: np.ndarray, begins: np.ndarray) -> list[pa.Array]:
+    raw = ids.astype("<u4")
+    spans = list(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True))
+    return [pa.array(np.diff(begins).astype(np.int64)),
+            pa.array([zlib.crc32(raw[a:b].tobytes()) for a, b in spans], pa.int64()),
+            pa.array([decode_ids(pieces, raw[a:b].tolist()) == (t or "")
+                      for (a, b), t in zip(spans, texts.to_pylist(), strict=True)], pa.bool_())]
