@@ -11,6 +11,7 @@ from tallyweave.llm import (
     language_id,
     line_dedup,
     ngram_join,
+    oracles,
     packing,
     piece_tokens,
     quality_rules,
@@ -77,5 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filters.oracle(),
+    "op2_embedding_dedup": oracles.EMBEDDING,
+    "op3_ngram_join": oracles.JACCARD,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op6_quality_rules": oracles.QUALITY,
+    "op8_substring_dedup": oracles.SUBSTRING,
 }
