@@ -194,9 +194,12 @@ def language_query(docs: DataFrame) -> DataFrame:
 def drop_foreign(docs: DataFrame, min_score: float = 0.1) -> DataFrame:
     """The documents whose language is known: `und` and scores under `min_score` go.
 
-    Profiles are learned from all labelled rows of `docs` itself. Columns stay as they are.
+    Profiles are learned from all labelled rows of `docs` itself. Where no row is labelled
+    nothing can be told apart, and only texts without a letter go. Columns stay as they are.
     """
     profiles = language_profiles(docs.select("lang", "text"))
+    if not profiles:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     out = predict_language(docs, profiles, names=("_found_lang", "_found_score"))
     return out.where((F.col("_found_lang") != UNKNOWN) & (F.col("_found_score") >= min_score)).drop(
         "_found_lang", "_found_score")

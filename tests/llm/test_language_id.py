@@ -49,3 +49,6 @@ def test_stage_keeps_languages_and_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     out = m.drop_foreign(docs)
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 3, 4]
+    unlabelled = spark.createDataFrame([(1, "words", None), (2, "12", None), (3, None, None)],
+                                       "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in m.drop_foreign(unlabelled).collect()] == [1]
