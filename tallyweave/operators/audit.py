@@ -1,4 +1,7 @@
-"""Invoice audit: rules over headers and lines, price anomalies, repeat purchases."""
+"""Invoice audit: rules over headers and lines, price anomalies, repeat purchases.
+
+The codes, categories and message texts of the rules are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -31,6 +31,9 @@ ORIGIN_FORMATS = [
 ]
 ASIN_IN_URL = r"(?i)/(?:dp|gp/product)/([A-Z0-9]{10})(?:[/?]|$)"
 ASIN_IN_PAGE = r"(?i)\bASIN\s*[:\-\s]\s*([A-Z0-9]{10})\b"
+TITLE_SUFFIX = r"\s*[-|:]\s*Amazon\.\w+.*$"
+BYLINE_START = r"^(Visit the |Brand:\s*)"
+BYLINE_END = r"\s*Store\s*$"
 WEIGHT_KEYS = ["item weight", "weight", "product weight", "package weight"]
 SIZE_KEYS = [
     "product dimensions", "item dimensions", "package dimensions", "item dimensions lxwxh",
@@ -265,7 +268,7 @@ def extract_products(pages: DataFrame) -> DataFrame:
 
     page_title = F.regexp_replace(
         node_text(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)),
-        r"\s*[-|:]\s*Amazon\.\w+.*$", "",
+        TITLE_SUFFIX, "",
     )
     element_title = node_text(by_id(html, "productTitle"))
     title = (
@@ -276,8 +279,8 @@ def extract_products(pages: DataFrame) -> DataFrame:
     brand_json = F.get_json_object("_ld", "$.brand")
     ld_brand = F.when(strip(brand_json).startswith("{"), ld("$.brand.name")).otherwise(strip(brand_json))
     byline = F.regexp_replace(
-        F.regexp_replace(node_text(by_id(html, "bylineInfo")), r"^(Visit the |Brand:\s*)", ""),
-        r"\s*Store\s*$", "",
+        F.regexp_replace(node_text(by_id(html, "bylineInfo")), BYLINE_START, ""),
+        BYLINE_END, "",
     )
     bullets = F.filter(
         F.transform(
