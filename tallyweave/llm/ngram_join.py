@@ -458,6 +458,9 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     Shorter texts have one shingle. Equal sets always link, repeated rows too; a null id is
     never the least. Shingles are compared by 64-bit hashes, whole texts are read, and no
     bucket, cluster or list of partners is cut short.
+
+    `docs` is read twice and its tasks may run again when an executor is lost, so it should be
+    a table, or anything else whose partitions come out alike each time.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     table = set_table(narrow, width, percent)
