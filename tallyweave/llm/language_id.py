@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyweave.llm.common import slices
+from tallyweave.llm.common import slices, stash
 
 #: Ranks kept of a language and of a document.
 PROFILE = 300
 #: More languages than this are refused: the profiles go to every task.
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
+#: A text is foreign below MARGIN times the score that all but a share LOW of the labelled
+#: documents reach. Their beginnings of so many characters show what short texts score; these
+#: scatter, so under SHORT n-grams (a power of two) all but a share LOW_SHORT must reach it.
+LOW, LOW_SHORT, SHORT = 0.01, 0.001, 64
+MARGIN, BEGINNINGS = 0.75, (2, 4, 8, 16, 32, 64, 128)
+#: Score steps of the histograms that the quantiles come from.
+_STEPS = 1000
 _FLUSH = 2_000_000
 _letters: np.ndarray | None = None
 
@@ -99,8 +106,15 @@ def language_profiles(train: DataFrame, size: int = PROFILE) -> dict[str, list[i
     Counts cover every row of `train` (lang, text); rows without a lang or text are passed
     over. The driver gets size rows per language and refuses over MAX_LANGUAGES languages.
     """
+    return _most_frequent(_totals(train), size)
+
+
+def _totals(train: DataFrame) -> DataFrame:
     counts = gram_counts(train.where("lang is not null and text is not null").select("lang", "text"))
-    totals = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _most_frequent(totals: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     ranked = totals.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     rows = ranked.select("lang", "rank", "gram").limit(size * MAX_LANGUAGES + 1).collect()
@@ -124,12 +138,16 @@ class _Scorer:
             self.ranks[np.searchsorted(self.grams, profiles[lang]), k] = np.arange(len(profiles[lang]))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Best language and score of each text, and how many n-grams the score rests on."""
         n = len(texts)
-        names, scores = [UNKNOWN] * n, np.zeros(n)
+        names, scores, used = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
         codes, begins = _symbols(texts)
         grams, at = _grams(codes)
         if not len(grams) or not self.langs:
-            return names, scores
+            return names, scores, used
         owner = np.searchsorted(begins, at, side="right") - 1
         order = np.sort(owner << 48 | grams)
         first = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
@@ -149,12 +167,13 @@ class _Scorer:
         starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         distance = np.add.reduceat(cost, starts, axis=0)
         best = distance.argmin(axis=1)
-        worst = np.diff(np.concatenate((starts, [len(owner)]))) * self.size
+        used[owner[starts]] = np.diff(np.concatenate((starts, [len(owner)])))
+        worst = used[owner[starts]] * self.size
         value = 1 - distance[np.arange(len(starts)), best] / worst
         scores[owner[starts]] = value
         for doc, lang in zip(owner[starts], best, strict=True):
             names[doc] = self.langs[lang]
-        return names, scores
+        return names, scores, used
 
 
 def predict_language(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE,
@@ -191,15 +210,79 @@ def language_query(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def _level(used: np.ndarray) -> np.ndarray:
+    """Doublings of the number of n-grams; a full profile and more is one level."""
+    return np.floor(np.log2(np.maximum(1, np.minimum(used, 256)))).astype(np.int64)
+
+
+def least_scores(labelled: DataFrame, halves: list[dict[str, list[int]]]) -> dict[str, dict[int, float]]:
+    """Per language and level of n-grams the score under which a text is foreign.
+
+    Each row of `labelled` (lang, half, text) is scored by the profiles of the other half, so
+    that no text is measured by itself. Rows found to be of their own language count, and so do
+    their beginnings, which stand for short texts. A level never asks for more than the whole
+    documents of its language reach. The driver gets a row per language and level.
+    """
+    scorers = [_Scorer(p, PROFILE) for p in halves]
+    whole = -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for part in slices(batches, "text"):
+            langs, of = part.column("lang").to_pylist(), part.column("half").to_pylist()
+            texts = part.column("text").to_pylist()
+            for half, scorer in enumerate(scorers):
+                rows = [i for i, h in enumerate(of) if h != half]
+                for size in (None, *BEGINNINGS):
+                    names, scores, used = scorer.judged([texts[i][:size] for i in rows])
+                    steps, levels = np.floor(scores * _STEPS).astype(np.int64), _level(used)
+                    for k, i in enumerate(rows):
+                        if names[k] == langs[i]:
+                            for level in (int(levels[k]), whole)[:1 if size else 2]:
+                                held.setdefault((names[k], level), np.zeros(_STEPS + 1, np.int64))[steps[k]] += 1
+        for (lang, level), counts in held.items():
+            step = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(step), pa.string()), pa.array(np.full(len(step), level)), pa.array(step),
+                 pa.array(counts[step])], ["lang", "level", "step", "n"])
+
+    steps = labelled.mapInArrow(run, "lang string, level long, step long, n long").groupBy(
+        "lang", "level", "step").agg(F.sum("n").alias("n"))
+    each = Window.partitionBy("lang", "level")
+    reached = steps.withColumn("below", F.sum("n").over(each.orderBy("step"))).withColumn(
+        "all", F.sum("n").over(each)).where(F.col("below") > F.col("all") * F.when(
+            F.col("level").between(0, int(np.log2(SHORT)) - 1), LOW_SHORT).otherwise(LOW))
+    found: dict[str, dict[int, float]] = {}
+    for row in reached.groupBy("lang", "level").agg(F.min("step").alias("step")).collect():
+        found.setdefault(row["lang"], {})[row["level"]] = MARGIN * row["step"] / _STEPS
+    return {lang: {level: min(score, of[whole]) for level, score in of.items() if level != whole}
+            for lang, of in found.items() if whole in of}
+
+
 def drop_foreign(docs: DataFrame, min_score: float = 0.1) -> DataFrame:
-    """The documents whose language is known: `und` and scores under `min_score` go.
+    """The documents whose language is known: `und` and scores under the language's go.
 
-    Profiles are learned from all labelled rows of `docs` itself. Where no row is labelled
+    Profiles and the least score of each language (`least_scores`, never under `min_score`) are
+    learned from all labelled rows of `docs` itself. A language whose labelled texts are all
+    alike gives nothing to measure and asks for `min_score` alone. Where no row is labelled
     nothing can be told apart, and only texts without a letter go. Columns stay as they are.
     """
-    profiles = language_profiles(docs.select("lang", "text"))
+    labelled = docs.where("lang is not null and text is not null").select(
+        "lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "text")
+    totals = stash(_totals(labelled.select(F.concat(F.col("half").cast("string"), F.col("lang")).alias("lang"), "text")))
+    plain = totals.select(F.expr("substr(lang, 2)").alias("lang"), F.substring("lang", 1, 1).alias("half"), "gram", "n")
+    profiles = _most_frequent(plain.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     if not profiles:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    out = predict_language(docs, profiles, names=("_found_lang", "_found_score"))
-    return out.where((F.col("_found_lang") != UNKNOWN) & (F.col("_found_score") >= min_score)).drop(
-        "_found_lang", "_found_score")
+    least = least_scores(labelled, [_most_frequent(plain.where(F.col("half") == h).drop("half")) for h in "01"])
+    scorer = _Scorer(profiles, PROFILE)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            langs, scores, used = scorer.judged(part.column("text").to_pylist())
+            needed = [max(min_score, least.get(lang, {}).get(level, 0.0))
+                      for lang, level in zip(langs, _level(used).tolist(), strict=True)]
+            known = (np.array(langs) != UNKNOWN) & (scores >= np.array(needed))
+            yield part.filter(pa.array(known))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -52,3 +52,22 @@ def test_stage_keeps_languages_and_columns(spark):
     unlabelled = spark.createDataFrame([(1, "words", None), (2, "12", None), (3, None, None)],
                                        "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in m.drop_foreign(unlabelled).collect()] == [1]
+
+
+def test_stage_drops_foreign_and_gibberish(spark, sf):
+    foreign = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita",
+        "Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił",
+        "Mieleni minun tekevi aivoni ajattelevi lähteäni laulamahan saa'ani sanelemahan sukuvirttä suoltamahan",
+        "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler",
+        "Watu wote wamezaliwa huru hadhi na haki zao ni sawa wote wamejaliwa akili na dhamiri hivyo yapasa",
+        "xqzv kjwq zzxp qwrt plkj vbnm zxcv qqwx jkhz wvxq pzkq mxnz hjqk xwvz qkjx"]
+    clean = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    long = clean.where("length(text) > 400").limit(40).collect()
+    # Clean texts without a label, whole and short, stay beside the labelled ones.
+    own = [(-1000 - k, text, None) for k, text in enumerate(
+        [r["text"] for r in long[:20]] + [" ".join(r["text"].split()[:6]) for r in long[20:]])]
+    odd = [(-1 - k, text, None) for k, text in enumerate(foreign + [" ".join([t] * 300) for t in foreign])]
+    docs = clean.unionByName(spark.createDataFrame(own + odd, "doc_id long, text string, lang string"))
+    got = {r["doc_id"] for r in m.drop_foreign(docs).collect()}
+    assert got == {r["doc_id"] for r in clean.collect()} | {d for d, _, _ in own}
