@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import SLICE_BYTES, mix, slices, stash, window_hashes, word_hashes
+from tallyweave.llm.common import SLICE_BYTES, mix, slices, stash, text_key, window_hashes, word_hashes
 from tallyweave.llm.components import components
 
 #: Shingle hashes that one bucket holds on average; more shingles mean more buckets.
@@ -134,7 +134,7 @@ def _sent_tokens(docs: DataFrame, width: int, percent: int, buckets: int, id_typ
             yield _rows(names, [buckets + name % buckets], [name], pa.nulls(1, pa.binary()),
                         pa.array([own_hits.astype(np.uint32).tobytes()], pa.binary()),
                         pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), part.column("id")),
-                        pa.array([n.tobytes()], pa.binary()), pa.array([np.stack((h1, h2)).tobytes()], pa.binary()))
+                        pa.array([n.tobytes()], pa.binary()), pa.array([np.stack((h1, h2, np.asarray(part.column("key")))).tobytes()], pa.binary()))
 
     return docs.mapInArrow(run, _SENT.format(id=f"array<{id_type}>"))
 
@@ -175,7 +175,7 @@ def _answered(table: pa.Table) -> pa.Table:
 
 
 def set_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n, h1, h2, possible): the set of every row of docs (id, text), and whether step 1 leaves it."""
+    """(id, key, n, h1, h2, possible): the set of every row of docs (id, text, key), and whether step 1 leaves it."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(size / 6 * min(1.0, 3.5 * (100 - percent) / 100)) // BUCKET_TOKENS)
     kind = dict(docs.dtypes)["id"]
@@ -187,14 +187,14 @@ def set_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
         hits = [np.frombuffer(h, np.uint32) for h in table["hits"].to_pylist() if h is not None]
         at = next(i for i, n in enumerate(table["n"].to_pylist()) if n is not None)
         n = np.frombuffer(table["n"][at].as_py(), np.int64)
-        h1, h2 = np.frombuffer(table["keys"][at].as_py(), np.int64).reshape(2, -1)
+        h1, h2, key = np.frombuffer(table["keys"][at].as_py(), np.int64).reshape(3, -1)
         u = unshared(n, percent)
         total = np.sum(hits, axis=0) if hits else np.zeros(len(n), np.int64)
         possible = (n > 0) & (total >= np.minimum(n, 2 * u + 1) - u)
-        return pa.table({"id": table["ids"].chunk(0)[at].values, "n": n, "h1": h1, "h2": h2, "possible": possible})
+        return pa.table({"id": table["ids"].chunk(0)[at].values, "key": key, "n": n, "h1": h1, "h2": h2, "possible": possible})
 
     return stash(answers.groupBy("slice").applyInArrow(
-        gathered, f"id {kind}, n long, h1 long, h2 long, possible boolean"))
+        gathered, f"id {kind}, key long, n long, h1 long, h2 long, possible boolean"))
 
 
 # ---- step 2: candidates -----------------------------------------------------------------------
@@ -448,6 +448,25 @@ def _verified(packs: DataFrame, clusters: DataFrame, width: int, percent: int, t
     return first.unionByName(stash(second))
 
 
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The set table of `docs`, and (n, h1, h2, component, least) of its sets."""
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).alias("id"), text.alias("text"), text_key(text).alias("key"))
+    table = set_table(narrow, width, percent)
+    classes = stash(table.where("n > 0").groupBy("n", "h1", "h2").agg(
+        F.min("id").alias("rep"), F.max("possible").alias("possible")).withColumn(
+        "class_id", F.monotonically_increasing_id()))
+    live = classes.where("possible")
+    total = live.agg(F.sum("n")).first()[0] or 0
+    packs = _texts_of(narrow, live, width)
+    clusters = stash(components(candidate_edges(packs, width, percent, total)).select(
+        F.col("node").alias("class_id"), F.col("component").alias("cluster")))
+    linked = components(_verified(packs, clusters, width, percent, total)).withColumnRenamed("node", "class_id")
+    named = classes.join(linked, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    return table, named.join(least, "component").select("n", "h1", "h2", "component", "least")
+
+
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id.
@@ -462,20 +481,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     `docs` is read twice and its tasks may run again when an executor is lost, so it should be
     a table, or anything else whose partitions come out alike each time.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = set_table(narrow, width, percent)
-    classes = stash(table.where("n > 0").groupBy("n", "h1", "h2").agg(
-        F.min("id").alias("rep"), F.max("possible").alias("possible")).withColumn(
-        "class_id", F.monotonically_increasing_id()))
-    live = classes.where("possible")
-    total = live.agg(F.sum("n")).first()[0] or 0
-    packs = _texts_of(narrow, live, width)
-    clusters = stash(components(candidate_edges(packs, width, percent, total)).select(
-        F.col("node").alias("class_id"), F.col("component").alias("cluster")))
-    linked = components(_verified(packs, clusters, width, percent, total)).withColumnRenamed("node", "class_id")
-    named = classes.join(linked, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component").select("n", "h1", "h2", "least")
+    table, named = _grouped(docs, width, percent, id_col, text_col)
     return table.join(named, ["n", "h1", "h2"], "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
@@ -485,6 +491,24 @@ def jaccard_query(docs: DataFrame) -> DataFrame:
 
 
 def keep_first_of_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` less the documents whose group has a smaller id; rows with a null id stay."""
-    groups = jaccard_groups(docs, width, percent).where("id <> component_id").select(F.col("id").alias("gone")).distinct()
-    return docs.alias("d").join(groups.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")
+    """One row of each group of linked documents: that of the least doc_id, null ids last,
+    then of the least text fingerprint. Rows that repeat this (doc_id, text) are one document,
+    of which the row that comes first as JSON stays. Rows without words link with nothing, so
+    all of them stay."""
+    table, named = _grouped(docs, width, percent, "doc_id", "text")
+    rows = table.where("n > 0").groupBy("id", "key", "n", "h1", "h2").agg(F.count("*").alias("copies")).join(
+        named.drop("least"), ["n", "h1", "h2"])
+    place = F.struct(F.col("id").isNull().alias("late"), "id", "key")
+    first = rows.groupBy("component").agg(F.min(place).alias("first"))
+    # Only documents that lose, or that are there more than once, are looked up again.
+    judged = stash(rows.join(first, "component").select("id", "key", (place == F.col("first")).alias("wins"), "copies").where(
+        "not wins or copies > 1").select("id", "key", "wins"))
+    this = F.col("d.doc_id").eqNullSafe(F.col("g.id")) & (text_key(F.col("d.text").cast("string")) == F.col("g.key"))
+    kept = docs.alias("d").join(judged.alias("g"), this, "left_anti")
+    repeated = judged.where("wins")
+    if repeated.limit(1).count() == 0:
+        return kept
+    whole = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
+    once = docs.alias("d").join(repeated.alias("g"), this).groupBy("g.id", "g.key").agg(
+        F.min_by(whole, F.to_json(whole)).alias("row"))
+    return kept.unionByName(once.select("row.*"))

@@ -50,6 +50,26 @@ def test_keep_first_of_group(spark):
     assert sorted(r["doc_id"] for r in kept) == [2, 7, 9]
 
 
+def test_keep_first_of_group_repeated_and_null_ids(spark):
+    def text(k):
+        return " ".join(f"{k}w{i}" for i in range(60))
+
+    schema = "doc_id long, text string, _x int"
+    # (5, A) leads A though (5, B) loses to (2, B').
+    rows = [(5, text("a"), 1), (7, text("a") + " end", 2), (5, text("b"), 3), (2, text("b") + " end", 4)]
+    # Null ids come last, one document of a group stays without any id, repeated rows are one document.
+    rows += [(None, text("c"), 5), (9, text("c") + " end", 6), (None, text("d"), 7), (None, text("d") + " end", 8),
+             (None, text("d"), 9), (4, text("e"), 11), (4, text("e"), 10), (4, text("e") + " end", 12), (6, text("f"), 14),
+             (6, text("f"), 13), (None, text("g"), 16), (None, text("g"), 15)]
+    rows += [(None, None, 20), (None, "", 21), (8, " ", 22), (None, text("h"), 23)]
+    got = {r["_x"]: (r["doc_id"], r["text"]) for r in m.keep_first_of_group(
+        spark.createDataFrame(rows, schema).repartition(3)).collect()}
+    d, e = got.keys() & {7, 8}, got.keys() & {10, 12}
+    assert len(d) == len(e) == 1
+    assert got.keys() - d - e == {1, 4, 6, 13, 15, 20, 21, 22, 23}
+    assert all(got[x] == (i, t) for i, t, x in rows if x in got)
+
+
 def test_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2 ** 63, 200).astype(np.uint64)
