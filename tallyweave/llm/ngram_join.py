@@ -199,11 +199,25 @@ def set_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 # ---- step 2: candidates -----------------------------------------------------------------------
 
+def _representatives(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class_id, h1, h2, text): the rows of docs (id, text, key) that are a class's rep and
+    rep_key, never more than docs has. Only repeated rows meet the same class again (of these
+    a task keeps one)."""
+    return docs.join(classes.select("rep", "rep_key", "class_id", "h1", "h2"),
+                     F.col("id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("rep_key"))).select(
+        "class_id", "h1", "h2", "text")
+
+
 def _texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """Texts of one document of each class, packed: (slice, classes, texts) of about 2 MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for k, part in enumerate(slices(batches, "text")):
+            ids = part.column("class_id").to_pylist()
+            new = [i for i, c in enumerate(ids) if c not in seen and not seen.add(c)]
+            if len(new) < len(ids):
+                part = part.take(pa.array(new, pa.int64()))
             h1, h2 = _set_keys(shingle_sets(part.column("text"), width))
             right = (h1 == np.asarray(part.column("h1"))) & (h2 == np.asarray(part.column("h2")))
             kept = part.filter(pa.array(right))
@@ -213,9 +227,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
                             pa.ListArray.from_arrays(edges, kept.column("class_id")),
                             pa.ListArray.from_arrays(edges, kept.column("text")))
 
-    joined = docs.join(classes.select(F.col("rep").alias("rep_id"), "class_id", "h1", "h2"),
-                       F.col("id").eqNullSafe(F.col("rep_id"))).select("class_id", "h1", "h2", "text")
-    return stash(joined.mapInArrow(run, "slice long, classes array<long>, texts array<string>"))
+    return stash(_representatives(docs, classes).mapInArrow(run, "slice long, classes array<long>, texts array<string>"))
 
 
 def _packs(batches: Iterator[pa.RecordBatch], width: int):
@@ -454,7 +466,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     narrow = docs.select(F.col(id_col).alias("id"), text.alias("text"), text_key(text).alias("key"))
     table = set_table(narrow, width, percent)
     classes = stash(table.where("n > 0").groupBy("n", "h1", "h2").agg(
-        F.min("id").alias("rep"), F.max("possible").alias("possible")).withColumn(
+        F.min("id").alias("rep"), F.coalesce(F.min_by("key", "id"), F.min("key")).alias("rep_key"),
+        F.max("possible").alias("possible")).withColumn(
         "class_id", F.monotonically_increasing_id()))
     live = classes.where("possible")
     total = live.agg(F.sum("n")).first()[0] or 0

@@ -70,6 +70,26 @@ def test_keep_first_of_group_repeated_and_null_ids(spark):
     assert all(got[x] == (i, t) for i, t, x in rows if x in got)
 
 
+@pytest.mark.parametrize("shared", [None, 3])
+def test_classes_meet_their_representative_only(spark, monkeypatch, shared):
+    # One id, or none, for all rows: a class must not meet the texts of the others.
+    met, texts_of = [], m._texts_of
+
+    def counted(docs, classes, width):
+        met.append((m._representatives(docs, classes).count(), classes.count()))
+        packs = texts_of(docs, classes, width)
+        assert {c for r in packs.collect() for c in r["classes"]} == {r["class_id"] for r in classes.collect()}
+        return packs
+
+    monkeypatch.setattr(m, "_texts_of", counted)
+    docs = {k: t for k, t in corpus().items() if t}
+    rows = [(shared, t) for t in docs.values()]
+    got = m.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got} == {shared}
+    rows_met, live = met[0]
+    assert live > 20 and live <= rows_met <= len(rows)
+
+
 def test_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2 ** 63, 200).astype(np.uint64)
