@@ -34,6 +34,8 @@ from tallyweave.llm.components import components
 BUCKET_TOKENS = 400_000
 #: Sets in one tile, and branches of a tree node.
 TILE, FANOUT = 512, 8
+#: Shingles in one tile on average, unless one set has more, and in all tiles of one bin.
+TILE_TOKENS, BIN_TOKENS = 1_000_000, 2_000_000
 BITS = 4096
 
 
@@ -409,6 +411,7 @@ def _joined_tiles(tiles: DataFrame, width: int, percent: int) -> DataFrame:
         links: list[tuple[int, int]] = []
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             rows = order[start:end]
+            rows = rows[np.concatenate(([True], ids[rows[1:]] != ids[rows[:-1]]))]
             sets = []
             for piece in slices([pa.RecordBatch.from_arrays([texts.take(pa.array(rows))], ["text"])], "text"):
                 sets += shingle_sets(piece.column("text"), width)
@@ -418,32 +421,44 @@ def _joined_tiles(tiles: DataFrame, width: int, percent: int) -> DataFrame:
     return tiles.groupBy("bin").applyInArrow(run, "a long, b long")
 
 
-def _verified(packs: DataFrame, clusters: DataFrame, width: int, percent: int, total: int) -> DataFrame:
-    """Links (a, b) that connect exactly what the join's links connect, within clusters."""
-    bins = max(1, total // 2_000_000)
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.min("class_id").alias("pivot"))
-    known = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
+def _blocks(sets, tokens):
+    """Blocks for so many sets with so many shingles: no more than TILE sets or TILE_TOKENS
+    shingles each on average, and no more blocks than sets."""
+    return F.least(sets, F.greatest(F.ceil(sets / TILE), F.ceil(tokens / TILE_TOKENS))).cast("int")
+
+
+def _binned(tiles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Tiles with their texts, dealt to bins by the shingles that all tiles together hold."""
+    bins = max(1, -(-int(tiles.agg(F.sum("n")).first()[0] or 0) // BIN_TOKENS))
+    return tiles.join(texts, "class_id").select(
+        F.pmod(F.xxhash64("cluster", "tile"), F.lit(bins)).alias("bin"), "cluster", "tile", "class_id", "component", "text")
+
+
+def _verified(packs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect exactly what the join's links connect, within clusters
+    (class_id, n, cluster)."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"),
+                                            F.min("class_id").alias("pivot"))
+    known = clusters.join(sizes, "cluster").withColumn("blocks", _blocks(F.col("size"), F.col("tokens")))
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     # The first set of a cluster sits in every tile, so that tiles which reach it are connected.
     dealt = known.withColumn("tile", F.explode(F.when(
         F.col("class_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
     texts = packs.select(F.explode(F.arrays_zip("classes", "texts")).alias("d")).select(
         F.col("d.classes").alias("class_id"), F.col("d.texts").alias("text"))
-    binned = F.pmod(F.xxhash64("cluster", "tile"), F.lit(bins))
-    columns = ["cluster", "tile", "class_id", "component", "text"]
-    first = stash(_joined_tiles(dealt.withColumn("component", F.col("class_id")).join(texts, "class_id").select(
-        binned.alias("bin"), *columns), width, percent))
+    first = stash(_joined_tiles(_binned(dealt.withColumn("component", F.col("class_id")), texts), width, percent))
     large = known.where("blocks > 1")
     if large.limit(1).count() == 0:
         return first
     parts = large.join(components(first).withColumnRenamed("node", "class_id"), "class_id", "left").select(
-        "cluster", "class_id", F.coalesce("component", "class_id").alias("component"))
-    main = parts.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"))
+        "cluster", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
+    main = parts.groupBy("cluster", "component").agg(F.count("*").alias("size")).groupBy("cluster").agg(
+        F.max_by("component", F.struct("size", "component")).alias("main"))
     parts = parts.join(main, "cluster").withColumn("open", F.col("component") != F.col("main"))
-    blocks = parts.groupBy("cluster").agg(
-        F.ceil(F.sum(F.col("open").cast("long")) * 2 / TILE).cast("int").alias("open_blocks"),
-        F.ceil(F.sum((~F.col("open")).cast("long")) * 2 / TILE).cast("int").alias("rest_blocks")).where("open_blocks > 0")
+    share = lambda side, value: F.coalesce(F.sum(F.when(side, value)), F.lit(0)) * 2
+    blocks = parts.groupBy("cluster").agg(*[
+        _blocks(share(side, F.lit(1)), share(side, F.col("n"))).alias(name)
+        for side, name in ((F.col("open"), "open_blocks"), (~F.col("open"), "rest_blocks"))]).where("open_blocks > 0")
     met = parts.join(blocks, "cluster")
     number = F.pmod(F.xxhash64("class_id", F.lit(7)), F.when(F.col("open"), F.col("open_blocks")).otherwise(F.col("rest_blocks")))
     met = met.withColumn("own", number.cast("long"))
@@ -456,7 +471,7 @@ def _verified(packs: DataFrame, clusters: DataFrame, width: int, percent: int, t
     rest = F.transform(F.sequence(F.lit(0), F.col("open_blocks") - 1),
                        lambda i: i * width_all + F.col("open_blocks") + F.col("own"))
     tiles = met.withColumn("tile", F.explode(F.when(F.col("open"), opened).otherwise(rest)))
-    second = _joined_tiles(tiles.join(texts, "class_id").select(binned.alias("bin"), *columns), width, percent)
+    second = _joined_tiles(_binned(tiles, texts), width, percent)
     return first.unionByName(stash(second))
 
 
@@ -473,8 +488,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     total = live.agg(F.sum("n")).first()[0] or 0
     packs = _texts_of(narrow, live, width)
     clusters = stash(components(candidate_edges(packs, width, percent, total)).select(
-        F.col("node").alias("class_id"), F.col("component").alias("cluster")))
-    linked = components(_verified(packs, clusters, width, percent, total)).withColumnRenamed("node", "class_id")
+        F.col("node").alias("class_id"), F.col("component").alias("cluster")).join(live.select("class_id", "n"), "class_id"))
+    linked = components(_verified(packs, clusters, width, percent)).withColumnRenamed("node", "class_id")
     named = classes.join(linked, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     return table, named.join(least, "component").select("n", "h1", "h2", "component", "least")

@@ -90,6 +90,33 @@ def test_classes_meet_their_representative_only(spark, monkeypatch, shared):
     assert live > 20 and live <= rows_met <= len(rows)
 
 
+def test_bins_follow_the_replicated_size(spark, monkeypatch):
+    # A cluster of near-misses: every set meets every other in the second pass.
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(40)]
+    docs = {d: " ".join(common + [f"x{d}y{k}" for k in range(16 + rng.randrange(4))]) for d in range(120)}
+    docs |= {200 + d: " ".join(common + [f"x{d}y{k}" for k in range(15)]) for d in range(20)}
+    docs |= {300 + d: " ".join(f"g{k}" for k in range(1500)) + f" end{d}" for d in range(6)}
+    monkeypatch.setattr(m, "TILE", 8)
+    monkeypatch.setattr(m, "TILE_TOKENS", 1500, raising=False)
+    monkeypatch.setattr(m, "BIN_TOKENS", 3000, raising=False)
+    seen, joined = [], m._joined_tiles
+
+    def watched(tiles, width, percent):
+        words = tiles.selectExpr("bin", "cluster", "tile", "size(split(text, ' ')) as w")
+        seen.append(([r["w"] for r in words.groupBy("bin").sum("w").toDF("bin", "w").collect()],
+                     [tuple(r) for r in words.groupBy("cluster", "tile").agg({"w": "sum", "bin": "count"}).collect()]))
+        return joined(tiles, width, percent)
+
+    monkeypatch.setattr(m, "_joined_tiles", watched)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in m.jaccard_groups(frame, 3, 60).collect()}
+    assert got == plain.jaccard_groups(docs, 3, 60)
+    assert len(seen) == 2 and sum(seen[1][0]) > 3 * sum(len(t.split()) for t in docs.values())
+    # Bins are dealt by hash, so a bin may hold some times its mean.
+    assert all(max(bins) < 5 * 3000 for bins, _ in seen)
+
+
 def test_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2 ** 63, 200).astype(np.uint64)
