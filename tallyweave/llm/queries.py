@@ -13,6 +13,7 @@ from tallyweave.llm import (
     ngram_join,
     oracles,
     packing,
+    personal_data,
     piece_tokens,
     quality_rules,
     substring_dedup,
@@ -63,6 +64,10 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.token_query(read(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data_query(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_piece_tokens": op10_piece_tokens,
+    "op11_personal_data": op11_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -20,7 +20,7 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {f"op{k}" for k in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{k}" for k in range(1, len(QUERIES) + 1)} == {q.split("_")[0] for q in QUERIES}
 
 
 def test_pipeline_stages(spark, sf):
