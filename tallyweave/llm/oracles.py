@@ -115,3 +115,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT ({_RULES["short"]} OR {_RULES["repeats"]}) AND bad.host IS NULL AS kept, bad.host IS NOT NULL AS host_failed
 FROM m LEFT JOIN bad ON bad.host = m.host
 """
+
+
+def vector_codes_sql(rounds: int = 4) -> str:
+    """Product codebooks: whole numbers below 2^53 are exact in doubles, so products give exact distances."""
+    steps = ["""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] AS x FROM k, range(4) AS r(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 256)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min(struct_pack(
+    d := list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), e := entry)) AS near
+  FROM p JOIN b{i} USING (part) GROUP BY vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT part, entry, list(c ORDER BY pos) AS c FROM (
+    SELECT part, near.e AS entry, pos, floor((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) / count(*)) AS c
+    FROM (SELECT part, near, generate_subscripts(x, 1) AS pos, unnest(x)::BIGINT AS v FROM a{i}) GROUP BY part, entry, pos)
+  GROUP BY part, entry),
+b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN m{i} USING (part, entry))""")
+    return ",\n".join(steps) + f""",
+g AS (SELECT vec_id, string_agg(lpad(lower(to_hex(near.e::BIGINT)), 2, '0'), '' ORDER BY part) AS code,
+  sum(near.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(c::BIGINT[], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN g USING (vec_id), h
+"""

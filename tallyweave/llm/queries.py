@@ -19,6 +19,8 @@ from tallyweave.llm import (
     substring_dedup,
     toxicity,
     url_filters,
+    vector_codes,
+    whitening,
 )
 from tallyweave.llm.common import read
 
@@ -68,6 +70,14 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data_query(read(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_query(read(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_query(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -80,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_piece_tokens": op10_piece_tokens,
     "op11_personal_data": op11_personal_data,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_quality_rules": oracles.QUALITY,
     "op8_substring_dedup": oracles.SUBSTRING,
+    "op12_vector_codes": oracles.vector_codes_sql(),
 }
