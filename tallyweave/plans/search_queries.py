@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.text import WS, search_tokens
 from tallyweave.operators import chunks, conversation, rollups, search, views
+from tallyweave.operators import stored_index as stored
 from tallyweave.operators.partitioning import spread
 from tallyweave.operators.stemming import stem_table
 from tallyweave.plans import model
 from tallyweave.plans.model import sql
 from tallyweave.plans.registry import query
+from tallyweave.streaming import jobs
 
 
 def _strip(text: str) -> str:
@@ -174,6 +176,30 @@ def bm25_expanded(spark, sf):
     return search.bm25_topk(bench_queries(spark, sf), texts_of(spark, sf), 60)
 
 
+def stored_index(spark, sf):
+    """Three batches of the documents: a first build and two appends."""
+    index = stored.KeywordIndex(spark, jobs.work_folder(spark))
+    documents = texts_of(spark, sf)
+    for batch in range(3):
+        index.append(batch, documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == batch))
+    return index
+
+
+@query("stored_index_topk", sql("SELECT query_id, doc_id, score, rank FROM hits WHERE rank < 60",
+                                extra=_bm25(_EXPANDED_Q, _DOCS)))
+def stored_index_topk(spark, sf):
+    return stored_index(spark, sf).search(bench_queries(spark, sf), 60)
+
+
+@query("stored_index_terms", f"""
+    SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (
+        SELECT term, doc_id, count(*) AS tf
+        FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY 1, 2)
+    GROUP BY 1""")
+def stored_index_terms(spark, sf):
+    return stored_index(spark, sf).terms()
+
+
 @query("bm25_stemmed", None)
 def bm25_stemmed(spark, sf):
     documents, queries = texts_of(spark, sf), bench_queries(spark, sf)
