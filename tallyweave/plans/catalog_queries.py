@@ -134,94 +134,131 @@ def near_duplicate_warnings(spark, sf):
     return catalog.near_duplicates(created, model.materials(spark, sf))
 
 
+#: Product rows that come from suppliers are numbered from here.
+SUPPLIED = 1_000_000_000
+
+
 def product_rows(spark, sf):
+    """Rows of an import: every part, whose names and synonyms the catalog knows, and three rows
+    of every supplier, which it does not: a plain title that suppliers of a nation share, the
+    same title behind a brand and earlier or later than it, and a title of its own."""
     title = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(
         F.concat_ws(" ", "p_brand", "p_name")
     )
-    return model.table(spark, sf, "part").select(
+    known = model.table(spark, sf, "part").select(
         F.col("p_partkey").alias("seq"), title.alias("title"), F.col("p_brand").alias("brand"),
         F.col("p_retailprice").alias("price"),
     )
-
-
-def _small_catalog(spark, sf):
-    return model.materials(spark, sf).filter("name NOT LIKE '%rod%' AND name NOT LIKE '%gear%'")
-
-
-_IMPORT = """
-    shelf AS (SELECT * FROM mat WHERE name NOT LIKE '%rod%' AND name NOT LIKE '%gear%'),
-    prod AS (SELECT p_partkey AS seq, p_size % 2 = 1 AS branded, lower(p_name) AS short,
-             lower(CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand || ' ' || p_name END) AS k
-             FROM part),
-    fresh AS (SELECT p.*, s.id AS existing FROM prod p
-              LEFT JOIN shelf s ON s.normalized_name = p.short),
-    plain AS (SELECT k, min(seq) AS t FROM fresh WHERE NOT branded AND existing IS NULL GROUP BY 1),
+    nation = model.table(spark, sf, "nation")
+    supplier = model.table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    place, kit = SUPPLIED + 3 * F.col("s_suppkey"), F.concat_ws(" ", F.lit("kit"), "s_nationkey")
+    offers = F.explode(F.array(
+        F.struct(place.alias("seq"), kit.alias("title"), F.lit(None).cast("string").alias("brand")),
+        F.struct((place - 29).alias("seq"), F.concat_ws(" ", "n_name", kit).alias("title"), F.col("n_name").alias("brand")),
+        F.struct((place + 2).alias("seq"), F.col("s_name").alias("title"), F.col("n_name").alias("brand")),
+    ))
+    new = supplier.select(offers.alias("o"), F.abs("s_acctbal").alias("price")).select("o.*", "price")
+    return known.unionByName(new)
+
+
+_IMPORT = f"""
+    offered AS (
+        SELECT p_partkey AS seq, p_brand AS brand,
+               CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand || ' ' || p_name END AS title FROM part
+        UNION ALL SELECT {SUPPLIED} + 3 * s_suppkey, NULL, 'kit ' || s_nationkey FROM supplier
+        UNION ALL SELECT {SUPPLIED} + 3 * s_suppkey - 29, n_name, n_name || ' kit ' || s_nationkey
+                  FROM supplier JOIN nation ON n_nationkey = s_nationkey
+        UNION ALL SELECT {SUPPLIED} + 3 * s_suppkey + 2, n_name, s_name
+                  FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+    prod AS (SELECT seq, lower(title) AS k, CASE WHEN starts_with(lower(title), lower(brand) || ' ')
+                    THEN substr(lower(title), length(brand) + 2) END AS short FROM offered),
+    alias AS (SELECT lower(synonym) AS k, min(material_id) AS id FROM syn GROUP BY 1),
+    fresh AS (SELECT p.*, coalesce(a.id, s.id) AS named, coalesce(a.id, s.id, b.id) AS existing
+              FROM prod p LEFT JOIN mat a ON a.normalized_name = p.k LEFT JOIN alias s ON s.k = p.k
+              LEFT JOIN mat b ON b.normalized_name = p.short),
+    plain AS (SELECT k, min(seq) AS t FROM fresh WHERE short IS NULL AND existing IS NULL GROUP BY 1),
     firsts AS (SELECT f.*, row_number() OVER (PARTITION BY f.k ORDER BY f.seq) = 1 AS first,
-                      pl.t < f.seq AND f.branded AS repeats
+                      pl.t < f.seq AS repeats
                FROM fresh f LEFT JOIN plain pl ON pl.k = f.short),
     status AS (SELECT seq, existing AS existing_material_id, CASE WHEN existing IS NULL AND first
                    AND NOT coalesce(repeats, false) THEN 'saved' ELSE 'skipped_duplicate' END
                    AS status FROM firsts)"""
 
 
-@query("import_products", sql("SELECT * FROM status", "mat", extra=_IMPORT))
+@query("import_products", sql("SELECT * FROM status", "mat", "syn", extra=_IMPORT))
 def import_products(spark, sf):
-    synonyms = model.synonyms(spark, sf).filter("false")
-    done = catalog.import_status(product_rows(spark, sf), _small_catalog(spark, sf), synonyms)
+    done = catalog.import_status(product_rows(spark, sf), model.materials(spark, sf), model.synonyms(spark, sf))
     return done.select("seq", "existing_material_id", "status")
 
 
 @query("import_summary", sql("""
     SELECT count(*) AS found, count(*) FILTER (status = 'saved') AS saved,
            count(*) FILTER (status = 'skipped_duplicate') AS skipped, 0::BIGINT AS errors
-    FROM status""", "mat", extra=_IMPORT))
+    FROM status""", "mat", "syn", extra=_IMPORT))
 def import_summary(spark, sf):
     return catalog.import_summary(import_products(spark, sf))
 
 
 @query("import_dry_run", sql("""
-    SELECT p.seq, CASE WHEN s.id IS NULL THEN 'pending' ELSE 'skipped_duplicate' END AS status
-    FROM prod p LEFT JOIN shelf s ON s.normalized_name = p.k""", "mat", extra=_IMPORT))
+    SELECT seq, CASE WHEN named IS NULL THEN 'pending' ELSE 'skipped_duplicate' END AS status
+    FROM fresh""", "mat", "syn", extra=_IMPORT))
 def import_dry_run(spark, sf):
-    synonyms = model.synonyms(spark, sf).filter("false")
     done = catalog.import_status(
-        product_rows(spark, sf), _small_catalog(spark, sf), synonyms, dry_run=True
+        product_rows(spark, sf), model.materials(spark, sf), model.synonyms(spark, sf), dry_run=True
     )
     return done.select("seq", "status")
 
 
 def _product_pages(spark, sf):
-    return model.table(spark, sf, "part").select(
-        F.col("p_partkey").alias("seq"), F.col("p_name").alias("title"),
-        F.nullif(F.col("p_brand"), F.lit("Brand#3")).alias("brand"),
-        F.when(F.col("p_size") > 25, F.col("p_type")).alias("description"),
-        F.lit(None).cast("string").alias("origin_country"),
-        F.lit("unknown").alias("origin_confidence"),
-        F.lit(None).cast("string").alias("evidence_text"),
-        F.concat(F.lit("https://example.com/dp/"), "p_partkey").alias("source_url"),
-        F.col("p_type").alias("category"),
+    """A page of every part and of every supplier; suppliers of a nation share a title."""
+    def page(seq, title, brand, description, url, category):
+        return [
+            seq.alias("seq"), title.alias("title"), brand.alias("brand"), description.alias("description"),
+            F.lit(None).cast("string").alias("origin_country"), F.lit("unknown").alias("origin_confidence"),
+            F.lit(None).cast("string").alias("evidence_text"), url.alias("source_url"), category.alias("category"),
+        ]
+
+    parts = model.table(spark, sf, "part").select(
+        *page(F.col("p_partkey"), F.col("p_name"), F.nullif(F.col("p_brand"), F.lit("Brand#3")),
+              F.when(F.col("p_size") > 25, F.col("p_type")),
+              F.concat(F.lit("https://example.com/dp/"), "p_partkey"), F.col("p_type")),
         F.array("p_brand", F.concat_ws(" ", "p_brand", "p_name")).alias("suggested_synonyms"),
     )
+    kit = F.concat_ws(" ", F.lit("Kit"), "s_nationkey")
+    nation = model.table(spark, sf, "nation")
+    suppliers = model.table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        *page(SUPPLIED + F.col("s_suppkey"), kit, F.nullif(F.col("n_name"), F.lit("FRANCE")),
+              F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")),
+              F.concat(F.lit("https://example.com/kit/"), "s_suppkey"), F.lit("kit")),
+        F.array(F.col("n_name"), F.upper("n_name"), F.concat_ws(" ", "n_name", kit)).alias("suggested_synonyms"),
+    )
+    return parts.unionByName(suppliers)
 
 
 def _ingested(spark, sf):
     return catalog.ingest_products(
-        _product_pages(spark, sf), _small_catalog(spark, sf), model.synonyms(spark, sf)
+        _product_pages(spark, sf), model.materials(spark, sf), model.synonyms(spark, sf)
     )
 
 
-_PAGES = _IMPORT + """,
-    pg AS (SELECT lower(p_name) AS k, arg_min(p_name, p_partkey) AS name,
-               arg_min(p_type, p_partkey) AS category,
-               arg_max('https://example.com/dp/' || p_partkey, p_partkey) AS source_url,
-               arg_max(p_brand, p_partkey) FILTER (p_brand <> 'Brand#3') AS brand,
-               arg_max(p_type, p_partkey) FILTER (p_size > 25) AS description
-        FROM part GROUP BY 1)"""
+_PAGES = f"""
+    pages_in AS (
+        SELECT p_partkey AS seq, p_name AS title, nullif(p_brand, 'Brand#3') AS brand, p_type AS category,
+               CASE WHEN p_size > 25 THEN p_type END AS description,
+               'https://example.com/dp/' || p_partkey AS source_url, [p_brand, p_brand || ' ' || p_name] AS offers FROM part
+        UNION ALL
+        SELECT {SUPPLIED} + s_suppkey, 'Kit ' || s_nationkey, nullif(n_name, 'FRANCE'), 'kit',
+               CASE WHEN s_suppkey % 2 = 0 THEN s_name END, 'https://example.com/kit/' || s_suppkey,
+               [n_name, n_name || ' Kit ' || s_nationkey] FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+    pg AS (SELECT lower(title) AS k, arg_min(title, seq) AS name, arg_min(category, seq) AS category,
+               arg_max(source_url, seq) AS source_url, arg_max(brand, seq) FILTER (brand IS NOT NULL) AS brand,
+               arg_max(description, seq) FILTER (description IS NOT NULL) AS description
+        FROM pages_in GROUP BY 1)"""
 
 
 @query("ingest_products_created", sql("""
     SELECT 'm-' || md5(k) AS id, name, category, source_url, brand, description
-    FROM pg WHERE k NOT IN (SELECT normalized_name FROM shelf)""", "mat", extra=_PAGES))
+    FROM pg WHERE k NOT IN (SELECT normalized_name FROM mat)""", "mat", extra=_PAGES))
 def ingest_products_created(spark, sf):
     return _ingested(spark, sf)["created"].select(
         "id", "name", "category", "source_url", "brand", "description"
@@ -230,7 +267,7 @@ def ingest_products_created(spark, sf):
 
 @query("ingest_products_updated", sql("""
     SELECT s.id, s.name, pg.source_url, pg.brand, pg.description
-    FROM pg JOIN shelf s ON s.normalized_name = pg.k""", "mat", extra=_PAGES))
+    FROM pg JOIN mat s ON s.normalized_name = pg.k""", "mat", extra=_PAGES))
 def ingest_products_updated(spark, sf):
     return _ingested(spark, sf)["updated"].select(
         "id", "name", "source_url", "brand", "description"
@@ -238,9 +275,9 @@ def ingest_products_updated(spark, sf):
 
 
 @query("ingest_products_synonyms", sql("""
-    SELECT DISTINCT coalesce(s.id, 'm-' || md5(lower(p_name))) AS material_id, x.synonym
-    FROM part LEFT JOIN shelf s ON s.normalized_name = lower(p_name),
-         LATERAL (SELECT unnest([p_brand, p_brand || ' ' || p_name]) AS synonym) x
+    SELECT DISTINCT coalesce(s.id, 'm-' || md5(lower(title))) AS material_id, x.synonym
+    FROM pages_in LEFT JOIN mat s ON s.normalized_name = lower(title),
+         LATERAL (SELECT unnest(offers) AS synonym) x
     WHERE NOT EXISTS (SELECT 1 FROM syn e WHERE e.material_id = coalesce(s.id, '')
                       AND lower(e.synonym) = lower(x.synonym))""", "mat", "syn", extra=_PAGES))
 def ingest_products_synonyms(spark, sf):

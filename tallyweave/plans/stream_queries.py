@@ -88,10 +88,9 @@ def _movements(spark, sf):
     kind = F.col("event_type")
     return (
         _stream(spark, sf, "events")
-        .filter(kind.isin("signup", "view", "purchase"))
         .select(
             F.col("user_id").alias("item_id"), F.col("event_id").alias("id"),
-            F.when(kind == "purchase", "out").otherwise("in").alias("movement_type"),
+            F.when(kind.isin("purchase", "error"), "out").otherwise("in").alias("movement_type"),
             F.col("value").alias("quantity"), (F.col("event_id") % 100).cast("double").alias("unit_cost"),
             F.col("ts").alias("movement_time"),
         )
@@ -100,11 +99,11 @@ def _movements(spark, sf):
 
 _EVENT_FOLD = """
     moves AS (SELECT user_id AS item_id, event_id AS id,
-                     CASE WHEN event_type = 'purchase' THEN 'out' ELSE 'in' END AS movement_type,
+                     CASE WHEN event_type IN ('purchase', 'error') THEN 'out' ELSE 'in' END AS movement_type,
                      value AS quantity, round(value * 1000000)::BIGINT AS units,
                      (event_id % 100)::DOUBLE AS cost,
                      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-              FROM events WHERE event_type IN ('signup', 'view', 'purchase')),
+              FROM events),
     fold AS (
         SELECT item_id, rn, id, movement_type, quantity, movement_type = 'in' OR units = 0 AS accepted,
                CASE WHEN movement_type = 'in' THEN units ELSE 0 END AS held,
