@@ -348,11 +348,16 @@ def price_anomaly_issues(
     lines: DataFrame, stats: DataFrame, threshold: float = 0.20, match: str = "exact"
 ) -> DataFrame:
     found = price_anomalies(lines, stats, threshold, match)
+    # Means are sums in any order; their last bits must not decide about half a cent.
+    def figure(value: Column) -> Column:
+        return F.round(value, 6)
+
     message = F.format_string(
         "Line %d '%s': unit price %.2f is %s%% %s historical average %.2f "
         "(range %.2f–%.2f, %d records)",
-        "line_number", "item_name", "unit_price", F.round(F.col("deviation") * 100, 1),
-        "direction", "avg_price", "min_price", "max_price", "occurrence_count",
+        "line_number", "item_name", figure(F.col("unit_price")),
+        F.round(figure(F.col("deviation") * 100), 1), "direction", figure(F.col("avg_price")),
+        figure(F.col("min_price")), figure(F.col("max_price")), "occurrence_count",
     )
     return _issues(
         found,

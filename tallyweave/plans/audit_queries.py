@@ -260,20 +260,23 @@ _ANOMALIES = PICK_EXACT + """,
           AND abs(i.unit_price - p.avg_price) / p.avg_price > 0.20)"""
 
 
-@query("price_anomaly_issues", sql("""
+def _cents(value: str) -> str:
+    """Two decimals, half a cent upwards, of a value without the last bits of its sum."""
+    return f"CAST(CAST(round({value}, 6) AS VARCHAR) AS DECIMAL(18, 2))"
+
+
+@query("price_anomaly_issues", sql(f"""
     SELECT invoice_id, id AS item_id, line_number, 'PRICE_ANOMALY' AS code, 'warning' AS severity,
-           printf('Line %d ''%s'': unit price # is #%% %s historical average # (range #–#, %d records)',
-                  line_number, item_name, direction, occurrence_count) AS message
+           printf('Line %d ''%s'': unit price %s is %s%% %s historical average %s (range %s–%s, %d records)',
+                  line_number, item_name, {_cents('unit_price')}::VARCHAR,
+                  CAST(CAST(round(deviation * 100, 6) AS VARCHAR) AS DECIMAL(18, 1))::VARCHAR, direction,
+                  {_cents('avg_price')}::VARCHAR, {_cents('min_price')}::VARCHAR, {_cents('max_price')}::VARCHAR,
+                  occurrence_count) AS message
     FROM anomalies""", "items", "stats", extra=_ANOMALIES))
 def price_anomaly_issues(spark, sf):
-    """Messages without their decimals, which `price_anomaly` compares as numbers: a printed
-    half cent hangs on the last bit of a price."""
     stats = history.price_stats(history_of(spark, sf))
     found = audit.price_anomaly_issues(model.invoice_items(spark, sf), stats)
-    return found.select(
-        "invoice_id", "item_id", "line_number", "code", "severity",
-        F.regexp_replace("message", r"\d+\.\d+", "#").alias("message"),
-    )
+    return found.select("invoice_id", "item_id", "line_number", "code", "severity", "message")
 
 
 _FULL = ("""
