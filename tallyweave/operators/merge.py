@@ -28,6 +28,7 @@ def merge_upsert(
 
     `keep_if_null`: a NULL change keeps the old value.
     `fill_only`: a change only fills a NULL or empty old value.
+    Rows without a change stay as they are.
     """
     keep_if_null, fill_only = keep_if_null or [], fill_only or []
     last = newest_per_key(changes, keys, order).select(*base.columns)
@@ -39,7 +40,7 @@ def merge_upsert(
         old, new = F.col(f"_old.{c}"), F.col(f"_new.{c}")
         if c in fill_only:
             blank = F.coalesce(old.cast("string") == "", F.lit(True))
-            value = F.when(blank, new).otherwise(old)
+            value = F.when(blank & F.col("_new").isNotNull(), new).otherwise(old)
         elif c in keep_if_null:
             value = F.coalesce(new, old)
         else:

@@ -8,8 +8,9 @@ from tallyweave.plans import model
 from tallyweave.plans.model import sql
 from tallyweave.plans.price_queries import _STATS_SELECT, _rounded_stats
 from tallyweave.plans.registry import query
-from tallyweave.plans.search_queries import _CHUNKS
+from tallyweave.plans.search_queries import _CHUNKS, _tokens
 from tallyweave.streaming import jobs
+from tallyweave.streaming.indexing import DocumentIndex
 
 
 def _stream(spark, sf, name):
@@ -84,6 +85,32 @@ def stream_chunks(spark, sf):
     )
 
 
+def _indexed(spark, sf):
+    """The documents as a stream into chunks and keywords, one committed batch per micro-batch."""
+    folder = jobs.work_folder(spark)
+    index = DocumentIndex(spark, f"{folder}/index")
+    pages = _stream(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), "doc_id", F.lit(1).alias("page_no"),
+        F.col("source").alias("page_type"), "text",
+    )
+    index.follow(pages, f"{folder}/state").awaitTermination()
+    return index
+
+
+@query("stream_index_chunks", sql("SELECT doc_id, chunk_index, chunk_text FROM chunk", extra=_CHUNKS))
+def stream_index_chunks(spark, sf):
+    return _indexed(spark, sf).chunks().select("doc_id", "chunk_index", "chunk_text")
+
+
+@query("stream_index_terms", sql(f"""
+    SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (
+        SELECT term, doc_id, chunk_index, count(*) AS tf
+        FROM (SELECT doc_id, chunk_index, unnest({_tokens('chunk_text')}) AS term FROM chunk) GROUP BY 1, 2, 3)
+    GROUP BY 1""", extra=_CHUNKS))
+def stream_index_terms(spark, sf):
+    return _indexed(spark, sf).keywords().terms()
+
+
 def _movements(spark, sf):
     kind = F.col("event_type")
     return (

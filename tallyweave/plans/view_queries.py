@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.operators import merge, paging, quality, rollups, views
+from tallyweave.operators.keyed_table import KeyedTable
 from tallyweave.plans import model
 from tallyweave.plans.audit_queries import AUDIT_RUNS, audit_runs
 from tallyweave.plans.model import AS_OF, sql
 from tallyweave.plans.registry import query
+from tallyweave.streaming import jobs
 
 
 def linked_invoices(spark, sf):
@@ -356,7 +358,7 @@ def _customer_changes(spark, sf):
     )
 
 
-@query("merge_upsert", """
+_MERGED = """
     WITH base AS (SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment,
                   CASE WHEN c_acctbal > 5000 THEN 'kept' ELSE '' END AS note FROM customer),
     changes AS (
@@ -369,18 +371,43 @@ def _customer_changes(spark, sf):
     SELECT coalesce(b.id, l.id) AS id,
            CASE WHEN l.id IS NULL THEN b.balance ELSE l.balance END AS balance,
            coalesce(l.segment, b.segment) AS segment,
-           CASE WHEN coalesce(b.note, '') = '' THEN l.note ELSE b.note END AS note
-    FROM base b FULL OUTER JOIN last l ON l.id = b.id""")
+           CASE WHEN l.id IS NOT NULL AND coalesce(b.note, '') = '' THEN l.note ELSE b.note END AS note
+    FROM base b FULL OUTER JOIN last l ON l.id = b.id"""
+
+
+@query("merge_upsert", _MERGED)
 def merge_upsert(spark, sf):
-    base = model.table(spark, sf, "customer").select(
+    return merge.merge_upsert(
+        _customer_notes(spark, sf), _customer_changes(spark, sf), ["id"], F.struct("at", "seq"),
+        keep_if_null=["segment"], fill_only=["note"],
+    )
+
+
+def _customer_notes(spark, sf):
+    return model.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"),
         F.col("c_mktsegment").alias("segment"),
         F.when(F.col("c_acctbal") > 5000, "kept").otherwise("").alias("note"),
     )
-    return merge.merge_upsert(
-        base, _customer_changes(spark, sf), ["id"], F.struct("at", "seq"),
-        keep_if_null=["segment"], fill_only=["note"],
-    )
+
+
+@query("merge_into_buckets", _MERGED)
+def merge_into_buckets(spark, sf):
+    """The same upsert into a stored table, of which only the touched buckets are rewritten."""
+    table = KeyedTable.create(_customer_notes(spark, sf), jobs.work_folder(spark), ["id"])
+    table.upsert(_customer_changes(spark, sf), F.struct("at", "seq"), keep_if_null=["segment"], fill_only=["note"])
+    return table.rows()
+
+
+@query("cascade_in_buckets", sql("""
+    SELECT id, invoice_id FROM items WHERE invoice_id IN (SELECT id FROM hdr WHERE is_latest)""",
+    "items", "hdr"))
+def cascade_in_buckets(spark, sf):
+    """Lines of replaced invoices are removed from the buckets that hold such lines."""
+    lines = model.invoice_items(spark, sf).select("id", "invoice_id")
+    table = KeyedTable.create(lines, jobs.work_folder(spark), ["id"])
+    table.cascade(model.invoice_headers(spark, sf).filter("NOT is_latest"), "invoice_id")
+    return table.rows()
 
 
 @query("delete_cascade", sql("""
