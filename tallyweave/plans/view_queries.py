@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators import merge, paging, quality, rollups, views
+from tallyweave.operators import versions as versions_store
 from tallyweave.operators.keyed_table import KeyedTable
 from tallyweave.plans import model
 from tallyweave.plans.audit_queries import AUDIT_RUNS, audit_runs
 from tallyweave.plans.model import AS_OF, sql
 from tallyweave.plans.registry import query
+from tallyweave.session import cut_lineage
 from tallyweave.streaming import jobs
 
 
@@ -225,6 +228,41 @@ def versions(spark, sf):
     return views.mark_latest(document_versions(spark, sf))
 
 
+def _chained(spark, sf):
+    """Copies of a text follow each other in order of id."""
+    docs = model.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("file_hash"))
+    return docs.withColumn("previous_version_id", F.lag("id").over(Window.partitionBy("file_hash").orderBy("id")))
+
+
+_CHAIN = """
+    WITH c AS (SELECT doc_id AS id, sha256(text) AS file_hash,
+                      lag(doc_id) OVER w AS previous_version_id, lead(doc_id) OVER w IS NULL AS is_latest,
+                      first(doc_id) OVER w AS root_id, row_number() OVER w - 1 AS depth
+               FROM documents WINDOW w AS (PARTITION BY sha256(text) ORDER BY doc_id))"""
+
+
+@query("version_store", _CHAIN + " SELECT id, file_hash, previous_version_id, is_latest FROM c")
+def version_store(spark, sf):
+    """The first copies of every text, then the others in two batches that replace them."""
+    every = _chained(spark, sf)
+    turn = F.ntile(3).over(Window.partitionBy("file_hash").orderBy("id"))
+    dealt = cut_lineage(every.withColumn("turn", turn))
+    store = versions_store.VersionStore.create(dealt.where("turn = 1").drop("turn"), jobs.work_folder(spark), 16)
+    for batch in (2, 3):
+        store.insert(dealt.where(F.col("turn") == batch).drop("turn"))
+    return store.rows()
+
+
+@query("current_versions", _CHAIN + " SELECT id, file_hash FROM c WHERE is_latest")
+def current_versions(spark, sf):
+    return version_store(spark, sf).where("is_latest").select("id", "file_hash")
+
+
+@query("version_chains", _CHAIN + " SELECT id, root_id, depth FROM c")
+def version_chains(spark, sf):
+    return versions_store.version_chains(_chained(spark, sf))
+
+
 @query("invoice_totals", sql("""
     SELECT h.id AS invoice_id, h.total_amount, coalesce(s.n, 0) AS items_count,
            rnd(coalesce(s.t, 0)) AS calculated_total, coalesce(s.q, 0) AS total_quantity,
