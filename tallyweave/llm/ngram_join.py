@@ -34,6 +34,8 @@ from tallyweave.llm.components import components
 BUCKET_TOKENS = 400_000
 #: Sets in one tile, and branches of a tree node.
 TILE, FANOUT = 512, 8
+#: Tasks that share the rows of a large cluster when facts about it are joined.
+SALTS = 64
 #: Shingles in one tile on average, unless one set has more, and in all tiles of one bin.
 TILE_TOKENS, BIN_TOKENS = 1_000_000, 2_000_000
 BITS = 4096
@@ -434,16 +436,26 @@ def _binned(tiles: DataFrame, texts: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("cluster", "tile"), F.lit(bins)).alias("bin"), "cluster", "tile", "class_id", "component", "text")
 
 
+def _with_cluster(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """`rows` (class_id, cluster, ...) with the columns of `facts`, which has a row per large
+    cluster; null for others. Rows of a cluster are dealt over SALTS tasks, its facts to all."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("class_id", F.lit(3)), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["cluster", "salt"], "left").drop("salt")
+
+
 def _verified(packs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that connect exactly what the join's links connect, within clusters
     (class_id, n, cluster)."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"),
                                             F.min("class_id").alias("pivot"))
-    known = clusters.join(sizes, "cluster").withColumn("blocks", _blocks(F.col("size"), F.col("tokens")))
+    # Clusters of one block, which is nearly all, need no facts about themselves.
+    tall = sizes.select("cluster", "pivot", _blocks(F.col("size"), F.col("tokens")).alias("blocks")).where("blocks > 1")
+    known = _with_cluster(clusters, tall).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     # The first set of a cluster sits in every tile, so that tiles which reach it are connected.
     dealt = known.withColumn("tile", F.explode(F.when(
-        F.col("class_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+        F.coalesce(F.col("class_id") == F.col("pivot"), F.lit(False)), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
     texts = packs.select(F.explode(F.arrays_zip("classes", "texts")).alias("d")).select(
         F.col("d.classes").alias("class_id"), F.col("d.texts").alias("text"))
     first = stash(_joined_tiles(_binned(dealt.withColumn("component", F.col("class_id")), texts), width, percent))
@@ -454,12 +466,12 @@ def _verified(packs: DataFrame, clusters: DataFrame, width: int, percent: int) -
         "cluster", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
     main = parts.groupBy("cluster", "component").agg(F.count("*").alias("size")).groupBy("cluster").agg(
         F.max_by("component", F.struct("size", "component")).alias("main"))
-    parts = parts.join(main, "cluster").withColumn("open", F.col("component") != F.col("main"))
+    parts = _with_cluster(parts, main).withColumn("open", F.col("component") != F.col("main"))
     share = lambda side, value: F.coalesce(F.sum(F.when(side, value)), F.lit(0)) * 2
     blocks = parts.groupBy("cluster").agg(*[
         _blocks(share(side, F.lit(1)), share(side, F.col("n"))).alias(name)
         for side, name in ((F.col("open"), "open_blocks"), (~F.col("open"), "rest_blocks"))]).where("open_blocks > 0")
-    met = parts.join(blocks, "cluster")
+    met = _with_cluster(parts, blocks).where("open_blocks is not null")
     number = F.pmod(F.xxhash64("class_id", F.lit(7)), F.when(F.col("open"), F.col("open_blocks")).otherwise(F.col("rest_blocks")))
     met = met.withColumn("own", number.cast("long"))
     # A tile joins two open blocks, or an open block and one of the rest: i * (open + rest) + j.
