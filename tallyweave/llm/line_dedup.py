@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions.binding import let
 from tallyweave.llm.common import text_key
 
 
@@ -66,9 +67,9 @@ def drop_repeated_lines(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
         gone, key.eqNullSafe(F.col("gone.id")) & (text_key(text) == F.col("gone.text_hash")), "left")
     removed = F.coalesce(F.size("gone.at"), F.lit(0))
     removed = F.when(F.col("gone.at").isNull(), F.lit(0)).otherwise(removed).cast("long")
-    kept = F.array_join(F.filter(
-        F.transform(_lines(text), lambda x, i: F.when(~F.array_contains(F.col("gone.at"), i), x)),
-        lambda x: x.isNotNull()), "\n")
+    # Positions left over come from a hash set, so that a long document costs linear time.
+    kept = F.array_join(let(_lines(text), lambda lines: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone.at")), lambda i: F.get(lines, i))), "\n")
     columns = [F.when(F.col("gone.at").isNull(), text).otherwise(kept).alias(c) if c == text_col
                else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*columns, F.when(text.isNull(), F.lit(0)).otherwise(

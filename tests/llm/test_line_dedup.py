@@ -17,3 +17,16 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = m.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (0, 3), (1, 0), (1, 0)]
     assert m.drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_documents_cost_linear_time(spark):
+    """200,000 repeated lines in a document: seconds, where a scan per line took half an hour."""
+    import time
+
+    lines = [f"line {i}" for i in range(200_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["own", *lines[:-1], "new", "x"]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    started = time.time()
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in m.drop_repeated_lines(frame).collect()}
+    assert time.time() - started < 60
+    assert got[1] == (200_000, 0, rows[0][1]) and got[2] == (200_002, 199_999, "own\nnew\nx")
