@@ -215,6 +215,21 @@ def match_templates(spark, sf):
     )
 
 
+@query("match_template_rows", sql("""
+    SELECT DISTINCT doc_id, 't' || doc_id % 5 AS template_id, 'company-' || doc_id % 5 AS company_key,
+           CAST(1 AS DOUBLE) AS confidence
+    FROM expected WHERE doc_id % 5 < 4 AND NOT vertical""", "listed", extra=_EXPECTED_ITEMS))
+def match_template_rows(spark, sf):
+    """The same detection with the templates as a table, among one that no document fits per customer."""
+    known = spark.createDataFrame([(t.template_id, t.company_key, t.detection_patterns) for t in TEMPLATES],
+                                  "template_id string, company_key string, detection_patterns array<string>")
+    others = model.table(spark, sf, "customer").select(
+        F.concat(F.lit("x"), "c_custkey").alias("template_id"), F.col("c_name").alias("company_key"),
+        F.array(F.lit("^invoice$"), F.concat(F.lit("seller:\\s*"), "c_name", F.lit("$")),
+                F.concat(F.lit("buyer:\\s*"), "c_name"), F.lit("qty\\s+price")).alias("detection_patterns"))
+    return templates.match_template_table(invoice_pages(spark, sf), known.unionByName(others))
+
+
 @query("template_items", sql("""
     SELECT doc_id, line_number, item_name, quantity, unit_price, total_price
     FROM expected WHERE doc_id % 5 < 4 AND NOT vertical""", "listed", extra=_EXPECTED_ITEMS))
