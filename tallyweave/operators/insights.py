@@ -103,6 +103,11 @@ def item_anomalies(
     )
 
 
+def _figure(value: Column) -> Column:
+    """Six digits. The last bits of a mean hang on the order of its sum, so they go first."""
+    return F.round(F.round(value, 9), 6)
+
+
 def anomaly_insights(
     items: DataFrame, stats: DataFrame, threshold: float = 0.20, match: str = "exact"
 ) -> DataFrame:
@@ -111,8 +116,8 @@ def anomaly_insights(
         F.lit("warning").alias("severity"),
         F.concat(F.lit("Price anomaly: "), "item_name").alias("title"),
         F.format_string("'%s' priced at %s deviates %s%% from average %s", "item_name",
-                        F.col("unit_price"), F.round(F.col("deviation") * 100, 1),
-                        F.col("avg_price")).alias("message"),
+                        _figure(F.col("unit_price")), F.round(_figure(F.col("deviation") * 100), 1),
+                        _figure(F.col("avg_price"))).alias("message"),
         F.lit(None).cast("date").alias("suggested_due_date"),
         F.lit("invoice_item").alias("linked_entity_type"),
         F.col("id").cast("string").alias("linked_entity_id"),

@@ -284,6 +284,22 @@ def ingest_products_synonyms(spark, sf):
     return _ingested(spark, sf)["synonyms"].select("material_id", "synonym")
 
 
+@query("product_descriptions", """
+    SELECT p_partkey AS seq, nullif(concat_ws(' | ',
+               CASE WHEN p_size % 4 > 0 THEN 'Brand: ' || p_brand END,
+               'Reference price: ' || CAST(p_retailprice AS DECIMAL(12, 2)),
+               CASE WHEN p_size % 6 > 0 THEN 'Rating: ' || (p_size % 6) || '/5' END,
+               CASE WHEN p_size % 9 > 0 THEN 'Reviews: ' || (p_size % 9) END), '') AS description
+    FROM part""")
+def product_descriptions(spark, sf):
+    rows = model.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("seq"), F.when(F.col("p_size") % 4 > 0, F.col("p_brand")).otherwise("").alias("brand"),
+        F.col("p_retailprice").cast("decimal(12,2)").alias("price"), (F.col("p_size") % 6).alias("rating"),
+        (F.col("p_size") % 9).alias("reviews"),
+    )
+    return rows.select("seq", catalog.product_description().alias("description"))
+
+
 @query("catalog_suggestions", sql("""
     SELECT item_name, material_id, material_name, rank FROM (
         SELECT n.item_name, m.id AS material_id, m.name AS material_name,

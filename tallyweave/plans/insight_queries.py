@@ -23,6 +23,11 @@ def all_insights(spark, sf):
     )
 
 
+def _figure(value: str) -> str:
+    """Half up on the digits that the number prints, without the last bits of a sum."""
+    return f"CAST(CAST(CAST({value} AS VARCHAR) AS DECIMAL(28, 9)) AS DECIMAL(18, 6))"
+
+
 _INSIGHTS = f"""
     open_items AS (SELECT i.* FROM items i JOIN hdr h ON h.id = i.invoice_id AND h.is_latest),
     best AS (SELECT * FROM stats QUALIFY row_number() OVER (PARTITION BY item_name_normalized
@@ -30,15 +35,21 @@ _INSIGHTS = f"""
     found AS (
         SELECT 'expiring_document' AS category, CASE WHEN expiry_date - DATE '{AS_OF}' <= 7
                THEN 'critical' ELSE 'warning' END AS severity, 'Expiring: ' || title AS title,
+               title || ' expires on ' || expiry_date || ' (' || (expiry_date - DATE '{AS_OF}')
+                   || ' days remaining)' AS message,
                expiry_date AS suggested_due_date, 'company_document' AS linked_entity_type,
                CAST(id AS VARCHAR) AS linked_entity_id
         FROM cdoc WHERE expiry_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 30
         UNION ALL
-        SELECT 'unmatched_item', 'info', 'Unmatched item: ' || arg_max(item_name, id), NULL,
+        SELECT 'unmatched_item', 'info', 'Unmatched item: ' || arg_max(item_name, id),
+               printf('Item ''%s'' has no matched material in the catalog', arg_max(item_name, id)), NULL,
                'invoice_item', max(id)
         FROM open_items WHERE matched_material_id IS NULL GROUP BY lower(item_name)
         UNION ALL
-        SELECT 'price_anomaly', 'warning', 'Price anomaly: ' || i.item_name, NULL, 'invoice_item',
+        SELECT 'price_anomaly', 'warning', 'Price anomaly: ' || i.item_name,
+               printf('''%s'' priced at %s deviates %s%% from average %s', i.item_name, {_figure('i.unit_price')}::DOUBLE::VARCHAR,
+                      CAST({_figure('abs(i.unit_price - b.avg_price) / b.avg_price * 100')} AS DECIMAL(18, 1))::VARCHAR,
+                      {_figure('b.avg_price')}::DOUBLE::VARCHAR), NULL, 'invoice_item',
                i.id
         FROM open_items i JOIN best b ON b.item_name_normalized = lower(i.item_name)
         WHERE b.occurrence_count >= 2 AND i.unit_price > 0
@@ -48,7 +59,7 @@ _TABLES = ("items", "hdr", "stats", "cdoc", "rem")
 
 @query("insights", sql("SELECT * FROM found", *_TABLES, extra=_INSIGHTS))
 def insight_rows(spark, sf):
-    return all_insights(spark, sf).drop("message")
+    return all_insights(spark, sf)
 
 
 @query("insight_counts", sql("SELECT category, count(*) AS insights FROM found GROUP BY 1",
@@ -58,16 +69,13 @@ def insight_counts(spark, sf):
 
 
 @query("new_reminders", sql(f"""
-    SELECT title, coalesce(suggested_due_date, DATE '{AS_OF}' + 7) AS due_date,
+    SELECT title, message, coalesce(suggested_due_date, DATE '{AS_OF}' + 7) AS due_date,
            linked_entity_type, linked_entity_id
     FROM found f WHERE NOT EXISTS (SELECT 1 FROM rem r WHERE NOT r.is_done
         AND r.linked_entity_type = f.linked_entity_type
         AND CAST(r.linked_entity_id AS VARCHAR) = f.linked_entity_id)""", *_TABLES, extra=_INSIGHTS))
 def new_reminders(spark, sf):
-    created = insights.new_reminders(
-        all_insights(spark, sf), model.reminders(spark, sf), model.as_of()
-    )
-    return created.drop("message")
+    return insights.new_reminders(all_insights(spark, sf), model.reminders(spark, sf), model.as_of())
 
 
 @query("linked_reminders", sql("""

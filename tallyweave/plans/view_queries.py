@@ -289,6 +289,14 @@ def company_counts(spark, sf):
     )
 
 
+@query("event_counts", """
+    SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') AS purchase,
+           count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'other') AS other
+    FROM events""")
+def event_counts(spark, sf):
+    return rollups.status_counts(model.table(spark, sf, "events"), "event_type", ["purchase", "error", "other"])
+
+
 @query("document_totals", sql("""
     SELECT document_id, rnd(subtotal) AS subtotal, rnd(subtotal * 7 / 100) AS tax_amount,
            rnd(subtotal + subtotal * 7 / 100 - 10) AS total
