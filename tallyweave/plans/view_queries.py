@@ -507,14 +507,14 @@ def quality_report(spark, sf):
     items = model.invoice_items(spark, sf)
     headers = model.invoice_headers(spark, sf)
     return quality.report([
-        quality.orphans("fk:invoice_items.invoice_id", items, "invoice_id", headers),
-        quality.orphans("fk:price_history.invoice_id", history_of(spark, sf), "invoice_id",
-                        views.latest(headers)),
-        quality.outside_domain("domain:stock_movements.movement_type",
-                               model.stock_movements(spark, sf), "movement_type", ["in", "adjust"]),
-        quality.repeated("unique:invoice_items.id", items, ["id"]),
-        quality.repeated("unique:invoice_items.invoice_id+line_number", items,
-                         ["invoice_id", "line_number"]),
+        *quality.orphans("fk:invoice_items.invoice_id", items, "invoice_id", headers),
+        *quality.orphans("fk:price_history.invoice_id", history_of(spark, sf), "invoice_id",
+                         views.latest(headers)),
+        *quality.outside_domain("domain:stock_movements.movement_type",
+                                model.stock_movements(spark, sf), "movement_type", ["in", "adjust"]),
+        *quality.repeated("unique:invoice_items.id", items, ["id"]),
+        *quality.repeated("unique:invoice_items.invoice_id+line_number", items,
+                          ["invoice_id", "line_number"]),
         *quality.missing({"required:invoices.seller_name": "seller_name"},
                          model.invoices(spark, sf)),
         *quality.missing({"required:invoice_items.matched_material_id": "matched_material_id"},

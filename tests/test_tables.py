@@ -77,6 +77,22 @@ def test_quality_report(spark):
     assert [r.v for r in quality.missing_values(need, need.filter("v = 'a'"), "v").collect()] == ["b"]
 
 
+def test_quality_reads_a_table_once(spark, tmp_path):
+    spark.createDataFrame(
+        [(1, None, "a", "x"), (2, 1, None, "y"), (2, 7, "", "y"), (None, 7, "a", "x"), (None, None, "b", "x")],
+        "id long, before int, name string, kind string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = quality.report([
+        *quality.orphans("fk", df, "before", df), *quality.repeated("id", df, ["id"]),
+        *quality.repeated("pair", df, ["id", "kind"]), *quality.repeated("all", df, ["id", "before", "name"]),
+        *quality.outside_domain("kind", df, "kind", ["x"]), *quality.missing({"name": "name"}, df),
+        *quality.outside_domain("none", df, "kind", ["x", "y"])])
+    assert {r.rule: r.violations for r in out.collect()} == {
+        "fk": 2, "id": 2, "pair": 2, "all": 0, "kind": 2, "name": 2, "none": 0}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and "Join" not in plan
+
+
 def test_text_folder_and_export(spark, tmp_path):
     folder = tmp_path / "in" / "deep"
     folder.mkdir(parents=True)
