@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import catalog
 from tallyweave.operators.contains import contains_pairs
-from tallyweave.operators.similarity import TextBlock
+from tallyweave.operators.similarity import TextBlock, compared_pairs, similar_materials
 
 
 def mats(spark, rows):
@@ -87,6 +87,45 @@ def test_bound_is_never_below_the_ratio():
             assert bounds[at] + 1e-12 >= SequenceMatcher(None, name, text).ratio()
 
 
+def test_subsequence_bound_is_exact():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+        return row[-1]
+
+    rng = random.Random(4)
+    texts = ["", "a", "b" * 70, "𝒳é" * 9] + ["".join(rng.choice("abé𝒳") for _ in range(rng.randint(1, 70))) for _ in range(40)]
+    block = TextBlock(texts)
+    import numpy as np
+
+    at = np.array([k for k in range(len(texts)) if k % 3])
+    for name in [t for t in texts if 0 < len(t) <= 64]:
+        assert block.common(name, at).tolist() == [plain(name, texts[k]) for k in at]
+
+
+def test_classes_that_cannot_match_do_not_meet(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(kind) for _ in range(size))
+             for kind in ("aeiou", "lnrst ", "0123456789", "xyzqk", string.ascii_lowercase)
+             for size in (1, 3, 7, 12, 25, 60, 90) for _ in range(6)]
+    texts = sorted({t.strip() for t in texts} - {""})
+    names = sorted({noisy(rng, t).strip() for t in texts} - {""})
+    left = spark.createDataFrame([(n,) for n in names], "name string")
+    right = spark.createDataFrame([(t, t, t, t) for t in texts],
+                                  "text_id string, text string, material_id string, material_name string")
+    pairs = {(n, t): SequenceMatcher(None, n, t).ratio() for n in names for t in texts}
+    for threshold in (0.6, 0.85):
+        got = similar_materials(left, right, threshold, len(texts), round_first=False).collect()
+        assert {(r.name, r.material_id): r.score for r in got} == {k: v for k, v in pairs.items() if v >= threshold}
+        met = compared_pairs(left, right, threshold).first()
+        assert met.possible == len(pairs) and met.compared < 0.25 * len(pairs)
+    assert similar_materials(left.limit(0), right, 0.6, 3).count() == 0
+    assert similar_materials(left, right.limit(0), 0.6, 3).count() == 0
+
+
 def test_contains_pairs_equals_all_pairs(spark):
     rng = random.Random(2)
     hay = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(150)})
