@@ -8,14 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tallyweave.llm.common import slices, stash
 
 #: Ranks kept of a language and of a document.
 PROFILE = 300
-#: More languages than this are refused: the profiles go to every task.
-MAX_LANGUAGES = 1000
+#: Languages whose profiles a task holds at a time, and those a matrix of ranks covers.
+LANGUAGES, MATRIX = 1000, 100
 UNKNOWN = "und"
 #: A text is foreign below MARGIN times the score that all but a share LOW of the labelled
 #: documents reach. Their beginnings of so many characters show what short texts score; these
@@ -25,6 +25,7 @@ MARGIN, BEGINNINGS = 0.75, (2, 4, 8, 16, 32, 64, 128)
 #: Score steps of the histograms that the quantiles come from.
 _STEPS = 1000
 _FLUSH = 2_000_000
+_LEVELS = 8
 _letters: np.ndarray | None = None
 
 
@@ -100,30 +101,46 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, gram long, n long")
 
 
-def language_profiles(train: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
-    """The `size` most frequent n-grams of each language, most frequent first, ties by code.
+def _totals(train: DataFrame) -> DataFrame:
+    counts = gram_counts(train.where("lang is not null and text is not null").select("lang", "text"))
+    return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _most_frequent(totals: DataFrame, size: int, *part: str) -> DataFrame:
+    """(part, lang, rank, gram), written: the `size` most frequent n-grams, ranks from 0."""
+    order = Window.partitionBy(*part, "lang").orderBy(F.desc("n"), "gram")
+    ranked = totals.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size)
+    return stash(ranked.select(*part, "lang", "rank", "gram"))
+
+
+def profile_table(train: DataFrame, size: int = PROFILE) -> DataFrame:
+    """(lang, rank, gram): the `size` most frequent n-grams of each language, ties by code.
 
     Counts cover every row of `train` (lang, text); rows without a lang or text are passed
-    over. The driver gets size rows per language and refuses over MAX_LANGUAGES languages.
+    over. Any number of languages may come.
     """
     return _most_frequent(_totals(train), size)
 
 
-def _totals(train: DataFrame) -> DataFrame:
-    counts = gram_counts(train.where("lang is not null and text is not null").select("lang", "text"))
-    return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def profile_blocks(table: DataFrame, languages: int = LANGUAGES) -> Iterator[dict[str, list[int]]]:
+    """The profiles of a profile table in blocks of languages, by name."""
+    rest = table
+    while True:
+        names = [r[0] for r in rest.select("lang").distinct().orderBy("lang").limit(languages).collect()]
+        if not names:
+            return
+        found: dict[str, list[int]] = {lang: [] for lang in names}
+        for row in sorted(rest.where(F.col("lang") <= names[-1]).select("lang", "rank", "gram").collect()):
+            found[row["lang"]].append(row["gram"])
+        yield found
+        if len(names) < languages:
+            return
+        rest = table.where(F.col("lang") > names[-1])
 
 
-def _most_frequent(totals: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
-    ranked = totals.withColumn("rank", F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
-    rows = ranked.select("lang", "rank", "gram").limit(size * MAX_LANGUAGES + 1).collect()
-    if len(rows) > size * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found: dict[str, list[int]] = {}
-    for row in sorted(rows):
-        found.setdefault(row["lang"], []).append(row["gram"])
-    return found
+def language_profiles(train: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
+    """The profiles of a label set known to be small, most frequent n-gram first."""
+    return {lang: grams for block in profile_blocks(profile_table(train, size)) for lang, grams in block.items()}
 
 
 class _Scorer:
@@ -133,13 +150,10 @@ class _Scorer:
         self.langs = sorted(profiles)
         self.size = size
         self.grams = np.unique(np.array([g for p in profiles.values() for g in p], np.int64))
-        self.ranks = np.full((len(self.grams) + 1, max(1, len(self.langs))), -1, np.int64)
+        self.ranks = np.full((len(self.grams) + 1, max(1, len(self.langs))), -1, np.int32)
         for k, lang in enumerate(self.langs):
             self.ranks[np.searchsorted(self.grams, profiles[lang]), k] = np.arange(len(profiles[lang]))
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        return self.judged(texts)[:2]
-
     def judged(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Best language and score of each text, and how many n-grams the score rests on."""
         n = len(texts)
@@ -176,26 +190,85 @@ class _Scorer:
         return names, scores, used
 
 
-def predict_language(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE,
-                     text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """`docs` with two columns `names` (replaced if there); only the text is looked at.
+_JUDGED = "struct<lang: array<string>, score: array<double>, level: array<long>, known: array<boolean>>"
 
-    The score is 1 less the out-of-place distance over the largest one possible. Texts that
-    are null or hold no letter, and all texts if nothing was learned, get `und` and 0. Ties
-    go to the first language by name. Whole texts are read; rows stay where they are.
-    """
-    scorer = _Scorer(profiles, size)
-    kept = [c for c in docs.columns if c not in names]
-    plain = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = StructType(list(plain.schema.fields)).add(names[0], "string").add(names[1], "double")
+
+def _judge(profiles: dict[str, list[int]], least: dict[str, dict[int, float]], size: int,
+           text_col: str, cuts: tuple, spot: str, before: bool, kept: list[str]):
+    """The task that judges texts, each cut to all of `cuts`, by one block of languages. What
+    an earlier block found (`before`) stays where this one is not better."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = sorted(profiles)
+        scorers = [_Scorer({k: profiles[k] for k in names[i:i + MATRIX]}, size)
+                   for i in range(0, max(1, len(names)), MATRIX)]
         for part in slices(batches, text_col):
-            langs, scores = scorer(part.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(langs, pa.string()), pa.array(scores)], [*kept, *names])
+            n, width = part.num_rows, len(cuts)
+            langs = np.full((n, width), UNKNOWN, object)
+            scores, levels, known = np.zeros((n, width)), np.zeros((n, width), np.int64), np.zeros((n, width), bool)
+            if before:
+                old = part.column(spot)
+                langs = np.array(old.field("lang").flatten().to_pylist(), object).reshape(n, width)
+                scores, levels, known = (
+                    np.array(old.field(f).flatten().to_numpy(zero_copy_only=False)).reshape(n, width)
+                    for f in ("score", "level", "known"))
+            texts = part.column(text_col).to_pylist()
+            for k, cut in enumerate(cuts):
+                cut_texts = texts if cut is None else [t and t[:cut] for t in texts]
+                for j, scorer in enumerate(scorers):
+                    new_langs, new_scores, used = scorer.judged(cut_texts)
+                    levels[:, k] = _level(used)
+                    first = not before and not j
+                    for i in np.flatnonzero((used > 0) & (first | (new_scores > scores[:, k]))).tolist():
+                        langs[i, k], scores[i, k] = new_langs[i], new_scores[i]
+                        known[i, k] = scores[i, k] >= least.get(new_langs[i], {}).get(int(levels[i, k]), 0.0)
+            at = pa.array(np.arange(n + 1, dtype=np.int32) * width)
+            lists = [pa.ListArray.from_arrays(at, pa.array(v.reshape(-1), t)) for v, t in (
+                (langs, pa.string()), (scores, pa.float64()), (levels, pa.int64()), (known, pa.bool_()))]
+            found = pa.StructArray.from_arrays(lists, ["lang", "score", "level", "known"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found], [*kept, spot])
+
+    return run
+
+
+def _judged(docs: DataFrame, profiles: dict[str, list[int]] | DataFrame, size: int, text_col: str,
+            cuts: tuple = (None,), least: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """`docs` with one more column, named second: per cut the best language, its score, the
+    level of n-grams and whether the score reaches `least` (lang, level, least).
+
+    Languages come in blocks of LANGUAGES; between blocks what was found is written, so tasks
+    and driver hold one block and the last one costs no more than an only one.
+    """
+    spot = "_judged"
+    while spot.lower() in {c.lower() for c in docs.columns}:
+        spot += "_"
+    schema = StructType(list(docs.schema.fields)).add(spot, _parse_datatype_string(_JUDGED))
+    out, before = docs, False
+    for block in [profiles] if isinstance(profiles, dict) else profile_blocks(profiles):
+        floors: dict[str, dict[int, float]] = {}
+        if least is not None:
+            for row in least.where(F.col("lang").between(min(block), max(block))).collect():
+                floors.setdefault(row["lang"], {})[row["level"]] = row["least"]
+        out = (stash(out) if before else out).mapInArrow(
+            _judge(block, floors, size, text_col, cuts, spot, before, docs.columns), schema)
+        before = True
+    if not before:
+        out = docs.mapInArrow(_judge({}, {}, size, text_col, cuts, spot, False, docs.columns), schema)
+    return out, spot
+
+
+def predict_language(docs: DataFrame, profiles: dict[str, list[int]] | DataFrame, size: int = PROFILE,
+                     text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with two columns `names` (replaced if there); only the text is looked at.
 
-    return plain.mapInArrow(run, schema)
+    `profiles` is a dict, or a profile table of any number of languages. The score is 1 less
+    the out-of-place distance over the largest one possible. Texts that are null or hold no
+    letter, and all texts if nothing was learned, get `und` and 0. Ties go to the first
+    language by name. Whole texts are read.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    out, spot = _judged(docs.select(*kept), profiles, size, text_col)
+    return out.select(*kept, F.col(spot)["lang"][0].alias(names[0]), F.col(spot)["score"][0].alias(names[1]))
 
 
 def held_out(doc_id, parts: int, part: int):
@@ -206,57 +279,48 @@ def held_out(doc_id, parts: int, part: int):
 def language_query(docs: DataFrame) -> DataFrame:
     """Learn from the documents not held out (remainder 2 of 4) and predict all of them."""
     train = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).select("lang", "text")
-    out = predict_language(docs.select("doc_id", "text"), language_profiles(train))
+    out = predict_language(docs.select("doc_id", "text"), profile_table(train))
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def _level(used: np.ndarray) -> np.ndarray:
     """Doublings of the number of n-grams; a full profile and more is one level."""
-    return np.floor(np.log2(np.maximum(1, np.minimum(used, 256)))).astype(np.int64)
+    return np.floor(np.log2(np.maximum(1, np.minimum(used, 1 << _LEVELS)))).astype(np.int64)
 
 
-def least_scores(labelled: DataFrame, halves: list[dict[str, list[int]]]) -> dict[str, dict[int, float]]:
-    """Per language and level of n-grams the score under which a text is foreign.
+def least_scores(labelled: DataFrame, halves: list[DataFrame], min_score: float = 0.1) -> DataFrame:
+    """(lang, level, least): per language and level of n-grams the score under which a text is
+    foreign, never under `min_score`.
 
     Each row of `labelled` (lang, half, text) is scored by the profiles of the other half, so
     that no text is measured by itself. Rows found to be of their own language count, and so do
     their beginnings, which stand for short texts. A level never asks for more than the whole
-    documents of its language reach. The driver gets a row per language and level.
+    documents of its language reach. A language that gives nothing to measure has `min_score`.
     """
-    scorers = [_Scorer(p, PROFILE) for p in halves]
-    whole = -1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], np.ndarray] = {}
-        for part in slices(batches, "text"):
-            langs, of = part.column("lang").to_pylist(), part.column("half").to_pylist()
-            texts = part.column("text").to_pylist()
-            for half, scorer in enumerate(scorers):
-                rows = [i for i, h in enumerate(of) if h != half]
-                for size in (None, *BEGINNINGS):
-                    names, scores, used = scorer.judged([texts[i][:size] for i in rows])
-                    steps, levels = np.floor(scores * _STEPS).astype(np.int64), _level(used)
-                    for k, i in enumerate(rows):
-                        if names[k] == langs[i]:
-                            for level in (int(levels[k]), whole)[:1 if size else 2]:
-                                held.setdefault((names[k], level), np.zeros(_STEPS + 1, np.int64))[steps[k]] += 1
-        for (lang, level), counts in held.items():
-            step = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(step), pa.string()), pa.array(np.full(len(step), level)), pa.array(step),
-                 pa.array(counts[step])], ["lang", "level", "step", "n"])
-
-    steps = labelled.mapInArrow(run, "lang string, level long, step long, n long").groupBy(
-        "lang", "level", "step").agg(F.sum("n").alias("n"))
+    whole, found = -1, []
+    for half, table in enumerate(halves):
+        judged, spot = _judged(labelled.where(F.col("half") != half), table, PROFILE, "text", (None, *BEGINNINGS))
+        best = F.col(spot)
+        found.append(judged.select(
+            "lang", F.posexplode(F.arrays_zip(best["lang"].alias("lang"), best["score"].alias("score"),
+                                              best["level"].alias("level")))))
+    own = found[0].unionByName(found[1]).where(F.col("col.lang") == F.col("lang"))
+    steps = own.select(
+        "lang", F.floor(F.col("col.score") * _STEPS).alias("step"),
+        F.explode(F.when(F.col("pos") == 0, F.array("col.level", F.lit(whole).cast("long")))
+                  .otherwise(F.array("col.level"))).alias("level"),
+    ).groupBy("lang", "level", "step").agg(F.count(F.lit(1)).alias("n"))
     each = Window.partitionBy("lang", "level")
     reached = steps.withColumn("below", F.sum("n").over(each.orderBy("step"))).withColumn(
         "all", F.sum("n").over(each)).where(F.col("below") > F.col("all") * F.when(
             F.col("level").between(0, int(np.log2(SHORT)) - 1), LOW_SHORT).otherwise(LOW))
-    found: dict[str, dict[int, float]] = {}
-    for row in reached.groupBy("lang", "level").agg(F.min("step").alias("step")).collect():
-        found.setdefault(row["lang"], {})[row["level"]] = MARGIN * row["step"] / _STEPS
-    return {lang: {level: min(score, of[whole]) for level, score in of.items() if level != whole}
-            for lang, of in found.items() if whole in of}
+    least = reached.groupBy("lang", "level").agg((MARGIN * F.min("step") / _STEPS).alias("least"))
+    all_of = least.where(F.col("level") == whole).select("lang", F.col("least").alias("whole"))
+    levels = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_LEVELS).cast("long"))).alias("level")
+    every = halves[0].select("lang").unionByName(halves[1].select("lang")).distinct().select("lang", levels)
+    return stash(
+        every.join(least.where(F.col("level") != whole).join(all_of, "lang"), ["lang", "level"], "left")
+        .select("lang", "level", F.greatest(F.lit(min_score), F.least("least", "whole")).alias("least")))
 
 
 def drop_foreign(docs: DataFrame, min_score: float = 0.1) -> DataFrame:
@@ -269,20 +333,15 @@ def drop_foreign(docs: DataFrame, min_score: float = 0.1) -> DataFrame:
     """
     labelled = docs.where("lang is not null and text is not null").select(
         "lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "text")
-    totals = stash(_totals(labelled.select(F.concat(F.col("half").cast("string"), F.col("lang")).alias("lang"), "text")))
-    plain = totals.select(F.expr("substr(lang, 2)").alias("lang"), F.substring("lang", 1, 1).alias("half"), "gram", "n")
-    profiles = _most_frequent(plain.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    if not profiles:
+    halved = _totals(labelled.select(F.concat(F.col("half").cast("string"), F.col("lang")).alias("lang"), "text"))
+    plain = stash(halved).select(F.substring("lang", 1, 1).alias("part"), F.expr("substr(lang, 2)").alias("lang"),
+                                 "gram", "n")
+    both = plain.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("part", F.lit("all"))
+    tables = _most_frequent(plain.unionByName(both), PROFILE, "part")
+    profiles = tables.where("part = 'all'")
+    if profiles.isEmpty():
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    least = least_scores(labelled, [_most_frequent(plain.where(F.col("half") == h).drop("half")) for h in "01"])
-    scorer = _Scorer(profiles, PROFILE)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            langs, scores, used = scorer.judged(part.column("text").to_pylist())
-            needed = [max(min_score, least.get(lang, {}).get(level, 0.0))
-                      for lang, level in zip(langs, _level(used).tolist(), strict=True)]
-            known = (np.array(langs) != UNKNOWN) & (scores >= np.array(needed))
-            yield part.filter(pa.array(known))
-
-    return docs.mapInArrow(run, docs.schema)
+    least = least_scores(labelled, [tables.where(F.col("part") == h) for h in "01"], min_score)
+    out, spot = _judged(docs, profiles, PROFILE, "text", least=least)
+    known = (F.col(spot)["lang"][0] != UNKNOWN) & F.col(spot)["known"][0] & (F.col(spot)["score"][0] >= min_score)
+    return out.where(known).select(*[F.col(f"`{c}`") for c in docs.columns])

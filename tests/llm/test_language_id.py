@@ -44,6 +44,25 @@ def test_edges(spark):
     assert m.predict_language(spark.createDataFrame(rows[3:4], "doc_id long, text string, x int"), {}).first()["lang_pred"] == "und"
 
 
+def test_many_languages_in_blocks(spark, monkeypatch):
+    # Words of a language are its number in letters, so that every text has one best language.
+    word = lambda k: "".join(chr(97 + k // 26 ** i % 26) for i in range(3))
+    rows = [(f"l{k:04d}", " ".join([word(k), word(k) + word(k)] * 3)) for k in range(1200)]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    docs = spark.createDataFrame([(k, rows[k][1].upper()) for k in range(0, 1200, 7)] + [(-1, None), (-2, "12")],
+                                 "_judged long, text string")
+    table = m.profile_table(train)
+    got = {r["_judged"]: (r["lang_pred"], r["score"]) for r in m.predict_language(docs, table).collect()}
+    assert all(got[k] == (f"l{k:04d}", 1.0) for k in range(0, 1200, 7)) and got[-1] == got[-2] == ("und", 0.0)
+    some = docs.limit(40)
+    small = table.where("lang < 'l0300'")
+    whole = m.predict_language(some, small).orderBy("_judged").collect()
+    monkeypatch.setattr(m, "MATRIX", 7)
+    assert m.predict_language(some, small).orderBy("_judged").collect() == whole
+    monkeypatch.setattr(m.profile_blocks, "__defaults__", (110,))
+    assert m.predict_language(some, small).orderBy("_judged").collect() == whole
+
+
 def test_stage_keeps_languages_and_columns(spark):
     rows = [(k, "the cat and the hat sat", "en", 0.5) for k in range(5)] + [(9, "12 34", "en", 0.5), (10, None, "en", 0.5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
