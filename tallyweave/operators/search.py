@@ -255,8 +255,8 @@ def vector_topk(
 
     `queries`: query_id, embedding. `vectors`: id, embedding. Query vectors of up to
     `sent_bytes` go to every task, and the vectors are scanned where they lie; a task keeps
-    k rows per query. More queries meet the vectors in bounded blocks of both. Either way
-    the result is the same.
+    k rows per query. More queries meet only clusters of vectors whose bound reaches their
+    k best (`operators/nearest.py`). Either way the result is the same.
     """
     types = dict(queries.dtypes) | dict(vectors.dtypes)
     schema = f"query_id {types['query_id']}, id {types['id']}, score double"
@@ -266,11 +266,9 @@ def vector_topk(
     if 0 < size <= sent_bytes:
         found = _scan_topk(asked.toArrow(), k, arrow)
         return top_ranked(vectors.select("id", "embedding").mapInArrow(found, schema), k, "id")
-    candidates = block_map(
-        asked, vectors.select("id", "embedding"),
-        "query_id", "id", _block_topk(k, arrow), schema,
-    )
-    return top_ranked(candidates, k, "id")
+    from tallyweave.operators.nearest import nearest
+
+    return nearest(asked, vectors, k).hits
 
 
 def fuse_ranks(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.text import WS, search_tokens
 from tallyweave.operators import chunks, conversation, rollups, search, views
 from tallyweave.operators import stored_index as stored
+from tallyweave.operators.nearest import nearest
 from tallyweave.operators.partitioning import spread
 from tallyweave.operators.stemming import stem_table
 from tallyweave.plans import model
@@ -327,6 +328,19 @@ def vector_topk(spark, sf):
     return search.vector_topk(label_queries(spark, sf), vectors_of(spark, sf), 60)
 
 
+@query("vector_neighbours", """
+    WITH vv AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    uu AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM vv),
+    sim AS (SELECT a.id AS query_id, b.id, round(list_dot_product(a.e, b.e) / a.n / b.n, 6) AS score
+            FROM uu a CROSS JOIN uu b),
+    near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+                 ORDER BY score DESC, id) - 1 AS INTEGER) AS rank FROM sim)
+    SELECT query_id, id, score, rank FROM near WHERE rank < 10""")
+def vector_neighbours(spark, sf):
+    vectors = vectors_of(spark, sf)
+    return nearest(vectors.withColumnRenamed("id", "query_id"), vectors, 10).hits
+
+
 @query("vector_index", """
     SELECT 'chunks' AS index_name, vec_id AS id, len(embedding)::INTEGER AS dimension,
            round(sqrt(list_dot_product(embedding, embedding)), 3)::DOUBLE AS norm

@@ -107,6 +107,37 @@ def test_vector_search_equals_brute_force(spark):
     assert [r.id for r in rows if r.query_id == 0 and r.rank < 2] in ([3, 7], [7, 3])
 
 
+def test_nearest_skips_clusters_and_equals_brute_force(spark, monkeypatch):
+    from tallyweave.operators import nearest as m
+
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(12, 16))
+    vectors = (middles[np.arange(600) % 12] + 0.1 * rng.normal(size=(600, 16))).astype(np.float32)
+    vectors[::9] = vectors[0]  # many ties
+    vectors[5] = 0
+    queries = np.vstack([vectors[:80], rng.normal(size=(5, 16)), np.zeros((1, 16))]).astype(np.float32)
+    vdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<float>")
+    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<float>")
+    monkeypatch.setattr(m, "CELL_QUERIES", 7)
+    monkeypatch.setattr(m, "CELL_VECTORS", 20)
+
+    def unit(rows):
+        norms = np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+        return np.divide(rows.astype(float), norms, out=np.zeros(rows.shape), where=norms > 0)
+
+    scores = np.round(unit(queries) @ unit(vectors).T, 6)
+    for k in (1, 10, 700):
+        got = m.nearest(qdf, vdf, k, clusters=24)
+        rows = got.hits.collect()
+        for q in range(len(queries)):
+            want = sorted(range(600), key=lambda i: (-scores[q, i], i))[:k]
+            assert [r.id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)] == want
+        visits = got.visits.count()
+        assert got.visits.distinct().count() == visits
+        assert k == 700 or visits < 0.4 * len(queries) * 24
+    assert m.nearest(qdf, vdf.limit(0), 3).hits.count() == m.nearest(qdf.limit(0), vdf, 3).hits.count() == 0
+
+
 def hits(spark, rows):
     return spark.createDataFrame(rows, "query_id long, id long, rank int")
 
