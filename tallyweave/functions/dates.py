@@ -76,10 +76,6 @@ def days_until(c: Column, as_of: Column) -> Column:
     return F.datediff(c, as_of)
 
 
-def is_expired(c: Column, as_of: Column) -> Column:
-    return F.coalesce(c < as_of, F.lit(False))
-
-
 def is_overdue(due: Column, is_done: Column, as_of: Column) -> Column:
     return F.coalesce(~is_done & (due < as_of), F.lit(False))
 

@@ -74,8 +74,3 @@ def l2_normalize(vector: Column) -> Column:
     return F.transform(
         vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float")
     )
-
-
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)

@@ -118,7 +118,3 @@ def nest_children(
         children.groupBy(F.col(parent_key), page.alias("page"))
         .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("children"))
     )
-
-
-def children_count(children: DataFrame, parent_key: str) -> DataFrame:
-    return children.groupBy(parent_key).agg(F.count(F.lit(1)).alias("children"))
