@@ -25,6 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallyweave.session import cut_lineage
 
 UNIT = 1_000_000
+#: The kind of a row that sets an item's stock before its first movement.
+OPENING = "\0opening"
 
 _FOLDED = "accepted boolean, applied_cost double, quantity_on_hand double, avg_cost double"
 _WORK = ["item_id", "movement_type", "_units", "unit_cost"]
@@ -43,6 +45,8 @@ def step(kind: str, units: int, cost: float, held: int, mean: float):
         return True, cost, after, cost
     if kind == "out" and held >= units:
         return True, mean, held - units, mean
+    if kind == OPENING:
+        return True, cost, units, cost
     return False, mean, held, mean
 
 
@@ -110,6 +114,8 @@ def summarise(part: int, batches, held: int) -> dict | None:
             state["net"] -= units
             if held >= units:
                 state["held"] = held - units
+        elif kind == OPENING:
+            state.update(net=units, held=units, scale=0.0, offset=cost)
 
     def on_last(kind, units, cost):
         state["tail"] = step(kind, units, cost, *state["tail"])[2:]
@@ -189,7 +195,7 @@ def settled_starts(parts: DataFrame) -> dict[int, tuple]:
 
 
 def stock_ledger(
-    movements: DataFrame, order: list[str], stretches: int | None = None
+    movements: DataFrame, order: list[str], stretches: int | None = None, opening: DataFrame | None = None
 ) -> DataFrame:
     """Every movement with its verdict, booked cost, quantity and mean cost after it.
 
@@ -203,9 +209,14 @@ def stock_ledger(
     keep = list(movements.columns)
     count = stretches or int(movements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in order]
+    work = movements.withColumn("_units", F.round(F.col("quantity") * UNIT).cast("long"))
+    if opening is not None:
+        first = opening.select("item_id", F.lit(OPENING).alias("movement_type"), F.col("units").alias("_units"),
+                               F.col("mean").alias("unit_cost"), F.lit(0).alias("_turn"))
+        work = work.withColumn("_turn", F.lit(1)).unionByName(first, allowMissingColumns=True)
+        keys = [F.col("_turn"), *keys]
     parts = cut_lineage(
-        movements.withColumn("_units", F.round(F.col("quantity") * UNIT).cast("long"))
-        .repartitionByRange(count, F.col("item_id"), *keys)
+        work.repartitionByRange(count, F.col("item_id"), *keys)
         .sortWithinPartitions("item_id", *keys)
         .withColumn("_part", F.spark_partition_id())
     )
@@ -217,4 +228,5 @@ def stock_ledger(
         if part is not None:
             yield from fold_partition(rows, keep, entries[part])
 
-    return parts.mapInArrow(run, ", ".join(fields) + ", " + _FOLDED)
+    folded = parts.mapInArrow(run, ", ".join(fields) + ", " + _FOLDED)
+    return folded if opening is None else folded.filter(~F.col("movement_type").eqNullSafe(OPENING))

@@ -11,6 +11,7 @@ from tallyweave.plans.registry import query
 from tallyweave.plans.search_queries import _CHUNKS, _tokens
 from tallyweave.streaming import jobs
 from tallyweave.streaming.indexing import DocumentIndex
+from tallyweave.streaming.late_ledger import LateLedger
 
 
 def _stream(spark, sf, name):
@@ -111,19 +112,20 @@ def stream_index_terms(spark, sf):
     return _indexed(spark, sf).keywords().terms()
 
 
-def _movements(spark, sf):
+def _moves_of(events):
     kind = F.col("event_type")
-    return (
-        _stream(spark, sf, "events")
-        .select(
-            F.col("user_id").alias("item_id"), F.col("event_id").alias("id"),
-            F.when(kind.isin("purchase", "error"), "out").otherwise("in").alias("movement_type"),
-            F.col("value").alias("quantity"), (F.col("event_id") % 100).cast("double").alias("unit_cost"),
-            F.col("ts").alias("movement_time"),
-        )
+    return events.select(
+        F.col("user_id").alias("item_id"), F.col("event_id").alias("id"),
+        F.when(kind.isin("purchase", "error"), "out").otherwise("in").alias("movement_type"),
+        F.col("value").alias("quantity"), (F.col("event_id") % 100).cast("double").alias("unit_cost"),
+        F.col("ts").alias("movement_time"),
     )
 
 
+def _movements(spark, sf):
+    return _moves_of(_stream(spark, sf, "events"))
+
+
 _EVENT_FOLD = """
     moves AS (SELECT user_id AS item_id, event_id AS id,
                      CASE WHEN event_type IN ('purchase', 'error') THEN 'out' ELSE 'in' END AS movement_type,
@@ -168,6 +170,43 @@ def stream_low_stock(spark, sf):
     return _append(jobs.low_stock_stream(ledger)).select("item_id", "id")
 
 
+def _late_ledger(spark, sf):
+    """The ledger of events that arrive up to two days after their time, in five files."""
+    folder = jobs.work_folder(spark)
+    moves = _moves_of(model.table(spark, sf, "events")).withColumn(
+        "_come", F.unix_micros(F.col("movement_time").cast("timestamp")) + F.col("id") % 3 * 86_400_000_000)
+    edges = moves.approxQuantile("_come", [0.2, 0.4, 0.6, 0.8], 0.01)
+    part = sum((F.col("_come") > edge).cast("int") for edge in edges) if edges else F.lit(0)
+    for number in range(5):
+        moves.filter(part == number).drop("_come").coalesce(1).write.mode("append").parquet(f"{folder}/moves")
+    arrived = jobs.read_stream(spark, f"{folder}/moves", moves.drop("_come").schema, files_per_batch=1)
+    books = LateLedger(spark, f"{folder}/books", delay_seconds=3 * 86_400, compact=2)
+    books.follow(arrived, f"{folder}/state").awaitTermination()
+    books.close()
+    return books
+
+
+@query("stream_late_ledger", sql("""
+    SELECT item_id, id, movement_type, quantity, accepted, rnd(held / 1000000) AS quantity_on_hand,
+           rnd(mean) AS avg_cost FROM fold""", extra=_EVENT_FOLD, recursive=True))
+def stream_late_ledger(spark, sf):
+    return _late_ledger(spark, sf).ledger().select(
+        "item_id", "id", "movement_type", "quantity", "accepted",
+        model.rounded("quantity_on_hand").alias("quantity_on_hand"),
+        model.rounded("avg_cost").alias("avg_cost"),
+    )
+
+
+@query("stream_late_balances", sql("""
+    SELECT item_id, rnd(arg_max(held, rn) / 1000000) AS quantity_on_hand, rnd(arg_max(mean, rn)) AS avg_cost
+    FROM fold GROUP BY 1""", extra=_EVENT_FOLD, recursive=True))
+def stream_late_balances(spark, sf):
+    return _late_ledger(spark, sf).balances().select(
+        "item_id", model.rounded("quantity_on_hand").alias("quantity_on_hand"),
+        model.rounded("avg_cost").alias("avg_cost"),
+    )
+
+
 @query("stream_repeat_purchases", """
     SELECT DISTINCT a.event_id AS id, a.event_type AS name, CAST(a.user_id AS VARCHAR) AS seller,
            CAST(a.ts AS DATE) AS line_day, CAST(b.ts AS DATE) AS prior_day
