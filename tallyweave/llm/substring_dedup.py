@@ -14,9 +14,10 @@ slice; what comes back for a slice joins it without moving texts:
 
 1. Anchors are counted in buckets of their fingerprint; anchors found once rule out all of
    their windows.
-2. Windows at repeated anchors are verified: the bucket of their anchor compares the hashes
-   of all their words and finds each window's first place. A slice sends a window once, its
-   first place there, so that a window which very many documents hold is sent once a slice.
+2. Windows at repeated anchors are verified: buckets of windows, dealt by the hash of all their
+   words, find each window's first place. So the different windows around a phrase that very
+   many documents hold are spread over all buckets, and a slice sends a window once, its first
+   place there, so that a window which very many documents hold is sent once a slice.
 3. Words covered by a window that is not the first of its kind are cut out.
 """
 
@@ -170,7 +171,7 @@ class _Slice:
         if len(used):
             repeated[used[order]] = np.frombuffer(found, np.uint8) > 0
         live = repeated[self.anchor[self.which]] if len(self.which) else np.empty(0, bool)
-        at, anchor = self.at[live], self.anchor[self.which[live]] if len(self.which) else np.empty(0, np.int64)
+        at = self.at[live]
         hashes = window_fingerprints(self.hashes, at, self.width) if len(at) else np.empty(0, np.uint64)
         owner = self.owner[at]
         place = self.rank[owner] << 32 | (at - self.begins[owner])
@@ -178,7 +179,7 @@ class _Slice:
         new = np.concatenate(([True], hashes[by][1:] != hashes[by][:-1])) if len(by) else np.empty(0, bool)
         send = np.zeros(len(at), bool)
         send[by[new]] = True
-        return at, hashes, _bucket(self.distinct[anchor], buckets), send, owner
+        return at, hashes, _bucket(hashes, buckets), send, owner
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -193,7 +194,11 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 # ---- passes -----------------------------------------------------------------------------------
 
 def _packed(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
-    """Rows of `docs` in slices: (slice, rows), a table bucketed by slice in the shared folder."""
+    """Rows of `docs` in slices: (slice, rows), bucketed by slice in the shared folder.
+
+    Spark writes buckets to catalog tables only. The name goes once the table is read back;
+    its files stay in the checkpoint folder like all other written tables.
+    """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     name = f"packed_{uuid.uuid4().hex}"
@@ -208,7 +213,10 @@ def _packed(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
     schema = StructType([StructField("slice", LongType()), StructField("rows", ArrayType(docs.schema))])
     docs.mapInArrow(run, schema).write.format("parquet").option("compression", "zstd").option(
         "path", f"{spark.sparkContext.getCheckpointDir()}/{name}").bucketBy(parts, "slice").saveAsTable(name)
-    return spark.table(name)
+    packed = spark.table(name)
+    packed.schema  # resolves the files behind the name
+    spark.sql(f"DROP TABLE {name}")
+    return packed
 
 
 def _each(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, width: int):
@@ -238,8 +246,7 @@ def cut_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_c
     the words left, joined by one blank. Null ids come last, and count as one id; documents
     of one id and different texts are ordered by a fingerprint of the text; rows that repeat
     (id, text) are one document and all get its result. Null texts have no words and an empty
-    kept_text. Ids must be whole numbers. Words and windows are compared by 64-bit hashes,
-    windows only within a bucket of their anchor's.
+    kept_text. Ids must be whole numbers. Words and windows are compared by 64-bit hashes.
     """
     kept_columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept_columns])

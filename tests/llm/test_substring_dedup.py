@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
 from tallyweave.llm import substring_dedup as m
@@ -44,3 +46,25 @@ def test_clean_texts_stay_as_they_are(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["text"] for r in m.drop_repeats(frame).collect()}
     assert got == {1: rows[0][1], 2: None}
+
+
+def test_windows_around_a_common_phrase_are_spread(spark):
+    """Every text holds one phrase of 16 words between words of its own."""
+    phrase = " ".join(f"common{k}" for k in range(16))
+    texts = [f"{' '.join(f'a{d}.{k}' for k in range(9))} {phrase} {' '.join(f'b{d}.{k}' for k in range(9))}" for d in range(400)]
+    rows = pa.StructArray.from_arrays([pa.array(range(400)), pa.array(texts)], ["doc_id", "text"])
+    part = m._Slice(rows, "doc_id", "text", 20)
+    _, hashes, bucket, _, _ = part.candidates(8, b"\x01" * len(part.used_anchors()))
+    held = np.bincount(bucket, minlength=8)
+    assert len(hashes) == 400 * 15 and held.max() < 1.3 * held.mean()
+    frame = spark.createDataFrame(list(enumerate(texts)) + [(400, texts[7])], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in m.cut_repeats(frame).collect()}
+    assert got.pop(400) == 34 and set(got.values()) == {0}
+
+
+def test_no_table_stays_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    frame = spark.createDataFrame([(1, "a b " * 20), (2, "a b " * 20)], "doc_id long, text string")
+    out = m.cut_repeats(frame)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out.collect()) == [(1, 38), (2, 40)]
