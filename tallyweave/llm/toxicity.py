@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyweave.llm.common import owners, ranges, slices, stash, word_lists
+from tallyweave.llm.common import mix, owners, ranges, slices, stash, text_key, word_lists
 from tallyweave.llm.language_id import held_out
 
 #: Labelled documents of each label that the model is fitted on, at most: those with the
 #: least hash of their id. All other steps cover every document.
 SAMPLE = 6000
+#: Known words of one sampled document that the fit counts, at most: longer ones give whole
+#: sentences up to here, those with the least hash of their number. With SAMPLE this bounds
+#: what the driver gets; scores are of all sentences.
+FIT_WORDS = 2000
 #: Words that the model weighs, at most: those whose presence tells the labels apart best.
 VOCABULARY = 2048
 #: Lengths of word beginnings that count as features beside the words themselves.
@@ -87,6 +91,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
 
     A label is the greatest of its id's; share is how many labelled ids one of the sample
     stands for. The ids (2 * size at most) are broadcast, so texts are filtered where they lie.
+    An id stands for one document, the text with the least fingerprint, however often it comes.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("y"))
@@ -98,7 +103,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
         sample = part if sample is None else sample.unionByName(part)
     if sample is None:
         return docs.select(F.lit(0).alias("y"), F.lit(1.0).alias("share"), "text").limit(0)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "share", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "share").agg(
+        F.min_by("text", text_key(F.col("text"))).alias("text"))
+    return found.select("y", "share", "text")
 
 
 def _vocabulary(sample: DataFrame, size: int) -> list[str]:
@@ -140,8 +147,28 @@ def _vocabulary(sample: DataFrame, size: int) -> list[str]:
     return [r["word"] for r in top.select("word").collect()]
 
 
-def _bags(sample: DataFrame, words: list[str]) -> pa.Table:
-    """Per document: y, share, the number of its sentences, and (sentence, word) of known words."""
+def _fitted(doc: np.ndarray, sentence: np.ndarray, limit: int) -> np.ndarray:
+    """Which known words count: whole sentences of each document, by hash, up to `limit` words
+    (one sentence at least, of which the first `limit` words)."""
+    if not len(doc):
+        return np.empty(0, bool)
+    order = np.lexsort((np.arange(len(doc)), mix(sentence.astype(np.uint64)), doc))
+    d, s = doc[order], sentence[order]
+    first = np.concatenate(([True], d[1:] != d[:-1]))
+    new = first | np.concatenate(([True], s[1:] != s[:-1]))
+    place = np.arange(len(d)) - np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(d))
+    run = np.repeat(np.arange(len(begins)), ends - begins)
+    whole = (place[ends - 1] < limit)[run] | first[begins][run] & (place < limit)
+    kept = np.empty(len(d), bool)
+    kept[order] = whole
+    return kept
+
+
+def _bags(sample: DataFrame, words: list[str], limit: int = FIT_WORDS) -> pa.Table:
+    """Per document: y, share, the number of its sentences, and (sentence, word) of known words,
+    at most `limit` of them; sentences beyond count as not there."""
     table = {w: i for i, w in enumerate(words)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +178,13 @@ def _bags(sample: DataFrame, words: list[str]) -> pa.Table:
             at, which = _coded(found, table)
             sentence = owners(word_begins)[at]
             doc = np.searchsorted(begins, sentence, side="right") - 1
+            kept = _fitted(doc, sentence - begins[doc], limit)
+            left_out = np.setdiff1d(sentence, sentence[kept])
+            n = np.diff(begins) - np.bincount(np.searchsorted(begins, left_out, side="right") - 1, minlength=len(begins) - 1)
+            sentence, which, doc = sentence[kept], which[kept], doc[kept]
             edges = pa.array(np.searchsorted(doc, np.arange(len(begins))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
-                part.column("y"), part.column("share"), pa.array(np.diff(begins)),
+                part.column("y"), part.column("share"), pa.array(n),
                 pa.ListArray.from_arrays(edges, pa.array((sentence - begins[doc]).astype(np.int32))),
                 pa.ListArray.from_arrays(edges, pa.array(which.astype(np.int32)))],
                 ["y", "share", "n", "sentence", "word"])

@@ -53,3 +53,19 @@ def test_edges(spark):
     odd = spark.createDataFrame([(2, 1), (2, 0), (None, 1), (4, None), (8, 0)], marks)
     assert m.toxicity_query(docs, odd).count() == 5
     assert m.toxicity_query(spark.createDataFrame([], schema), odd).count() == 0
+
+
+def test_what_the_fit_gets_is_bounded(spark):
+    """A sampled id repeated many times, and a long text, add at most one bag of `limit` words."""
+    long = ". ".join(f"w{k % 7} w{(k + 1) % 7}" for k in range(500))
+    docs = spark.createDataFrame([(1, long)] * 300 + [(1, "w1. w2"), (2, "w3 w4. none. w5")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    sample = m.labelled_sample(docs, marks).drop("text").collect()
+    assert sorted(r["y"] for r in sample) == [0, 1]
+    bags = m._bags(spark.createDataFrame([(1, 1.0, long), (0, 1.0, "w3 w4. none. w5"), (0, 1.0, None)],
+                                         "y int, share double, text string"), [f"w{k}" for k in range(7)], 40).to_pylist()
+    by = {(r["y"], r["n"]): r for r in bags}
+    assert set(by) == {(1, 20), (0, 3), (0, 1)}  # 480 sentences of two words are left out
+    assert len(by[1, 20]["word"]) == 40 and len(set(by[1, 20]["sentence"])) == 20
+    assert by[0, 3]["word"] == [3, 4, 5] and by[0, 3]["sentence"] == [0, 0, 2]
+    assert m._fitted(np.array([0] * 9), np.array([4] * 9), 5).sum() == 5
