@@ -230,3 +230,22 @@ def test_stemmed_search(spark):
     words = search.vocabulary(docs.select("text").unionByName(queries.select("text")))
     got = search.bm25_topk(queries, docs, 5, mode="all", stems=stem_table(words)).collect()
     assert [r.doc_id for r in got] == [1]
+
+
+def test_blocks_of_long_documents_are_bounded_by_their_text(spark, monkeypatch):
+    queries = spark.createDataFrame([(1, "alpha beta")], "query_id long, text string")
+    long_texts = [(i, f"alpha {'gamma ' * 700}" + "beta " * (i % 7)) for i in range(40)] + [(40, None)]
+    documents = spark.createDataFrame(long_texts, "doc_id long, text string")
+    want = [tuple(r) for r in search.bm25_topk(queries, documents, 5).orderBy("rank").collect()]
+    rows, plain = [], search.block_map
+
+    def spied(*args, **options):
+        rows.append(options["right_rows"])
+        return plain(*args, **options)
+
+    monkeypatch.setattr(search, "block_map", spied)
+    search.bm25_topk(queries, documents, 5)
+    assert rows[0] * 4_200 <= 10_000_000
+    monkeypatch.setattr(search, "TEXT_BLOCK", 8_000, raising=False)
+    assert [tuple(r) for r in search.bm25_topk(queries, documents, 5).orderBy("rank").collect()] == want
+    assert rows[1] <= 2
