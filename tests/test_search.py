@@ -249,3 +249,29 @@ def test_blocks_of_long_documents_are_bounded_by_their_text(spark, monkeypatch):
     monkeypatch.setattr(search, "TEXT_BLOCK", 8_000, raising=False)
     assert [tuple(r) for r in search.bm25_topk(queries, documents, 5).orderBy("rank").collect()] == want
     assert rows[1] <= 2
+
+
+def test_visits_come_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    from tallyweave.operators import nearest as near
+
+    rng = np.random.default_rng(5)
+    vectors, centres = rng.normal(size=(500, 4)), rng.normal(size=(40, 4))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(500)), pa.array(vectors.tolist()), pa.array([-9.0] * 500)], ["query_id", "embedding", "floor"])
+
+    def visited(floored):
+        sizes = np.where(np.arange(40) % 8 == 0, 0, 3)
+        got = [*near._visits(centres, np.full(40, 0.5), sizes, 10, floored)(iter([batch, batch.slice(0, 0)]))]
+        assert all(len(v) == 4 for b in got for v in b.column("embedding").to_pylist()[:3])
+        return max(b.num_rows for b in got), [
+            t for b in got for t in zip(*(b.column(c).to_pylist() for c in ("query_id", "home", "cluster")))]
+
+    whole = [visited(f)[1] for f in (False, True)]
+    assert len(whole[0]) == 500 * 4 and len(whole[1]) == 500 * 31
+    monkeypatch.setattr(near, "VISIT_QUERIES", 30, raising=False)
+    monkeypatch.setattr(near, "VISIT_ROWS", 50, raising=False)
+    for floored, rows in zip((False, True), whole):
+        largest, parts = visited(floored)
+        assert largest <= 50 and parts == rows
