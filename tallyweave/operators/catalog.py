@@ -431,15 +431,18 @@ def invoice_detail(lines: DataFrame, materials: DataFrame, k: int = 5) -> DataFr
     open_names = lines.filter(unmatched).select("item_name")
     nested = (
         suggestions(open_names, materials, k)
-        .groupBy(F.col("item_name").alias("_name"))
+        .groupBy(F.col("item_name").alias("_wanted"))
         .agg(F.sort_array(F.collect_list(F.struct("rank", "material_id", "material_name"))).alias("_s"))
     )
+    # Lines that want no suggestion are dealt by their id; as nulls they would all meet in one task.
+    key = F.coalesce("_name", F.col("id").cast("string"))
     return (
         lines.withColumn("needs_catalog", unmatched)
         .withColumn("_name", F.when(F.col("needs_catalog"), collapse(F.col("item_name"))))
-        .join(nested, "_name", "left")
+        .withColumns({"_key": key, "_open": F.col("_name").isNotNull()})
+        .join(nested, (F.col("_key") == F.col("_wanted")) & F.col("_open"), "left")
         .withColumn("suggestions", F.coalesce(F.col("_s.material_id"), F.array().cast("array<string>")))
-        .drop("_name", "_s")
+        .drop("_name", "_key", "_open", "_wanted", "_s")
     )
 
 

@@ -241,3 +241,33 @@ def test_suggestions_need_all_words(spark):
         ("Steel Rod", "1"), ("rod", "1"), ("rod", "3"),
     }
     assert F is not None
+
+
+def test_lines_without_a_wish_do_not_meet_in_one_task(spark):
+    lines = spark.range(4000).select(
+        F.concat(F.lit("l"), "id").alias("id"), F.lit(1).alias("invoice_id"), F.lit("line_item").alias("row_type"),
+        F.when(F.col("id") % 100 == 0, F.lit("Hot  bolt")).when(F.col("id") % 100 == 1, F.lit(None)).otherwise(
+            F.lit("cold nut")).alias("item_name"),
+        F.when(F.col("id") % 100 > 1, "m").alias("matched_material_id"))
+    odd = spark.createDataFrame(
+        [("hot bolt", 2, "line_item", None, None), ("hot bolt", 3, "subtotal", "hot bolt", None),
+         ("hot bolt", 4, "line_item", "Hot bolt", "m"), (None, 5, "line_item", "hot bolt", "m"),
+         ("x", 6, "line_item", "hot bolt", "")],
+        "id string, invoice_id int, row_type string, item_name string, matched_material_id string")
+    shelf = mats(spark, [("b", "hot bolt"), ("a", "bolt hot"), ("c", "cold nut")])
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "-1")
+        found = catalog.invoice_detail(lines.unionByName(odd), shelf).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    assert len(found) == 4005
+    idle = [r.task for r in found if not r.needs_catalog]
+    assert max(idle.count(t) for t in set(idle)) < len(idle) / 4
+    assert {tuple(r.suggestions) for r in found if r.item_name == "Hot  bolt"} == {("a", "b")}
+    assert {r.invoice_id: tuple(r.suggestions) for r in found if r.invoice_id > 1} == {
+        2: (), 3: (), 4: (), 5: (), 6: ("a", "b")}
+    assert all(not r.suggestions for r in found if r.invoice_id == 1 and r.item_name != "Hot  bolt")
