@@ -52,12 +52,9 @@ def searchable_items(items: DataFrame, invoices: DataFrame, documents: DataFrame
         F.col("id").alias("invoice_id"), "doc_id", "invoice_no", "invoice_date"
     )
     names = documents.select(F.col("id").alias("doc_id"), "filename")
-    return (
-        items.filter("row_type = 'line_item'")
-        .withColumnRenamed("id", "item_id")
-        .join(header, "invoice_id")
-        .join(names, "doc_id", "left")
-    )
+    # Headers meet their documents first, so that the lines are shuffled for one join only.
+    filed = header.join(names, "doc_id", "left")
+    return items.filter("row_type = 'line_item'").withColumnRenamed("id", "item_id").join(filed, "invoice_id")
 
 
 def audit_summary(audits: DataFrame, invoices: DataFrame, documents: DataFrame) -> DataFrame:
