@@ -168,3 +168,15 @@ def test_compatibility_form(spark):
     df = spark.createDataFrame([("ﬁne ½",), ("plain",), (None,)], "t string")
     assert [r.t for r in cleaning.compatibility_form(df, "t").orderBy(F.col("t").desc_nulls_last()).collect()] == [
         "plain", "fine 1⁄2", None]
+
+
+def test_templates_work_a_text_out_once(spark):
+    made = docs(spark, [TABLE, "other"]).select("doc_id", F.concat(F.reverse(F.reverse("text")), F.lit("\n")).alias("text"))
+    template = templates.Template("t", "acme", ["acme", r"invoice no:\s*\d+"],
+                                  item_pattern=r"^(?P<description>\S[^\n]*?)\s{2,}(?P<quantity>\d+)\s{2,}")
+    matched = templates.match_templates(made, [template])
+    assert [(r.doc_id, r.template_id, r.confidence) for r in matched.collect()] == [(0, "t", 1.0)]
+    items = templates.template_items(matched, [template])
+    assert {(r.doc_id, r.confidence) for r in items.collect()} == {(0, 1.0)}
+    for df in (matched, items):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(") == 1
