@@ -61,7 +61,8 @@ def first_per_name(items: DataFrame) -> DataFrame:
 
 def unmatched_insights(unmatched: DataFrame) -> DataFrame:
     name = strip(F.col("item_name"))
-    return first_per_name(unmatched).select(
+    # The optimizer prunes no field of the row picked per name, so only what is told goes in.
+    return first_per_name(unmatched.select("id", "item_name")).select(
         F.lit("unmatched_item").alias("category"),
         F.lit("info").alias("severity"),
         F.concat(F.lit("Unmatched item: "), name).alias("title"),

@@ -184,3 +184,11 @@ def test_insights_and_reminders(spark):
     open_items = lines(spark, [line(1, name=" Bolt"), line(2, name="bolt"), line(3, name=" ")])
     only = insights.unmatched_insights(open_items).collect()
     assert [(r.title, r.linked_entity_id) for r in only] == [("Unmatched item: bolt", "2")]
+
+
+def test_row_per_name_carries_no_more_than_its_insight(spark):
+    found = insights.unmatched_insights(lines(spark, [line(1, name="Bolt"), line(3, name="bolt")]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    picked = [text for text in plan.split("\n") if "max_by(struct(" in text]
+    assert picked and not any("unit_price" in text for text in picked)
+    assert [(r.title, r.linked_entity_id) for r in found.collect()] == [("Unmatched item: bolt", "3")]
