@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyweave.functions.text import expand_query, search_tokens
+from tallyweave.operators.partitioning import fan_out
 from tallyweave.operators.search import K1, LEAST_IDF, SCORE_DIGITS, B, top_ranked
 from tallyweave.session import cut_lineage
 
@@ -56,24 +57,30 @@ class KeywordIndex:
         """
         if batch in self.batches():
             return
-        sized = cut_lineage(documents.select("doc_id", F.coalesce(
-            search_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens")).withColumn(
-            "length", F.size("tokens")))
-        corpus = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("length").cast("long")), F.lit(0)).alias("words"))
-        self._write(corpus, "corpus", batch)
-        blocks = max(1, math.ceil(self._read("corpus", [batch]).first()["n"] / self.block))
-        counted = sized.select("doc_id", "length", F.explode("tokens").alias("term")).groupBy(
-            "term", "doc_id", "length").agg(F.count("*").cast("int").alias("tf"))
-        rows = counted.groupBy(self._bucket(F.col("term")).alias("bucket"), "term",
-                               F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).agg(
+        n = documents.count()
+        blocks = max(1, math.ceil(n / self.block))
+        # Texts are dealt by block once; all counting of words stays inside those parts.
+        placed = fan_out(documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast(
+            "int").alias("block")), "block")
+        sized = placed.select("block", "doc_id", search_tokens(F.col("text")).alias("tokens")).withColumn(
+            "length", F.size("tokens"))
+        # An outer explode, as in `search.postings`: the text is split once.
+        counted = sized.select("block", "doc_id", "length", F.explode_outer("tokens").alias("term")).where(
+            F.col("term").isNotNull()).groupBy("block", "term", "doc_id", "length").agg(
+            F.count("*").cast("int").alias("tf"))
+        rows = counted.groupBy("block", "term").agg(
             F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"),
             F.sum("tf").alias("occurrences"), F.array_sort(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("hits"))
         slots = self.buckets * WRITERS
-        dealt = rows.repartition(slots, "bucket", F.pmod(F.xxhash64("term"), F.lit(WRITERS)))
+        dealt = rows.withColumn("bucket", self._bucket(F.col("term"))).repartition(
+            slots, "bucket", F.pmod(F.xxhash64("term"), F.lit(WRITERS)))
         self._write(dealt.sortWithinPartitions("bucket", "term", "block"), "postings", batch, ["bucket"])
         added = self._read("postings", [batch]).groupBy("bucket", "term").agg(
             F.sum("n").alias("df"), F.sum("occurrences").alias("cf"))
         self._write(added.sortWithinPartitions("bucket", "term"), "terms", batch, ["bucket"])
+        # Every word of a document is an occurrence of a term.
+        corpus = self._read("terms", [batch]).agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.sum("cf"), F.lit(0)).alias("words"))
+        self._write(corpus, "corpus", batch)
         self._write(self.spark.createDataFrame([(batch,)], "number int"), "commits", batch)
 
     def rebuild(self, documents: DataFrame, target: str) -> KeywordIndex:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import search
 from tallyweave.operators.stored_index import KeywordIndex
+from tallyweave.session import ensure_checkpoint_dir
 
 
 def corpus(spark, n=600, seed=3):
@@ -72,3 +73,14 @@ def test_empty_index(spark, tmp_path):
     assert index.search(asked).count() == 0 and index.terms().count() == 0
     index.append(0, spark.createDataFrame([], "doc_id long, text string"))
     assert index.search(asked).count() == 0
+
+
+def test_append_keeps_no_copy_of_the_words(spark, tmp_path):
+    """Words were written to the checkpoint folder and read again, at several times the size of the texts."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    index = KeywordIndex(spark, f"file://{tmp_path}/a", buckets=2, block=16)
+    index.append(0, corpus(spark, 50))
+    assert set(os.listdir(folder)) == before
+    assert index.terms().agg(F.sum("cf")).first()[0] == index._read("corpus").first()["words"]
