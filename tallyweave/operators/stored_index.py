@@ -16,21 +16,30 @@ batches change document frequencies and the mean length.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from tallyweave.functions.text import expand_query, search_tokens
 from tallyweave.operators.partitioning import fan_out
-from tallyweave.operators.search import K1, LEAST_IDF, SCORE_DIGITS, B, top_ranked
+from tallyweave.operators.search import DENSE_CELLS, K1, LEAST_IDF, QUERY_BLOCK, SCORE_DIGITS, B, top_ranked
 from tallyweave.session import cut_lineage
 
 #: Scores of hits and bounds of blocks are sums in another order; a block goes only below this.
 MARGIN = 10.0 ** -SCORE_DIGITS
 #: Writers per bucket, so that a bucket is never written by a single task.
 WRITERS = 4
+#: Documents whose postings are scored together against a block of queries.
+CELL = 2_048
+#: Up to this many words of queries are named in the scan; more are met by the joins alone.
+LISTED = 4_096
 
 
 @dataclass(frozen=True)
@@ -117,7 +126,7 @@ class KeywordIndex:
         reach decides which of the others are scored at all. A block with a bound below it
         cannot hold a hit, so the result is that of a full scan.
         """
-        plan = self.plan_blocks(queries, mode, expand)
+        plan = self.plan_blocks(queries, mode, expand, k)
         first = plan.blocks.where(F.col("before") < k)
         started = cut_lineage(top_ranked(plan.score(first), k, "doc_id"))
         floor = started.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
@@ -126,7 +135,7 @@ class KeywordIndex:
         both = started.drop("rank").unionByName(plan.score(later))
         return top_ranked(both, k, "doc_id").select("query_id", "doc_id", "score", "rank")
 
-    def plan_blocks(self, queries: DataFrame, mode: str = "any", expand: bool = True) -> BlockPlan:
+    def plan_blocks(self, queries: DataFrame, mode: str = "any", expand: bool = True, k: int = 60) -> BlockPlan:
         """Bounds of all blocks that hold a term of a query; see `search`."""
         text = expand_query(F.col("text")) if expand else F.col("text")
         wanted = queries.select("query_id", F.explode(search_tokens(text)).alias("term")).groupBy("query_id", "term").agg(
@@ -137,6 +146,9 @@ class KeywordIndex:
         # The number of buckets bounds this list, whatever the number of queries.
         used = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]
         own = F.col("bucket").isin(used)
+        words = [r["term"] for r in wanted.select("term").distinct().limit(LISTED + 1).collect()]
+        if len(words) <= LISTED:
+            own = own & F.col("term").isin(words)
         corpus = self._read("corpus", live).agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
         total, mean = float(corpus["n"] or 0), float(corpus["words"] or 0) / max(1.0, float(corpus["n"] or 0))
         df = self._read("terms", live).where(own).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
@@ -159,16 +171,26 @@ class KeywordIndex:
             Window.unboundedPreceding, -1)
         blocks = cut_lineage(bounds.withColumn("before", F.coalesce(F.sum("least").over(order), F.lit(0))))
 
+        parts = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+        part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
+        cell = F.floor(F.col("block") / max(1, CELL // self.block)).cast("int").alias("cell")
+        schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {self.id_type}, score double"
+        arrow = to_arrow_schema(self.spark.createDataFrame([], schema).schema)
+        texts = known.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms")).join(asked, "query_id")
+        sought = known.select(part, "bucket", "term").distinct()
+
         def score(chosen: DataFrame) -> DataFrame:
-            pieces = chosen.select("query_id", "batch", "block").join(known, "query_id").join(
-                rows.select("bucket", "term", "batch", "block", "hits"), ["bucket", "term", "batch", "block"])
-            hits = pieces.select("query_id", "idf", F.explode("hits").alias("h")).select(
-                "query_id", "h.doc_id", weight(F.col("h.tf"), F.col("h.length")).alias("w"))
-            summed = hits.groupBy("query_id", "doc_id").agg(
-                F.round(F.sum("w"), SCORE_DIGITS).alias("score"), F.count("*").alias("matched"))
-            if mode == "all":
-                summed = summed.join(asked, "query_id").where("matched = asked")
-            return summed.select("query_id", "doc_id", "score")
+            left = chosen.select("query_id", "batch", "block", cell).groupBy("query_id", "batch", "cell").agg(
+                F.collect_list("block").alias("blocks")).join(texts, "query_id").withColumn("part", part)
+            visited = chosen.select(part, "batch", "block").distinct()
+            # Read anew: a frame that also lies under `chosen` would make its columns ambiguous.
+            right = self._read("postings", live).where(own).select("bucket", "term", "batch", "block", "hits", cell).join(
+                sought, ["bucket", "term"]).join(visited, ["part", "batch", "block"]).select(
+                "part", "batch", "cell", "block", "term", "hits")
+            # Shared out here, with a given number: adaptive execution would merge the cells again.
+            keys = ["part", "batch", "cell"]
+            return fan_out(left, *keys).groupBy(*keys).cogroup(fan_out(right, *keys).groupBy(*keys)).applyInArrow(
+                _score_cell(k, mode == "all", mean or 1.0, arrow), schema)
 
         return BlockPlan(blocks, score)
 
@@ -200,7 +222,75 @@ _TABLES = {
 
 @dataclass(frozen=True)
 class BlockPlan:
-    """`blocks`: (query_id, batch, block, bound, least, found, before); `score` scores chosen ones."""
+    """`blocks`: (query_id, batch, block, bound, least, found, before).
+
+    `score` gives the k best documents of each query in each cell of the chosen blocks.
+    """
 
     blocks: DataFrame
     score: object
+
+
+def _score_cell(k: int, match_all: bool, mean: float, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best documents of each query in the blocks it chose in a cell, as matrix products."""
+
+    def compare(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        if not queries.num_rows or not rows.num_rows:
+            return schema.empty_table()
+        lists, blocks = queries.column("terms").combine_chunks(), queries.column("blocks").combine_chunks()
+        vocabulary = pc.unique(lists.flatten().field("term"))
+        asked = np.zeros((queries.num_rows, len(vocabulary)))
+        asked[pc.list_parent_indices(lists).to_numpy(),
+              pc.index_in(lists.flatten().field("term"), value_set=vocabulary).to_numpy()] = lists.flatten().field("idf").to_numpy()
+        least = queries.column("asked").to_numpy()[:, None]
+        # Words only of queries that chose nothing here.
+        rows = rows.append_column("at", pc.index_in(rows.column("term"), value_set=vocabulary))
+        rows = rows.filter(pc.is_valid(rows.column("at")))
+        if not rows.num_rows:
+            return schema.empty_table()
+        hits = rows.column("hits").combine_chunks()
+        row, flat = pc.list_parent_indices(hits).to_numpy(), hits.flatten()
+        terms = rows.column("at").to_numpy()[row]
+        tf, length = flat.field("tf").to_numpy(), flat.field("length").to_numpy()
+        weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        # Numbers of documents in id order, so that a stable sort breaks ties by id; null comes first.
+        ids = flat.field("doc_id").dictionary_encode(null_encoding="encode")
+        order = pc.sort_indices(ids.dictionary, null_placement="at_start").to_numpy()
+        position = np.empty(len(order), dtype=np.int64)
+        position[order] = np.arange(len(order))
+        documents = position[ids.indices.to_numpy()]
+        places, place = np.unique(rows.column("block").to_numpy(), return_inverse=True)
+        lies_in = np.empty(len(order), dtype=np.int64)
+        lies_in[documents] = place[row]
+        chosen = np.zeros((queries.num_rows, len(places)), dtype=bool)
+        wanted = blocks.flatten().to_numpy()
+        held_at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+        found = places[held_at] == wanted
+        chosen[pc.list_parent_indices(blocks).to_numpy()[found], held_at[found]] = True
+        by_document = np.argsort(documents, kind="stable")
+        documents, terms, weights = documents[by_document], terms[by_document], weights[by_document]
+        best: list[list[tuple]] = [[] for _ in range(queries.num_rows)]
+        width = len(vocabulary)
+        height = max(1, DENSE_CELLS // width)
+        holds = (asked != 0).astype(np.float32)
+        for first in range(0, len(order), height):
+            low, high = np.searchsorted(documents, [first, first + height])
+            many = min(height, len(order) - first)
+            at = (documents[low:high] - first) * width + terms[low:high]
+            held = np.bincount(at, weights[low:high], many * width).reshape(many, width)
+            times = np.bincount(at, minlength=many * width).reshape(many, width).astype(np.float32)
+            scores = np.round(asked @ held.T, SCORE_DIGITS)
+            matched = holds @ times.T
+            fits = (matched == least if match_all else matched > 0) & chosen[:, lies_in[first:first + many]]
+            for q in range(queries.num_rows):
+                some = np.flatnonzero(fits[q])
+                some = some[np.argsort(-scores[q, some], kind="stable")[:k]]
+                best[q] += zip((-scores[q, some]).tolist(), (some + first).tolist())
+        kept = [(q, d, -score) for q, pairs in enumerate(best) for score, d in sorted(pairs)[:k]]
+        if not kept:
+            return schema.empty_table()
+        at, numbers, scores = zip(*kept)
+        return pa.table([queries.column("query_id").take(pa.array(at)).combine_chunks(),
+                         ids.dictionary.take(pa.array(order[list(numbers)])), pa.array(scores, pa.float64())], schema=schema)
+
+    return compare

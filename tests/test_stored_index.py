@@ -1,3 +1,4 @@
+import math
 import os
 import random
 
@@ -75,6 +76,40 @@ def test_empty_index(spark, tmp_path):
     assert index.search(asked).count() == 0
 
 
+def test_a_cell_returns_the_best_rows_only(spark, tmp_path):
+    index = KeywordIndex(spark, f"file://{tmp_path}/a", buckets=4, block=16)
+    index.append(0, corpus(spark, 3000))
+    asked = spark.createDataFrame([(1, "w0"), (2, "w0 w1")], "query_id long, text string")
+    plan = index.plan_blocks(asked)
+    cells = -(-3000 // 2048)  # cells of 2,048 documents
+    assert plan.blocks.agg(F.sum("least")).first()[0] > 2000
+    assert plan.score(plan.blocks).count() <= 2 * 60 * cells
+
+
+def test_repeated_and_null_ids_score_as_one_document(spark, tmp_path):
+    docs = [(1, "a b"), (1, "a b"), (1, "a c c"), (None, "a"), (None, "b b a"), (2, "c"), (3, None)]
+    index = KeywordIndex(spark, f"file://{tmp_path}/a", buckets=2, block=16)
+    index.append(0, spark.createDataFrame(docs, "doc_id long, text string"))
+    weights, df, mean = {}, {}, sum(len((t or "").split()) for _, t in docs) / len(docs)
+    counts = {}
+    for doc, text in docs:
+        words = (text or "").split()
+        for word in words:
+            key = (word, doc, len(words))
+            counts[key] = counts.get(key, 0) + 1
+    for word, _, _ in counts:
+        df[word] = df.get(word, 0) + 1
+    for (word, doc, length), tf in counts.items():
+        idf = max(math.log((len(docs) - df[word] + 0.5) / (df[word] + 0.5)), 1e-6)
+        for query, text in ((1, "a b"), (2, "c")):
+            if word in text.split():
+                part = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+                weights[query, doc] = weights.get((query, doc), 0) + part
+    asked = spark.createDataFrame([(1, "a b"), (2, "c"), (None, "a")], "query_id long, text string")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in index.search(asked, 5).collect()}
+    assert got == pytest.approx(weights, abs=2e-6)
+
+
 def test_append_keeps_no_copy_of_the_words(spark, tmp_path):
     """Words were written to the checkpoint folder and read again, at several times the size of the texts."""
     ensure_checkpoint_dir(spark)
