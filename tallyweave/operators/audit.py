@@ -14,6 +14,7 @@ from tallyweave.functions.numbers import line_total, line_total_ok, relative_dev
 from tallyweave.functions.text import normalized_name, strip
 from tallyweave.operators.contains import contains_pairs
 from tallyweave.operators.history import STATS_KEYS
+from tallyweave.operators.partitioning import shared, unfiltered
 
 ISSUE_COLUMNS = [
     "invoice_id", "item_id", "line_number", "code", "severity", "category", "field", "message",
@@ -300,23 +301,24 @@ def with_price_reference(
             .filter(F.col("stat").isNotNull())
             .drop("_n", "_s")
         )
-    renamed = stats.withColumnsRenamed({"item_name_normalized": "_name", "seller_name": "_seller"})
-    order = ["hs_code", "_seller", "currency"]
-    stat = F.struct("occurrence_count", "min_price", "max_price", "avg_price")
+    figures, order = ["occurrence_count", "min_price", "max_price", "avg_price"], ["hs_code", "_seller", "currency"]
+    stat = F.struct(*figures)
+    renamed = shared(
+        stats.withColumnsRenamed({"item_name_normalized": "_name", "seller_name": "_seller"})
+        .select("_name", *order, *figures)
+    )
 
-    def best(keys: list[str], out: str) -> DataFrame:
+    def best(keys: list[str]) -> DataFrame:
         rest = [F.col(c) for c in order if c not in keys]
         return renamed.groupBy(*keys).agg(
-            F.min_by(stat, F.struct(-F.col("occurrence_count"), *rest)).alias(out)
+            F.min_by(stat, F.struct(-F.col("occurrence_count"), *rest)).alias("stat")
         )
 
-    return (
-        named.join(best(["_name", "_seller"], "_pair"), ["_name", "_seller"], "left")
-        .join(best(["_name"], "_single"), "_name", "left")
-        .withColumn("stat", F.coalesce("_pair", "_single"))
-        .filter(F.col("stat").isNotNull())
-        .drop("_pair", "_single")
-    )
+    # Only lines without statistics of item and seller go by the item alone, and only these
+    # are shuffled for it.
+    met = unfiltered(named.join(best(["_name", "_seller"]), ["_name", "_seller"], "left"))
+    alone = met.filter("stat IS NULL").drop("stat").join(best(["_name"]), "_name")
+    return met.filter("stat IS NOT NULL").unionByName(alone)
 
 
 def price_anomalies(

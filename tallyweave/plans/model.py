@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.operators.partitioning import shared, small_side
+
 AS_OF = "2001-08-01"
 
 
@@ -77,18 +79,30 @@ def invoices(spark: SparkSession, sf: str) -> DataFrame:
         invoice_headers(spark, sf)
         .join(customer, "customer_id", "left")
         .join(per_order, "id", "left")
-        .join(supplier, "supplier_id", "left")
+        .join(small_side(supplier), "supplier_id", "left")
         .drop("customer_id", "supplier_id")
     )
 
 
-def invoice_items(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem")
-    part = table(spark, sf, "part")
-    supplier = table(spark, sf, "supplier")
+def lines_with_parts(spark: SparkSession, sf: str, *keys: str) -> DataFrame:
+    """Order lines and their parts for queries that see them in several ways, joined once for all."""
+    line = table(spark, sf, "lineitem").drop("l_discount", "l_tax", "l_linestatus")
+    return shared(_joined(line, table(spark, sf, "part").drop("p_size")), *keys)
+
+
+def _joined(line: DataFrame, part: DataFrame) -> DataFrame:
+    return line.join(part, line.l_partkey == part.p_partkey)
+
+
+def _lines(spark: SparkSession, sf: str, lines: DataFrame | None) -> DataFrame:
+    return _joined(table(spark, sf, "lineitem"), table(spark, sf, "part")) if lines is None else lines
+
+
+def invoice_items(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
+    line = _lines(spark, sf, lines)
+    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_name")
     return (
-        line.join(part, line.l_partkey == part.p_partkey)
-        .join(supplier, line.l_suppkey == supplier.s_suppkey)
+        line.join(small_side(supplier), line.l_suppkey == supplier.s_suppkey)
         .select(
             line_key().alias("id"),
             F.col("l_orderkey").alias("invoice_id"),
@@ -108,13 +122,11 @@ def invoice_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def invoice_items_listed(spark: SparkSession, sf: str) -> DataFrame:
+def invoice_items_listed(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     """Lines priced from the list price, so that duplicates and wrong totals occur."""
-    line = table(spark, sf, "lineitem")
-    part = table(spark, sf, "part")
     unit_price = (100 * F.floor(F.col("p_retailprice") / 100)).cast("double")
     extra = F.when(F.col("l_returnflag") == "R", 1.5).otherwise(0.0)
-    return line.join(part, line.l_partkey == part.p_partkey).select(
+    return _lines(spark, sf, lines).select(
         line_key().alias("id"),
         F.col("l_orderkey").alias("invoice_id"),
         F.col("l_linenumber").alias("line_number"),

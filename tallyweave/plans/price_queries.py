@@ -10,10 +10,9 @@ from tallyweave.plans.model import sql
 from tallyweave.plans.registry import query
 
 
-def history_of(spark, sf):
-    return history.price_history(
-        model.invoice_items(spark, sf), model.invoice_headers(spark, sf), model.as_of()
-    )
+def history_of(spark, sf, items=None):
+    items = model.invoice_items(spark, sf) if items is None else items
+    return history.price_history(items, model.invoice_headers(spark, sf), model.as_of())
 
 
 @query("price_history", sql("""
@@ -117,8 +116,9 @@ PICK_EXACT = """
 
 
 def anomalies(spark, sf, match="exact"):
-    stats = history.price_stats(history_of(spark, sf))
-    found = audit.price_anomalies(model.invoice_items(spark, sf), stats, match=match)
+    items = model.invoice_items(spark, sf, model.lines_with_parts(spark, sf))
+    stats = history.price_stats(history_of(spark, sf, items))
+    found = audit.price_anomalies(items, stats, match=match)
     rounded = ("unit_price", "deviation", "min_price", "max_price", "avg_price")
     return found.withColumns({c: model.rounded(c) for c in rounded})
 

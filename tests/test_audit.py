@@ -192,3 +192,21 @@ def test_row_per_name_carries_no_more_than_its_insight(spark):
     picked = [text for text in plan.split("\n") if "max_by(struct(" in text]
     assert picked and not any("unit_price" in text for text in picked)
     assert [(r.title, r.linked_entity_id) for r in found.collect()] == [("Unmatched item: bolt", "3")]
+
+
+def test_price_reference_of_seller_then_of_item(spark):
+    schema = ("item_name_normalized string, hs_code string, seller_name string, currency string,"
+              "occurrence_count long, min_price double, max_price double, avg_price double")
+    stats = spark.createDataFrame([
+        ("bolt", "a", "ACME", "USD", 2, 1.0, 1.0, 1.0), ("bolt", "b", "ACME", "USD", 2, 9.0, 9.0, 9.0),
+        ("bolt", "a", "Beta", "USD", 3, 2.0, 2.0, 2.0), ("bolt", "a", None, "USD", 5, 4.0, 4.0, 4.0),
+        ("rod", None, "Beta", "EUR", 2, 3.0, 3.0, 3.0), (None, "a", "ACME", "USD", 9, 7.0, 7.0, 7.0),
+    ], schema)
+    rows = lines(spark, [
+        line(1, name=" Bolt"), line(2, name="bolt", seller="Beta"), line(3, name="bolt", seller=None),
+        line(4, name="bolt", seller=""), line(5, name="bolt", seller="Other"), line(6, name="rod"),
+        line(7, name="gear"), line(8, name=None), line(9, name="bolt", price=-1.0), line(1, name="bolt"),
+    ])
+    found = audit.with_price_reference(rows, stats)
+    got = sorted((r.id, r.stat.avg_price) for r in found.collect())
+    assert got == [(1, 1.0), (1, 1.0), (2, 2.0), (3, 4.0), (4, 4.0), (5, 4.0), (6, 3.0)]
