@@ -274,8 +274,9 @@ def _cents(value: str) -> str:
                   occurrence_count) AS message
     FROM anomalies""", "items", "stats", extra=_ANOMALIES))
 def price_anomaly_issues(spark, sf):
-    stats = history.price_stats(history_of(spark, sf))
-    found = audit.price_anomaly_issues(model.invoice_items(spark, sf), stats)
+    items = model.invoice_items(spark, sf, model.lines_with_parts(spark, sf))
+    stats = history.price_stats(history_of(spark, sf, items))
+    found = audit.price_anomaly_issues(items, stats)
     return found.select("invoice_id", "item_id", "line_number", "code", "severity", "message")
 
 

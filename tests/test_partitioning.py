@@ -66,3 +66,7 @@ def lineitem_shuffles(spark, sf, name):
 
 def test_price_anomaly_shuffles_lines_by_part_once(spark, sf):
     assert lineitem_shuffles(spark, sf, "price_anomaly")[:2] == [1, 0]
+
+
+def test_price_anomaly_issues_shuffles_lines_by_part_once(spark, sf):
+    assert lineitem_shuffles(spark, sf, "price_anomaly_issues")[:2] == [1, 0]
