@@ -375,8 +375,9 @@ def repeat_purchases(
 ) -> DataFrame:
     """Lines whose item and seller already occur 1..`window_days` days earlier.
 
-    Counts are first reduced to one row per item, seller and day, so the range
-    window sees at most one row per calendar day and no pairs are emitted.
+    Records are first counted per item, seller and day. Days are filed in spans of
+    four windows, the last of a span under the next one too, so a line finds all its
+    earlier days in one row of at most five windows, and no pairs are emitted.
     """
     dated = invoices.filter(F.col("invoice_date").isNotNull()).select(
         F.col("id").alias("invoice_id"), "invoice_date"
@@ -390,34 +391,38 @@ def repeat_purchases(
         .join(dated, "invoice_id")
         .withColumn("_name", F.lower(strip(F.col("item_name"))))
     )
-    keys = ["_name", "seller_name", "invoice_date"]
+    def span(day: Column) -> Column:
+        return F.floor(day / max(4 * window_days, 1))
+
     daily = (
-        history.select(
-            F.col("item_name_normalized").alias("_name"), "seller_name", "invoice_date",
-            F.lit(1).alias("_n"),
+        history.filter(F.col("invoice_date").isNotNull())
+        .groupBy(
+            F.col("item_name_normalized").alias("_name"), "seller_name",
+            F.unix_date("invoice_date").alias("_day"),
         )
-        .unionByName(probes.select(*keys, F.lit(0).alias("_n")))
-        .groupBy(*keys)
-        .agg(F.sum("_n").alias("_n"))
-    )
-    span = (
-        Window.partitionBy("_name", "seller_name")
-        .orderBy(F.unix_date("invoice_date"))
-        .rangeBetween(-window_days, -1)
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    earlier = (
-        daily.select(
-            *keys,
-            F.sum("_n").over(span).alias("prior_records"),
-            F.collect_list(F.when(F.col("_n") > 0, F.col("invoice_date"))).over(span).alias("_d"),
+    filed = (
+        daily.withColumn(
+            "_span",
+            F.explode(F.array_distinct(F.array(span(F.col("_day")), span(F.col("_day") + window_days)))),
         )
-        .filter(F.col("prior_records") > 0)
-        .withColumn("prior_dates", F.array_sort("_d"))
-        .drop("_d")
+        .groupBy("_name", "seller_name", "_span")
+        .agg(F.collect_list(F.struct("_day", "_n")).alias("_days"))
     )
-    return probes.join(earlier, keys).select(
-        "invoice_id", F.col("id").alias("item_id"), "line_number", "item_name", "seller_name",
-        "invoice_date", "prior_records", "prior_dates",
+    day = F.unix_date("invoice_date")
+    prior = F.filter("_days", lambda d: (d["_day"] >= day - window_days) & (d["_day"] < day))
+    return (
+        probes.withColumn("_span", span(day))
+        .join(filed, ["_name", "seller_name", "_span"])
+        .withColumn("_days", prior)
+        .filter(F.size("_days") > 0)
+        .select(
+            "invoice_id", F.col("id").alias("item_id"), "line_number", "item_name", "seller_name",
+            "invoice_date",
+            F.aggregate("_days", F.lit(0).cast("long"), lambda n, d: n + d["_n"]).alias("prior_records"),
+            F.array_sort(F.transform("_days", lambda d: F.date_from_unix_date(d["_day"]))).alias("prior_dates"),
+        )
     )
 
 

@@ -153,8 +153,9 @@ def price_anomaly_contains(spark, sf):
         AND h.invoice_date BETWEEN v.invoice_date - 30 AND v.invoice_date - 1
     GROUP BY ALL""", "items", "hdr", "hist"))
 def cross_invoice_duplicates(spark, sf):
+    items = model.invoice_items(spark, sf, model.lines_with_parts(spark, sf, "l_orderkey"))
     found = audit.repeat_purchases(
-        model.invoice_items(spark, sf), model.invoice_headers(spark, sf), history_of(spark, sf)
+        items, model.invoice_headers(spark, sf), history_of(spark, sf, items)
     )
     return found.withColumn(
         "prior_dates", F.array_join(F.col("prior_dates").cast("array<string>"), ", ")

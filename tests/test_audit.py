@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators import audit, history, insights, rollups
@@ -210,3 +211,26 @@ def test_price_reference_of_seller_then_of_item(spark):
     found = audit.with_price_reference(rows, stats)
     got = sorted((r.id, r.stat.avg_price) for r in found.collect())
     assert got == [(1, 1.0), (1, 1.0), (2, 2.0), (3, 4.0), (4, 4.0), (5, 4.0), (6, 3.0)]
+
+
+def test_repeat_purchases_on_all_days(spark):
+    dates = spark.sql("SELECT explode(sequence(DATE'1969-08-01', DATE'1970-08-01', INTERVAL 3 DAYS)) AS d")
+    dates = dates.withColumn("id", F.row_number().over(Window.orderBy("d")).cast("long"))
+    heads = dates.select("id", F.col("d").alias("invoice_date"))
+    few = heads.filter("id % 4 = 0 OR id > 100")
+    rows = heads.select(
+        "id", F.col("id").alias("invoice_id"), F.lit(1).alias("line_number"), F.lit("Bolt").alias("item_name"),
+        F.lit("ACME").alias("seller_name"), F.lit("line_item").alias("row_type"),
+    )
+    past = few.select(F.lit("bolt").alias("item_name_normalized"), F.lit("ACME").alias("seller_name"), "invoice_date")
+    past = past.unionByName(past.filter(F.dayofmonth("invoice_date") < 15)).unionByName(
+        past.limit(1).withColumn("invoice_date", F.lit(None).cast("date")))
+    days = [r.invoice_date for r in past.collect() if r.invoice_date]
+    for window in (1, 7, 30):
+        want = {}
+        for r in heads.collect():
+            before = [d for d in days if 1 <= (r.invoice_date - d).days <= window]
+            if before:
+                want[r.id] = (len(before), sorted(set(before)))
+        found = audit.repeat_purchases(rows, heads, past, window)
+        assert {r.item_id: (r.prior_records, r.prior_dates) for r in found.collect()} == want

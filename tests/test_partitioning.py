@@ -70,3 +70,7 @@ def test_price_anomaly_shuffles_lines_by_part_once(spark, sf):
 
 def test_price_anomaly_issues_shuffles_lines_by_part_once(spark, sf):
     assert lineitem_shuffles(spark, sf, "price_anomaly_issues")[:2] == [1, 0]
+
+
+def test_cross_invoice_duplicates_shuffles_lines_by_part_and_order_once(spark, sf):
+    assert lineitem_shuffles(spark, sf, "cross_invoice_duplicates") == [1, 0, 1]
