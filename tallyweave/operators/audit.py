@@ -105,24 +105,19 @@ def line_issues(lines: DataFrame, max_unit_price: float = 1_000_000) -> DataFram
 def duplicate_issues(lines: DataFrame) -> DataFrame:
     """Later lines that repeat name and unit price of an earlier line of the invoice.
 
-    The first line per key comes out of a combinable aggregate, so a large group
-    never gathers in one task.
+    Lines are dealt by key once, and the window that finds the first of a key puts
+    what does not fit in memory on disk.
     """
-    keyed = lines.select(
+    keyed = lines.filter(F.col("invoice_id").isNotNull() & F.col("unit_price").isNotNull()).select(
         "invoice_id",
         F.col("id").alias("item_id"),
         "line_number",
         F.lower(strip(F.coalesce("item_name", F.lit("")))).alias("_name"),
         F.col("unit_price").alias("_price"),
-        F.struct("line_number", "id").alias("_at"),
     )
-    first = (
-        keyed.groupBy("invoice_id", "_name", "_price")
-        .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .filter("_n > 1")
-        .drop("_n")
-    )
-    later = keyed.join(first, ["invoice_id", "_name", "_price"]).filter(F.col("_at") > F.col("_first"))
+    at = F.struct("line_number", "item_id")
+    first = F.min(at).over(Window.partitionBy("invoice_id", "_name", "_price"))
+    later = keyed.withColumn("_first", first).filter(at > F.col("_first"))
     message = F.concat(
         F.lit("Possible duplicate: line "), F.col("_first.line_number"), F.lit(" and "),
         F.col("line_number"),

@@ -58,10 +58,9 @@ _DUPLICATES = """
         WHERE rn > 1)"""
 
 
-def _headers(spark, sf):
-    return audit.header_issues(
-        model.invoices(spark, sf), model.invoice_items(spark, sf), model.as_of()
-    )
+def _headers(spark, sf, items=None):
+    items = model.invoice_items(spark, sf) if items is None else items
+    return audit.header_issues(model.invoices(spark, sf), items, model.as_of())
 
 
 def _header_sql(codes: list[str]) -> str:
@@ -117,14 +116,15 @@ _ALL_ISSUES = ",".join([_HEADER_RULES, _LINE_RULES, _DUPLICATES]) + """,
 
 
 def _all_issues(spark, sf):
-    listed = model.invoice_items_listed(spark, sf)
-    items = model.invoice_items(spark, sf)
+    lines = model.lines_with_parts(spark, sf, "l_orderkey")
+    listed = model.invoice_items_listed(spark, sf, lines)
+    items = model.invoice_items(spark, sf, lines)
     headers = model.invoice_headers(spark, sf)
     parts = [
-        _headers(spark, sf),
+        _headers(spark, sf, items),
         audit.line_issues(listed, max_unit_price=1500),
         audit.duplicate_issues(listed),
-        audit.repeat_purchase_issues(items, headers, history_of(spark, sf)),
+        audit.repeat_purchase_issues(items, headers, history_of(spark, sf, items)),
     ]
     union = parts[0]
     for part in parts[1:]:

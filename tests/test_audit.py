@@ -234,3 +234,15 @@ def test_repeat_purchases_on_all_days(spark):
                 want[r.id] = (len(before), sorted(set(before)))
         found = audit.repeat_purchases(rows, heads, past, window)
         assert {r.item_id: (r.prior_records, r.prior_dates) for r in found.collect()} == want
+
+
+def test_duplicates_by_name_and_price(spark):
+    rows = lines(spark, [
+        line(1, n=2), line(2, n=1), line(3, n=None), line(4, n=1, price=None, total=0.0), line(5, n=2, price=None, total=0.0),
+        line(6, None, 1), line(7, None, 2), line(8, 2, 1, name=None), line(9, 2, 2, name=" "), line(10, 2, 3, price=-0.0),
+        line(11, 2, 4, price=0.0), line(12, 3, 1), line(12, 3, 1), line(13, 3, 1),
+    ])
+    found = audit.duplicate_issues(rows)
+    assert sorted((r.item_id, r.line_number) for r in found.collect()) == [(1, 2), (2, 1), (9, 2), (11, 4), (13, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.partition("== Initial Plan ==")[0].count(" Exchange ") == 1

@@ -74,3 +74,7 @@ def test_price_anomaly_issues_shuffles_lines_by_part_once(spark, sf):
 
 def test_cross_invoice_duplicates_shuffles_lines_by_part_and_order_once(spark, sf):
     assert lineitem_shuffles(spark, sf, "cross_invoice_duplicates") == [1, 0, 1]
+
+
+def test_audit_rollup_shuffles_lines_by_part_once(spark, sf):
+    assert lineitem_shuffles(spark, sf, "audit_rollup") == [1, 0, 2]
