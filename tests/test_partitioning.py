@@ -78,3 +78,7 @@ def test_cross_invoice_duplicates_shuffles_lines_by_part_and_order_once(spark, s
 
 def test_audit_rollup_shuffles_lines_by_part_once(spark, sf):
     assert lineitem_shuffles(spark, sf, "audit_rollup") == [1, 0, 2]
+
+
+def test_audit_strict_rules_shuffles_lines_by_part_once(spark, sf):
+    assert lineitem_shuffles(spark, sf, "audit_strict_rules") == [1, 0, 2]
