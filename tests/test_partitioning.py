@@ -82,3 +82,7 @@ def test_audit_rollup_shuffles_lines_by_part_once(spark, sf):
 
 def test_audit_strict_rules_shuffles_lines_by_part_once(spark, sf):
     assert lineitem_shuffles(spark, sf, "audit_strict_rules") == [1, 0, 2]
+
+
+def test_audit_issue_counts_shuffles_lines_by_part_once(spark, sf):
+    assert lineitem_shuffles(spark, sf, "audit_issue_counts") == [1, 0, 2]
