@@ -86,3 +86,7 @@ def test_audit_strict_rules_shuffles_lines_by_part_once(spark, sf):
 
 def test_audit_issue_counts_shuffles_lines_by_part_once(spark, sf):
     assert lineitem_shuffles(spark, sf, "audit_issue_counts") == [1, 0, 2]
+
+
+def test_full_audit_shuffles_lines_by_part_once(spark, sf):
+    assert lineitem_shuffles(spark, sf, "full_audit") == [1, 0, 3]
