@@ -12,13 +12,13 @@ from tallyweave.plans.registry import query
 
 
 def all_insights(spark, sf):
-    items = model.invoice_items(spark, sf)
+    items = model.invoice_items(spark, sf, model.lines_with_parts(spark, sf, "l_orderkey"))
     current = views.latest(model.invoice_headers(spark, sf)).select(F.col("id").alias("invoice_id"))
     return insights.all_insights(
         model.company_documents(spark, sf),
         views.unmatched_items(items, model.invoice_headers(spark, sf)),
         items.join(current, "invoice_id", "left_semi"),
-        history.price_stats(history_of(spark, sf)),
+        history.price_stats(history_of(spark, sf, items)),
         model.as_of(),
     )
 

@@ -90,3 +90,7 @@ def test_audit_issue_counts_shuffles_lines_by_part_once(spark, sf):
 
 def test_full_audit_shuffles_lines_by_part_once(spark, sf):
     assert lineitem_shuffles(spark, sf, "full_audit") == [1, 0, 3]
+
+
+def test_insights_shuffles_lines_by_part_and_order_once(spark, sf):
+    assert lineitem_shuffles(spark, sf, "insights") == [1, 0, 1]
