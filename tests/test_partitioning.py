@@ -94,3 +94,7 @@ def test_full_audit_shuffles_lines_by_part_once(spark, sf):
 
 def test_insights_shuffles_lines_by_part_and_order_once(spark, sf):
     assert lineitem_shuffles(spark, sf, "insights") == [1, 0, 1]
+
+
+def test_new_reminders_shuffles_lines_by_part_and_order_once(spark, sf):
+    assert lineitem_shuffles(spark, sf, "new_reminders") == [1, 0, 1]
