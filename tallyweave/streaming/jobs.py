@@ -24,6 +24,7 @@ from tallyweave.operators.ledger import UNIT, step
 from tallyweave.session import ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_MB = 400
 
 
 def read_stream(
@@ -75,14 +76,28 @@ def upsert_to(stream: DataFrame, path: str, checkpoint: str):
 
 @contextmanager
 def state_tasks(spark: SparkSession, count: int | None) -> Iterator[None]:
-    """State partitions of the queries started inside; a query keeps its number for good."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(count or before))
+    """State of the queries started inside: how many partitions, and on disk.
+
+    A query keeps its number of partitions for good. State in RocksDB is not bounded
+    by the memory of an executor, as Spark's default in the heap is; all stores of an
+    executor share what RocksDB itself may hold.
+    """
+    store = "spark.sql.streaming.stateStore"
+    wanted = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.boundedMemoryUsage": "true",
+              f"{store}.rocksdb.maxMemoryUsageMB": str(STATE_MB)}
+    if count:
+        wanted["spark.sql.shuffle.partitions"] = str(count)
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def drain_append(stream: DataFrame, tasks: int | None = None) -> DataFrame:

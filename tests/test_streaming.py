@@ -74,3 +74,22 @@ def test_repeat_purchases_ignore_late_rows_only(spark, tmp_path):
     side = lambda: jobs.read_stream(spark, path, schema, files_per_batch=1)
     got = jobs.drain_append(jobs.repeat_purchase_stream(side(), side())).collect()
     assert sorted((r.id, str(r.prior_day.date())) for r in got) == [(1, "2024-01-01"), (2, "2024-01-01")]
+
+
+def test_state_lies_on_disk(spark, tmp_path, monkeypatch):
+    name, rows = "spark.sql.streaming.stateStore.providerClass", spark.range(50).select(
+        (F.col("id") % 5).cast("string").alias("session_id"), F.col("id").alias("created_at"))
+    write_batches(rows, str(tmp_path / "in"), 3, 1)
+    monkeypatch.setattr(jobs, "work_folder", lambda _: str(tmp_path / "work"))
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        stream = jobs.read_stream(spark, str(tmp_path / "in"), rows.schema, files_per_batch=1)
+        got = jobs.drain_update(jobs.activity_stream(stream), ["session_id"], 2).collect()
+        assert spark.conf.get(name).endswith("HDFSBackedStateStoreProvider")
+        assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", None) is None
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(got) == [(str(k), 45 + k) for k in range(5)]
+    state = [p.name for p in (tmp_path / "work/state/state").rglob("*") if p.is_file()]
+    assert any(n.endswith((".changelog", ".zip")) for n in state) and not any(n.endswith(".delta") for n in state)
