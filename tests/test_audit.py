@@ -246,3 +246,21 @@ def test_duplicates_by_name_and_price(spark):
     assert sorted((r.item_id, r.line_number) for r in found.collect()) == [(1, 2), (2, 1), (9, 2), (11, 4), (13, 1)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.partition("== Initial Plan ==")[0].count(" Exchange ") == 1
+
+
+def test_price_reference_by_parts_of_names(spark):
+    schema = ("item_name_normalized string, hs_code string, seller_name string, currency string,"
+              "occurrence_count long, min_price double, max_price double, avg_price double")
+    stats = spark.createDataFrame([
+        ("hot bolt", "a", "ACME", "USD", 2, 1.0, 1.0, 1.0), ("bolt m4", None, "The Acme", "USD", 3, 2.0, 2.0, 2.0),
+        ("bolt m4", "b", "acme", "USD", 3, 3.0, 3.0, 3.0), ("hot bolt", "a", None, "USD", 9, 4.0, 4.0, 4.0),
+        ("rod", "a", "Beta", "EUR", 2, 5.0, 5.0, 5.0), (None, "a", "ACME", "USD", 9, 7.0, 7.0, 7.0),
+    ], schema)
+    rows = lines(spark, [
+        line(1, name="Bolt"), line(2, name="hot bolt", seller="acme"), line(3, name="bolt", seller=None),
+        line(4, name="bolt", seller="Other"), line(5, name="od", seller="BETA"), line(6, name="gear"),
+        line(7, name="bolt", seller=""), line(1, name="Bolt"),
+    ])
+    found = audit.with_price_reference(rows, stats, match="contains")
+    got = sorted((r.id, r.stat.avg_price) for r in found.collect())
+    assert got == [(1, 2.0), (1, 2.0), (2, 1.0), (3, 4.0), (4, 4.0), (5, 5.0), (7, 4.0)]

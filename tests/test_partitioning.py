@@ -98,3 +98,7 @@ def test_insights_shuffles_lines_by_part_and_order_once(spark, sf):
 
 def test_new_reminders_shuffles_lines_by_part_and_order_once(spark, sf):
     assert lineitem_shuffles(spark, sf, "new_reminders") == [1, 0, 1]
+
+
+def test_price_anomaly_contains_shuffles_lines_by_part_once(spark, sf):
+    assert lineitem_shuffles(spark, sf, "price_anomaly_contains")[:2] == [1, 0]
