@@ -32,16 +32,20 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(_tasks(df), *keys)
 
 
-def small_side(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
-    """The side of a join that goes to every task if its rows fit `most_bytes`, else as it is.
+def is_small(df: DataFrame, most_bytes: int = 32 << 20) -> bool:
+    """True if the rows of `df` fit `most_bytes`, so that every task may get them.
 
-    The size is measured by a pass over `df`, not taken from its files: a field
-    counts eight bytes, a text its length besides.
+    They are measured by a pass over `df`, not taken from its files: a field counts
+    eight bytes, a text its length besides.
     """
     texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
     row = sum(texts, F.lit(8 * (len(df.columns) + 1)))
-    size = df.agg(F.sum(row).alias("size")).first()["size"] or 0
-    return F.broadcast(df) if size <= most_bytes else df
+    return (df.agg(F.sum(row).alias("size")).first()["size"] or 0) <= most_bytes
+
+
+def small_side(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """The side of a join that goes to every task if it is small, else as it is."""
+    return F.broadcast(df) if is_small(df, most_bytes) else df
 
 
 def unfiltered(df: DataFrame) -> DataFrame:

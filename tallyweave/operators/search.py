@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyweave.functions.text import expand_query, search_tokens
 from tallyweave.operators.grid import block_map
+from tallyweave.operators.partitioning import is_small
 
 # Ranking constants of the keyword index.
 K1 = 1.2
@@ -61,6 +62,12 @@ def _keyword_block(k: int, match_all: bool, schema: pa.Schema):
     """Scores of a block of queries against a block of documents, as matrix products."""
 
     def compare(queries: pa.Table, documents: pa.Table) -> pa.Table:
+        held = documents.column("held").combine_chunks()
+        words, parents = pc.list_flatten(held), pc.list_parent_indices(held)
+        documents = pa.table({
+            "doc_id": documents.column("doc_id").combine_chunks().take(parents),
+            "term": pc.struct_field(words, "term"), "weight": pc.struct_field(words, "weight"),
+        })
         vocabulary = pc.unique(queries.column("term"))
         at = pc.index_in(documents.column("term"), value_set=vocabulary)
         documents = documents.append_column("at", at).filter(pc.is_valid(at))
@@ -125,10 +132,11 @@ def bm25_topk(
 ) -> DataFrame:
     """The k best documents (doc_id, text) of every query (query_id, text).
 
-    Occurrences are cut down to the words of the queries and counted per document
-    first, so one row per document and query word is shuffled. Blocks of queries
-    then meet blocks of documents, and a block only returns its k best rows: a word
-    that most documents hold makes no row per query and document. Long documents come in
+    Occurrences are cut down to the words of the queries first, and one row per
+    document is shuffled that lists them. Their weights are worked out where the
+    document then lies. Blocks of queries meet blocks of documents, again a row per
+    document, and a block only returns its k best rows: a word that most documents
+    hold makes no row per query and document. Long documents come in
     smaller blocks, as a task holds the words of a whole block.
     """
     text = expand_query(F.col("text")) if expand else F.col("text")
@@ -138,31 +146,43 @@ def bm25_topk(
         .agg(F.count(F.lit(1)).cast("double").alias("repeats"))
     )
     vocabulary = wanted.select("term").distinct()
+    few = is_small(vocabulary)
+    vocabulary = F.broadcast(vocabulary) if few else vocabulary
     sized = documents.select("doc_id", search_tokens(F.col("text")).alias("_tokens")).withColumn(
         "_length", F.size("_tokens")
     )
     corpus = sized.agg(
         F.count(F.lit(1)).alias("_n"), F.avg(F.col("_length").cast("double")).alias("_mean_length")
     )
-    counted = (
+    listed = (
         _terms(sized, ["doc_id", "_length"], F.col("_tokens"), stems)
         .join(vocabulary, "term", "left_semi")
+        .groupBy("doc_id", "_length")
+        .agg(F.collect_list("term").alias("_held"))
+    )
+    counted = (
+        listed.select("doc_id", "_length", F.explode("_held").alias("term"))
         .groupBy("doc_id", "_length", "term")
         .agg(F.count(F.lit(1)).alias("_tf"))
     )
     # `corpus` is a single row. Counting over `_tf` keeps both uses of `counted` alike,
-    # so that its shuffle is done once.
+    # so that its shuffle is done once. There are no more frequencies than words.
     frequency = (
         counted.groupBy("term")
         .agg(F.count_if(F.col("_tf") > 0).alias("_df"))
         .crossJoin(F.broadcast(corpus))
     )
+    frequency = F.broadcast(frequency) if few else frequency
     idf = F.greatest(
         F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF)
     )
     norm = K1 * (1 - B + B * F.col("_length") / F.col("_mean_length"))
-    weighted = counted.join(frequency, "term").select(
-        "doc_id", "term", (idf * (F.col("_tf") * (K1 + 1)) / (F.col("_tf") + norm)).alias("weight")
+    weight = idf * (F.col("_tf") * (K1 + 1)) / (F.col("_tf") + norm)
+    weighted = (
+        counted.join(frequency, "term")
+        .groupBy("doc_id", "_length")
+        .agg(F.collect_list(F.struct("term", weight.alias("weight"))).alias("held"))
+        .select("doc_id", "held")
     )
     schema = (
         f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(documents.dtypes)['doc_id']}, "

@@ -11,11 +11,12 @@ from tallyweave.functions.text import WS, search_tokens
 from tallyweave.operators import chunks, conversation, rollups, search, views
 from tallyweave.operators import stored_index as stored
 from tallyweave.operators.nearest import nearest
-from tallyweave.operators.partitioning import spread
+from tallyweave.operators.partitioning import small_side, spread
 from tallyweave.operators.stemming import stem_table
 from tallyweave.plans import model
 from tallyweave.plans.model import sql
 from tallyweave.plans.registry import query
+from tallyweave.session import cut_lineage
 from tallyweave.streaming import jobs
 
 
@@ -240,9 +241,10 @@ def keyword_item_hits(spark, sf):
             "text"
         ),
     )
-    hits = search.bm25_topk(queries, texts, 60, mode="all", expand=False)
+    # Hits are few rows per query. Written, they can be measured and may meet the items where these lie.
+    hits = cut_lineage(search.bm25_topk(queries, texts, 60, mode="all", expand=False))
     joined = views.hits_with_items(
-        hits.withColumnRenamed("doc_id", "item_id"),
+        small_side(hits.withColumnRenamed("doc_id", "item_id")),
         items.withColumnRenamed("id", "item_id"), model.invoice_headers(spark, sf),
     )
     return joined.select(

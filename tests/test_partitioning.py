@@ -6,6 +6,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from tallyweave.operators.partitioning import shared, small_side, unfiltered
+from tallyweave.operators.search import bm25_topk
 from tallyweave.plans.catalogue import REGISTRY
 
 AUTO = "spark.sql.autoBroadcastJoinThreshold"
@@ -102,3 +103,21 @@ def test_new_reminders_shuffles_lines_by_part_and_order_once(spark, sf):
 
 def test_price_anomaly_contains_shuffles_lines_by_part_once(spark, sf):
     assert lineitem_shuffles(spark, sf, "price_anomaly_contains")[:2] == [1, 0]
+
+
+def test_keyword_item_hits_shuffles_no_lines_to_hits(spark, sf):
+    with no_broadcast(spark):
+        df = REGISTRY["keyword_item_hits"].plan(spark, sf)
+        assert [shuffles(df, key) for key in ("l_partkey", "l_suppkey", "item_id")] == [1, 0, 0]
+
+
+def test_keyword_search_shuffles_a_row_per_document(spark):
+    documents = spark.createDataFrame(
+        [(1, "red bolt red"), (2, "blue bolt " * 30), (3, None), (4, "gear"), (1, "red bolt red")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "red bolt"), (2, "gear gear"), (3, "none")], "query_id long, text string")
+    with no_broadcast(spark):
+        found = bm25_topk(queries, documents, 5, expand=False)
+        assert sorted((r.query_id, r.doc_id, r["rank"]) for r in found.collect()) == [(1, 1, 0), (1, 2, 1), (2, 4, 0)]
+        assert shuffles(found, r"doc_id#\d+L?, _length#\d+\b[^,]*,[^,]*\)?") >= 1
+        assert shuffles(found, r"doc_id#\d+L?, _length#\d+, term") == 0
+        assert shuffles(found, "term") == 2  # distinct words of the queries, and their frequencies
